@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from restock.catalog.registry import AS_OF, SPLIT, TRAIN_FROM, query, r6, sql
 from restock.functions import dates, numeric
 from restock.operators import features, snapshot
-from restock.operators.features import SERIES, WINDOWS
-from restock.operators.snapshot import value_in_days
+from restock.operators.features import WINDOWS
+from restock.operators.frames import value_in_days
 
 KEY = ["product_id", "store_id", "c_date"]
 H = range(1, 8)
@@ -111,8 +111,9 @@ for _key, _prefix, _kind in [
 
 
 def n1(core, date_from=TRAIN_FROM, date_upto=AS_OF):
+    sales, promotions, eventstores = core.daily_tables()
     return snapshot.training_snapshot(
-        core.sales(), core.eventstores(), core.promotions(), core.products(), date_from, date_upto
+        sales, eventstores, promotions, core.products(), date_from, date_upto
     )
 
 
@@ -158,7 +159,7 @@ def _(core):
 def _(core):
     s = units(core)
     return s.select(
-        "*", *[value_in_days(F.col("units_sold"), h).alias(f"units_in_{h}d") for h in H]
+        "*", *[value_in_days("units_sold", h).alias(f"units_in_{h}d") for h in H]
     )
 
 
@@ -183,7 +184,7 @@ def units(core):
 def _(core):
     s = series(core)
     return rounded(
-        s.select(*KEY, *[value_in_days(F.col("log_units_sold"), h).alias(f"h{h}_log_units_sold") for h in H])
+        s.select(*KEY, *[value_in_days("log_units_sold", h).alias(f"h{h}_log_units_sold") for h in H])
     )
 
 
@@ -203,7 +204,7 @@ def _(core):
     return rounded(
         series(core).select(
             *KEY,
-            *[value_in_days(F.col("log_units_sold"), -n).alias(f"lag_{n}d_log_units_sold") for n in LAGS],
+            *[value_in_days("log_units_sold", -n).alias(f"lag_{n}d_log_units_sold") for n in LAGS],
         )
     )
 

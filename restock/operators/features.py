@@ -14,22 +14,13 @@ from pyspark.sql import functions as F
 
 from restock.functions.dates import calendar_columns, is_leap_day
 from restock.functions.numeric import ewm_last, ratio
+from restock.operators.frames import SERIES, over_days, rows_of_series, value_in_days
 
-SERIES = ("product_id", "store_id")
 WINDOWS = (3, 7, 14, 21, 28)
 # whole-year distances in days, by number of leap days crossed
 _YEAR_DAYS = {1: (365, 366), 2: (730, 731), 3: (1095, 1096)}
 
 
-def series_window(keys: Sequence[str] = SERIES, day: str = "c_date"):
-    return Window.partitionBy(*keys).orderBy(F.unix_date(day))
-
-
-def trailing(days: int, keys: Sequence[str] = SERIES, day: str = "c_date"):
-    """The last ``days`` calendar days, today included."""
-    return series_window(keys, day).rangeBetween(1 - days, 0)
-
-
 def add_calendar(df: DataFrame, day: str = "c_date") -> DataFrame:
     return df.withColumns(calendar_columns(F.col(day)))
 
@@ -44,17 +35,18 @@ def rolling_columns(
     value = F.col(target)
     columns: dict[str, Column] = {}
     for days in windows:
-        w = trailing(days, keys, day)
-        n = F.count(value).over(w)
-        mean, top = F.avg(value).over(w), F.max(value).over(w)
+        def stat(call: str, first: int = 1 - days) -> Column:
+            return over_days(call, first, 0, keys, day)
+
+        n, mean, top = stat(f"count({target})"), stat(f"avg({target})"), stat(f"max({target})")
         tag = f"{days}d_{target}"
         columns[f"mean_{tag}"] = mean
-        columns[f"median_{tag}"] = F.percentile(value, F.lit(0.5)).over(w)
-        columns[f"std_{tag}"] = F.stddev_samp(value).over(w)
-        columns[f"min_{tag}"] = F.min(value).over(w)
+        columns[f"median_{tag}"] = stat(f"percentile({target}, 0.5)")
+        columns[f"std_{tag}"] = stat(f"stddev_samp({target})")
+        columns[f"min_{tag}"] = stat(f"min({target})")
         columns[f"max_{tag}"] = top
         # consecutive steps telescope to (last - first); undefined for a single row
-        columns[f"diff_mean_{tag}"] = F.when(n > 1, (value - F.first(value).over(w)) / (n - 1))
+        columns[f"diff_mean_{tag}"] = F.when(n > 1, (value - stat(f"first({target})")) / (n - 1))
         columns[f"max_mean_ratio_{tag}"] = ratio(top, mean)
     return columns
 
@@ -63,12 +55,7 @@ def rolling_ewm(
     target: str, days: int, keys: Sequence[str] = SERIES, day: str = "c_date", alpha: float = 0.9
 ) -> Column:
     """Exponentially weighted mean over the last ``days`` days (at most that many values)."""
-    rows = F.sort_array(
-        F.collect_list(F.struct(F.col(day).alias("d"), F.col(target).alias("x"))).over(
-            trailing(days, keys, day)
-        )
-    )
-    return ewm_last(F.transform(rows, lambda r: r["x"]), alpha)
+    return ewm_last(trailing_list(target, days, keys, day), alpha)
 
 
 def yearly_ewm(
@@ -80,7 +67,6 @@ def yearly_ewm(
     frame; a value counts only when its day-of-year really matches and it is younger than three
     calendar years.
     """
-    w = series_window(keys, day)
     here = F.col(day)
     oldest = F.add_months(here, -36)
 
@@ -89,7 +75,7 @@ def yearly_ewm(
         for gap in _YEAR_DAYS[n]:
             then = F.date_sub(here, gap)
             same = (F.dayofyear(then) == F.dayofyear(here)) & (F.year(then) == F.year(here) - n)
-            found = F.max(target).over(w.rangeBetween(-gap, -gap))
+            found = value_in_days(target, -gap, keys, day)
             picks.append(F.when(same & (then > oldest), found))
         return F.coalesce(*picks)
 
@@ -105,12 +91,10 @@ def seasonal_lookup(
     Reading the row ``365 - h`` or ``366 - h`` days back equals joining on the date one year later
     minus ``h`` days, and each row matches at most once.
     """
-    w = series_window(keys, day)
     target_day = F.date_add(F.col(day), horizon)
     gap = F.datediff(target_day, F.add_months(target_day, -12))
-    near, far = 365 - horizon, 366 - horizon
-    found = F.when(gap == 365, F.max(source).over(w.rangeBetween(-near, -near))).otherwise(
-        F.max(source).over(w.rangeBetween(-far, -far))
+    found = F.when(gap == 365, value_in_days(source, horizon - 365, keys, day)).otherwise(
+        value_in_days(source, horizon - 366, keys, day)
     )
     return F.when(~is_leap_day(target_day), found)
 
@@ -119,7 +103,7 @@ def forward_fill(
     df: DataFrame, columns: Sequence[str], keys: Sequence[str] = SERIES, day: str = "c_date"
 ) -> DataFrame:
     """Replace a NULL by the last known value of the same series."""
-    past = series_window(keys, day).rowsBetween(Window.unboundedPreceding, 0)
+    past = rows_of_series(keys, day).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({c: F.last(c, ignorenulls=True).over(past) for c in columns})
 
 
@@ -184,13 +168,11 @@ def input_target_dates(matrix: DataFrame, target: str = "log_units_sold", horizo
 
 def weekday_mean(target: str, weeks: int, keys=SERIES, day: str = "c_date") -> Column:
     """Mean of the same weekday over the ``weeks`` weeks before today."""
-    w = Window.partitionBy(*keys, F.weekday(day)).orderBy(F.unix_date(day)).rangeBetween(-7 * weeks, -1)
-    return F.avg(target).over(w)
+    return over_days(f"avg({target})", -7 * weeks, -1, (*keys, f"weekday({day})"), day)
 
 
 def same_day_mean(target: str, years: int, keys=SERIES, day: str = "c_date") -> Column:
     """Mean of the same day-of-year over the ``years`` years before today (start included)."""
-    w = series_window(keys, day)
     here = F.col(day)
     oldest = F.add_months(here, -12 * years)
     values = []
@@ -198,7 +180,7 @@ def same_day_mean(target: str, years: int, keys=SERIES, day: str = "c_date") ->
         for gap in range(365 * n, 365 * n + (n + 3) // 4 + 1):
             then = F.date_sub(here, gap)
             same = (F.dayofyear(then) == F.dayofyear(here)) & (F.year(then) == F.year(here) - n)
-            found = F.max(target).over(w.rangeBetween(-gap, -gap))
+            found = value_in_days(target, -gap, keys, day)
             values.append(F.when(same & (then >= oldest), found))
     known = F.filter(F.array(*values), lambda x: x.isNotNull())
     total = F.aggregate(known, F.lit(0.0), lambda acc, x: acc + x)
@@ -207,17 +189,16 @@ def same_day_mean(target: str, years: int, keys=SERIES, day: str = "c_date") ->
 
 def upcoming_count(flag: str, days: int, keys=SERIES, day: str = "c_date") -> Column:
     """How often ``flag`` holds in the ``days`` days after today; 0 when no row lies there."""
-    w = series_window(keys, day).rangeBetween(1, days)
-    return F.coalesce(F.sum(F.col(flag).cast("int")).over(w), F.lit(0))
+    return F.coalesce(over_days(f"sum(int({flag}))", 1, days, keys, day), F.lit(0))
 
 
 def two_row_min(target: str, keys=SERIES, day: str = "c_date") -> Column:
     """Minimum of this and the previous row; NULL unless both are known."""
-    w = series_window(keys, day).rowsBetween(-1, 0)
+    w = rows_of_series(keys, day).rowsBetween(-1, 0)
     return F.when(F.count(target).over(w) == 2, F.min(target).over(w))
 
 
 def trailing_list(target: str, days: int, keys=SERIES, day: str = "c_date") -> Column:
     """Values of the last ``days`` days, oldest first."""
-    rows = F.collect_list(F.struct(F.col(day).alias("d"), F.col(target).alias("x")))
-    return F.transform(F.sort_array(rows.over(trailing(days, keys, day))), lambda r: r["x"])
+    rows = over_days(f"collect_list(struct({day} AS d, {target} AS x))", 1 - days, 0, keys, day)
+    return F.transform(F.sort_array(rows), lambda r: r["x"])

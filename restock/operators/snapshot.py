@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restock.functions.numeric import log_units
-
-SERIES = ("product_id", "store_id")
-
-
-def value_in_days(value: Column, offset: int, keys=SERIES, day: str = "c_date") -> Column:
-    """``value`` of the row exactly ``offset`` days later (negative: earlier) in the same series.
-
-    A RANGE frame of zero width does the work of a shifted self-join without a second shuffle; it
-    needs at most one row per series and day.
-    """
-    window = Window.partitionBy(*keys).orderBy(F.unix_date(day)).rangeBetween(offset, offset)
-    return F.max(value).over(window)
-
+from restock.operators.frames import value_in_days
 
 def one_event_per_store_day(eventstores: DataFrame) -> DataFrame:
     """Two events may share a store-day; the smallest id stands for both so sales never repeat."""
@@ -75,14 +63,12 @@ def training_snapshot(
     labelled = labelled_sales(wide, eventstores, promotions, products)
     steps = range(1, horizon + 1)
     ahead = {
-        **{f"next_{h}d_event_id": value_in_days(F.col("event_id"), h) for h in steps},
+        **{f"next_{h}d_event_id": value_in_days("event_id", h) for h in steps},
         **{
-            f"next_{h}d_is_on_promo": F.coalesce(
-                value_in_days(F.col("is_on_promo"), h), F.lit(False)
-            )
+            f"next_{h}d_is_on_promo": F.coalesce(value_in_days("is_on_promo", h), F.lit(False))
             for h in steps
         },
-        **{f"h{h}_log_units_sold": value_in_days(F.col("log_units_sold"), h) for h in steps},
+        **{f"h{h}_log_units_sold": value_in_days("log_units_sold", h) for h in steps},
     }
     return (
         labelled.select("*", *[column.alias(name) for name, column in ahead.items()])

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from restock.session import cut_lineage
+
 WORKSHOP_GROUPS = 6
 
 
@@ -73,6 +75,36 @@ class StarSchema:
             )
         )
 
+    def daily_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(sales, promotions, eventstores) from a single pass over the lines.
+
+        The daily aggregate is far smaller than the lines; it is checkpointed once so that the three
+        tables do not scan the lines again. Of several events on a store-day the smallest id stays.
+        """
+        campaign = F.when((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075), F.col("l_linenumber"))
+        daily = cut_lineage(
+            self._lines()
+            .groupBy("p_id", "s_id", "day")
+            .agg(
+                F.sum("l_quantity").cast("long").alias("units"),
+                F.max("l_discount").alias("max_disc"),
+                F.min(campaign).alias("campaign"),
+            )
+        )
+        sales = daily.select(
+            F.col("p_id").alias("sa_p_id"),
+            F.col("s_id").alias("sa_s_id"),
+            F.col("day").alias("sa_date"),
+            F.col("units").alias("sa_units_sold"),
+        )
+        promotions = daily.filter(F.col("max_disc") >= 0.09).select(
+            F.col("p_id").alias("pr_p_id"), F.col("s_id").alias("pr_s_id"), F.col("day").alias("pr_date")
+        )
+        eventstores = daily.filter(F.col("campaign").isNotNull()).select(
+            F.col("campaign").alias("es_e_id"), F.col("s_id").alias("es_s_id"), F.col("day").alias("es_date")
+        )
+        return sales, promotions, eventstores
+
     def products(self) -> DataFrame:
         number = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("int")
         return (
