@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "feature_queries",
+    "relational_queries",
 )
 
 
