@@ -5,6 +5,8 @@ from importlib import import_module
 MODULES = (
     "feature_queries",
     "relational_queries",
+    "source_queries",
+    "planning_queries",
 )
 
 

@@ -343,12 +343,11 @@ def _(core):
     ),
 )
 def _(core):
-    first = F.lit("1995-01-01").cast("date")
-    last = F.lit("2001-12-31").cast("date")
+    known = core.sales().select(F.col("sa_date").alias("c_date")).distinct()
+    first, last = known.agg(F.min("c_date")).scalar(), known.agg(F.max("c_date")).scalar()
     days = relational.active_days(
         core.procurements(), "pc_active_from", "pc_active_upto", first, last, "c_date"
     )
-    known = core.sales().select(F.col("sa_date").alias("c_date")).distinct()
     return days.join(known, "c_date", "left_semi").select("pc_p_id", "pc_s_id", "c_date")
 
 
@@ -505,13 +504,13 @@ def _(core):
     "A7_global_min_max_scaling",
     sql(
         "sales",
-        """select sa_p_id, sa_s_id, sa_date, round((sa_units_sold - lo) / (hi - lo), 6) scaled
+        """select sa_p_id, sa_s_id, sa_date, (sa_units_sold - lo) / (hi - lo) scaled
  from sales cross join (select min(sa_units_sold) lo, max(sa_units_sold) hi from sales)""",
     ),
 )
 def _(core):
     s = core.sales()
-    return s.select("sa_p_id", "sa_s_id", "sa_date", r6(relational.min_max_scaled(s, "sa_units_sold")).alias("scaled"))
+    return s.select("sa_p_id", "sa_s_id", "sa_date", relational.min_max_scaled(s, "sa_units_sold").alias("scaled"))
 
 
 @query("A8_distinct", sql("sales", "select distinct sa_p_id, sa_s_id from sales"))

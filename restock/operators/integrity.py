@@ -81,15 +81,15 @@ def violations(
 
 
 def assign_ids(batch: DataFrame, id_col: str, last_id: int) -> DataFrame:
-    """Consecutive ids after ``last_id``: partition sizes give offsets, no global sort.
+    """Consecutive ids after ``last_id``: partition sizes give offsets, no sort of the rows.
 
-    The batch is checkpointed first, so both passes see the same partitions.
+    ``batch`` must be checkpointed, so that both passes see the same partitions.
     """
-    fixed = cut_lineage(batch).withColumn("_part", F.spark_partition_id()).withColumn(
+    fixed = batch.withColumn("_part", F.spark_partition_id()).withColumn(
         "_seq", F.monotonically_increasing_id()
     )
     sizes = fixed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
-    # one row per partition of the batch
+    # this window sees one row per partition of the batch, never the batch itself
     earlier = Window.partitionBy(F.lit(1)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     new_id = F.lit(last_id) + 1 + F.col("_before") + F.col("_seq") - F.col("_first")
@@ -102,55 +102,64 @@ def assign_ids(batch: DataFrame, id_col: str, last_id: int) -> DataFrame:
 
 @dataclass
 class LoadResult:
+    """``ids`` holds the new ids of a written batch, ``violations`` the reasons of a refused one."""
+
     written: bool
-    rows: int
-    ids: DataFrame | None
-    violations: DataFrame | None
+    ids: DataFrame | None = None
+    violations: DataFrame | None = None
 
 
 class CoreStore:
-    """Core tables as parquet folders below ``root``."""
+    """Core tables as parquet below ``root/<table>/v<N>``.
+
+    A patch writes a whole new version and readers take the newest finished one, so a job that
+    fails half-way leaves the table as it was.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _version(self, name: str) -> int | None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        files = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return None
+        done = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/v*/_SUCCESS")
+        found = [status.getPath().getParent().getName() for status in files.globStatus(done)]
+        return max((int(v[1:]) for v in found), default=None)
 
-    def exists(self, name: str) -> bool:
-        jvm = self.spark._jvm
-        target = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return files.exists(target)
+    def _path(self, name: str, version: int) -> str:
+        return f"{self.root}/{name}/v{version}"
 
     def table(self, name: str) -> DataFrame:
+        """Every stored row, with the declared schema."""
         struct = CORE_TABLES[name].struct
-        if not self.exists(name):
+        version = self._version(name)
+        if version is None:
             return self.spark.createDataFrame([], struct)
-        return self.spark.read.schema(struct).parquet(self.path(name))
+        return self.spark.read.schema(struct).parquet(self._path(name, version))
 
     def append(self, name: str, batch: DataFrame) -> LoadResult:
         """All-or-nothing append: any violation leaves the table as it was.
 
         An empty batch is rejected. Missing optional columns become NULL or their default, ids
-        continue after the largest stored id.
+        continue after the largest stored id. The batch is computed once and checkpointed.
         """
         spec = CORE_TABLES[name]
-        shaped = _shape(batch, spec)
+        shaped = cut_lineage(_shape(batch, spec))
         if shaped.isEmpty():
             raise ValueError(f"no {name} provided")
         stored = self.table(name)
         parents = {parent: self.table(parent) for parent, _ in spec.references.values()}
         broken = violations(shaped, spec, stored, parents)
         if not broken.isEmpty():
-            return LoadResult(False, 0, None, broken)
+            return LoadResult(False, violations=broken)
         last = stored.agg(F.max(spec.id_col)).first()[0] or 0
-        numbered = cut_lineage(assign_ids(shaped.drop(spec.id_col), spec.id_col, last))
-        numbered.select(*spec.columns).write.mode("append").option("compression", "zstd").parquet(
-            self.path(name)
-        )
-        return LoadResult(True, numbered.count(), numbered.select(spec.id_col), None)
+        numbered = assign_ids(shaped.drop(spec.id_col), spec.id_col, last)
+        path = self._path(name, self._version(name) or 0)
+        numbered.select(*spec.columns).write.mode("append").option("compression", "zstd").parquet(path)
+        return LoadResult(True, ids=self.table(name).filter(F.col(spec.id_col) > last).select(spec.id_col))
 
     def patch(self, name: str, changes: DataFrame) -> DataFrame:
         """Apply partial updates by id, all or nothing; returns the ids that do not exist.
@@ -163,13 +172,12 @@ class CoreStore:
             changes.select(spec.id_col).join(stored.select(spec.id_col), spec.id_col, "left_anti")
         )
         patched = cut_lineage(patched_table(stored, changes, spec.id_col))
-        rules = {f"required {c}": f"{c} IS NOT NULL" for c in spec.required} | spec.checks
-        broken = duplicate_keys(patched, None, spec.unique).unionByName(
-            range_violations(patched, rules, spec.unique)
-        )
+        parents = {parent: self.table(parent) for parent, _ in spec.references.values()}
+        broken = violations(patched, spec, None, parents)
         if not broken.isEmpty():
             raise ValueError(f"{name}: update breaks {broken.first().asDict()}")
-        patched.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        path = self._path(name, (self._version(name) or 0) + 1)
+        patched.write.option("compression", "zstd").parquet(path)
         return unknown
 
 

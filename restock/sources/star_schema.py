@@ -270,9 +270,17 @@ class StarSchema:
         )
 
     def nation_flows(self) -> DataFrame:
-        """Shipped volume between customer nation and supplier nation: an edge list whose small
-        integer weights come from line counts."""
-        lines = self.raw("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_quantity")
+        """Shipped volume between customer nation and supplier nation."""
+        return self._flows(None)
+
+    def monthly_flows(self) -> DataFrame:
+        """:meth:`nation_flows` per ship month; months are numbered ``year * 12 + month``."""
+        return self._flows(F.col("l_shipdate"))
+
+    def _flows(self, stamp) -> DataFrame:
+        lines = self.raw("lineitem").select(
+            "l_orderkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate"
+        )
         orders = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
         customer = self.raw("customer").select(
             F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("src")
@@ -280,11 +288,16 @@ class StarSchema:
         supplier = self.raw("supplier").select(
             F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")
         )
+        keys = ["src", "dst"]
+        if stamp is not None:
+            month = (F.year(stamp) * 12 + F.month(stamp)).cast("int")
+            lines = lines.withColumn("month_no", month)
+            keys = ["month_no", *keys]
         return (
             lines.join(orders, "l_orderkey")
             .join(customer, "o_custkey")
             .join(supplier, "l_suppkey")
-            .groupBy("src", "dst")
+            .groupBy(*keys)
             .agg(
                 F.count("*").alias("n_lines"),
                 F.sum("l_linenumber").alias("line_sum"),

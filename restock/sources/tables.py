@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from restock.schemas import CORE_TABLES
-
 
 def landing_path(root: str, timestamp: str, table: str) -> str:
     return f"{root.rstrip('/')}/{timestamp}/{table}.parquet"
@@ -50,10 +48,5 @@ def run_sql(spark: SparkSession, text: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(text, **tables)
 
 
-def read_core(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Every row of one stored core table, with its declared schema."""
-    return spark.read.schema(CORE_TABLES[table].struct).parquet(f"{root.rstrip('/')}/{table}")
-
-
 def literal_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
