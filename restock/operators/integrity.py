@@ -83,7 +83,8 @@ def violations(
 def assign_ids(batch: DataFrame, id_col: str, last_id: int) -> DataFrame:
     """Consecutive ids after ``last_id``: partition sizes give offsets, no sort of the rows.
 
-    ``batch`` must be checkpointed, so that both passes see the same partitions.
+    ``batch`` must be read from files (see ``cut_lineage``), so that both passes see the same
+    partitions.
     """
     fixed = batch.withColumn("_part", F.spark_partition_id()).withColumn(
         "_seq", F.monotonically_increasing_id()
@@ -144,7 +145,7 @@ class CoreStore:
         """All-or-nothing append: any violation leaves the table as it was.
 
         An empty batch is rejected. Missing optional columns become NULL or their default, ids
-        continue after the largest stored id. The batch is computed once and checkpointed.
+        continue after the largest stored id. The batch is computed once and staged.
         """
         spec = CORE_TABLES[name]
         shaped = cut_lineage(_shape(batch, spec))

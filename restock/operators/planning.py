@@ -92,6 +92,21 @@ def _wanted(limits: PlanLimits) -> tuple[Column, Column]:
     return need.cast("int"), room.cast("int")
 
 
+def _asked(today: DataFrame, granted: DataFrame, links: DataFrame) -> DataFrame:
+    """Packages each pair still asks for over one link, after what it was granted so far."""
+    got = granted.groupBy(*PAIR).agg(F.sum("units").cast("int").alias("got"))
+    rest = today.join(got, PAIR, "left").fillna(0, ["got"])
+    need, room = F.col("need") - F.col("got"), F.col("room") - F.col("got")
+    size = F.col("package_size")
+    packages = F.least(F.ceil(need / size), F.floor(room / size)).cast("int")
+    return (
+        rest.filter(need > 0)
+        .join(links, PAIR)
+        .select(*PAIR, "w_id", need.alias("need"), packages.alias("packages"), "package_size")
+        .filter("packages > 0")
+    )
+
+
 def _grant(asked: DataFrame, left: DataFrame) -> DataFrame:
     """Share each workshop's remaining capacity in order of need.
 
@@ -126,7 +141,7 @@ def replenishment_plan(
     not optimal. A cell whose stock stays below the safety level shows up in :func:`audit_plan`.
 
     The day loop has ``window`` steps and the link loop one step per link of a pair (at most the
-    number of workshops); each step is a checkpointed job over all pairs.
+    number of workshops); each step is one staged job over all pairs.
     """
     demand = cut_lineage(cell_demand(inputs.needs))
     links = cut_lineage(ranked_links(inputs.links))
@@ -135,51 +150,32 @@ def replenishment_plan(
     stock = demand.select(*PAIR).distinct().join(
         inputs.stocks.select(*PAIR, F.col("ending_inventory").cast("int").alias("stock")), PAIR, "left"
     ).fillna(0, ["stock"])
+    nothing = links.filter("false").select(
+        *PAIR, "w_id", F.lit(0).alias("packages"), "package_size", F.lit(0).alias("units")
+    )
     orders, cells = [], []
     for day in range(1, window + 1):
-        today = demand.filter(F.col("c_rank") == day).join(stock, PAIR)
         need, room = _wanted(limits)
-        pending = cut_lineage(
-            today.select(*PAIR, "demand", F.col("stock"), need.alias("need"), room.alias("room"))
+        today = cut_lineage(
+            demand.filter(F.col("c_rank") == day)
+            .join(stock, PAIR)
+            .select(*PAIR, "demand", "stock", need.alias("need"), room.alias("room"))
         )
-        left = capacity.filter(F.col("c_rank") == day).select(
-            "w_id", F.col("capacity").alias("capacity_left")
-        )
-        granted_today: list[DataFrame] = []
+        granted = nothing
         for rank in range(1, n_ranks + 1):
-            per_size = lambda units, how: how(F.col(units) / F.col("package_size")).cast("int")
-            asked = (
-                pending.filter("need > 0")
-                .join(links.filter(F.col("link_rank") == rank), PAIR)
-                .withColumn("packages", F.least(per_size("need", F.ceil), per_size("room", F.floor)))
-                .filter("packages > 0")
-                .select(*PAIR, "w_id", "need", "packages", "package_size")
-            )
-            granted = cut_lineage(_grant(asked, left))
-            if granted.isEmpty():
-                continue
-            granted_today.append(granted)
+            asked = _asked(today, granted, links.filter(F.col("link_rank") == rank))
             used = granted.groupBy("w_id").agg(F.sum("units").alias("used"))
-            left = left.join(used, "w_id", "left").select(
-                "w_id", (F.col("capacity_left") - F.coalesce("used", F.lit(0))).alias("capacity_left")
-            )
-            got = granted.select(*PAIR, F.col("units").alias("got"))
-            pending = pending.join(got, PAIR, "left").select(
-                *PAIR,
-                "demand",
-                "stock",
-                (F.col("need") - F.coalesce("got", F.lit(0))).alias("need"),
-                (F.col("room") - F.coalesce("got", F.lit(0))).alias("room"),
+            left = (
+                capacity.filter(F.col("c_rank") == day)
+                .join(used, "w_id", "left")
+                .select("w_id", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("capacity_left"))
             )
-            left, pending = cut_lineage(left), cut_lineage(pending)
-        today_orders = None
-        if granted_today:
-            today_orders = reduce(DataFrame.unionByName, granted_today).withColumn("c_rank", F.lit(day))
-            orders.append(today_orders)
-            delivered = today_orders.groupBy(*PAIR).agg(F.sum("units").cast("int").alias("orders"))
-            flow = pending.join(delivered, PAIR, "left").fillna(0, ["orders"])
-        else:
-            flow = pending.withColumn("orders", F.lit(0))
+            share = cut_lineage(_grant(asked, left))
+            if not share.isEmpty():
+                granted = share if granted is nothing else granted.unionByName(share)
+        orders.append(granted.withColumn("c_rank", F.lit(day)))
+        delivered = granted.groupBy(*PAIR).agg(F.sum("units").cast("int").alias("orders"))
+        flow = today.join(delivered, PAIR, "left").fillna(0, ["orders"])
         opening = F.col("stock") + F.col("orders")
         met = F.least(F.col("demand"), F.greatest(F.lit(0), opening - limits.safety_stock))
         done = cut_lineage(
@@ -196,13 +192,7 @@ def replenishment_plan(
         )
         cells.append(done)
         stock = done.select(*PAIR, F.col("closing_stocks").alias("stock"))
-    plan = reduce(DataFrame.unionByName, cells)
-    if not orders:
-        empty = links.filter("false").select(
-            *PAIR, "w_id", F.lit(0).alias("packages"), "package_size", F.lit(0).alias("units"), F.lit(0).alias("c_rank")
-        )
-        return empty, plan
-    return reduce(DataFrame.unionByName, orders), plan
+    return reduce(DataFrame.unionByName, orders), reduce(DataFrame.unionByName, cells)
 
 
 # --- cost and audit ----------------------------------------------------------------------------

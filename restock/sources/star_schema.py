@@ -78,7 +78,7 @@ class StarSchema:
     def daily_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(sales, promotions, eventstores) from a single pass over the lines.
 
-        The daily aggregate is far smaller than the lines; it is checkpointed once so that the three
+        The daily aggregate is far smaller than the lines; it is staged once so that the three
         tables do not scan the lines again. Of several events on a store-day the smallest id stays.
         """
         campaign = F.when((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075), F.col("l_linenumber"))
