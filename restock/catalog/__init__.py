@@ -7,6 +7,8 @@ MODULES = (
     "relational_queries",
     "source_queries",
     "planning_queries",
+    "network_queries",
+    "forecast_queries",
 )
 
 
