@@ -236,3 +236,78 @@ def _(core):
 
 
 query("M12_residual_summary", DESCRIBE_SQL)(_described)
+
+
+# --- N17: the weekly run -----------------------------------------------------------------------
+
+
+def write_landing(core) -> str:
+    """The core tables as a landing batch with names instead of ids."""
+    from restock.sources import tables
+
+    root = staging_path(core.spark, "landing")
+    p = core.products().select("p_id", "p_name")
+    s = core.stores().select("s_id", "s_name")
+    w = core.workshops().select("w_id", "w_name")
+    e = core.events().select("e_id", "e_name")
+
+    def named(df, prefix, *dims):
+        for names, key in dims:
+            id_col = names.columns[0]
+            df = df.join(names.withColumnRenamed(id_col, f"{prefix}_{key}_id"), f"{prefix}_{key}_id").drop(f"{prefix}_{key}_id")
+        return df
+
+    sales, promotions, _ = core.daily_tables()
+    batch = {
+        "products": core.products().drop("p_id"),
+        "stores": core.stores().drop("s_id"),
+        "workshops": core.workshops().drop("w_id"),
+        "events": core.events().drop("e_id"),
+        "sales": named(sales, "sa", (p, "p"), (s, "s")),
+        "promotions": named(promotions, "pr", (p, "p"), (s, "s")),
+        "eventstores": named(core.eventstores(), "es", (s, "s"), (e, "e")),
+        "transportlinks": named(core.transportlinks(), "tl", (p, "p"), (s, "s"), (w, "w")),
+        "procurements": named(core.procurements(), "pc", (p, "p"), (s, "s")),
+        "stocks": named(core.stocks(), "sk", (p, "p"), (s, "s")),
+    }
+    for name, df in batch.items():
+        tables.write_parquet(df, tables.landing_path(root, AS_OF, name))
+    return root
+
+
+@query(
+    "N17_weekly_run",
+    sql(
+        "sales promotions products stores workshops all_eventstores",
+        f"""select 'products' as "table", count(*) n from products union all select 'stores', count(*) from stores
+ union all select 'workshops', count(*) from workshops union all select 'sales', count(*) from sales
+ union all select 'promotions', count(*) from promotions union all select 'eventstores', count(*) from all_eventstores
+ union all select 'demandpredictions', 2 * count(*) from sales where sa_date = date '{AS_OF}'
+ union all select 'demandfulfillments', 2 * (select count(*) from products) * (select count(*) from stores)
+ union all select 'broken plan rules', 0""",
+    ),
+)
+def _(core):
+    """Two planning days and tiny trees; counts of the written core tables and of broken rules."""
+    from restock.plans import weekly_run
+
+    params = weekly_run.WeeklyParams(
+        AS_OF, "1995-01-01", AS_OF, SPLIT, horizon=2, window=2, n_trials=1,
+        fixed_params={"maxIter": 1, "maxDepth": 2},
+    )
+    store, audit, _ = weekly_run.run_week(
+        core.spark, write_landing(core), staging_path(core.spark, "weekly"), params
+    )
+    counted = [
+        store.table(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n")
+        for name in (
+            "products", "stores", "workshops", "sales", "promotions", "eventstores",
+            "demandpredictions", "demandfulfillments",
+        )
+    ]
+    soft = ["safety_stock", "no_prediction"]
+    broken = audit.filter(~F.col("constraint").isin(soft)).agg(F.sum("violations").alias("n"))
+    result = broken.select(F.lit("broken plan rules").alias("table"), "n")
+    for part in counted:
+        result = result.unionByName(part)
+    return result
