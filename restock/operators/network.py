@@ -208,13 +208,10 @@ def place_sessions(requirements: DataFrame) -> DataFrame:
     Each round fills one period with the sessions that come first for their class, teacher and room.
     The number of rounds is the number of periods used; it is valid but not minimal.
     """
-    one_by_one = requirements.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    rest = cut_lineage(
-        one_by_one.select("class", "subject", "teacher", "room", "nth").withColumn(
-            "turn", F.xxhash64("class", "subject", "teacher", "room", "nth")
-        )
-    )
     key = ["class", "subject", "teacher", "room", "nth"]
+    wanted = requirements.groupBy(*key[:-1]).agg(F.sum("times").alias("times"))
+    one_by_one = wanted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    rest = cut_lineage(one_by_one.select(*key, F.xxhash64(*key).alias("turn")))
     placed: list[DataFrame] = []
     while not rest.isEmpty():
         now = cut_lineage(mutual_minima(rest, ["class", "teacher", "room"], ["turn", *key]))
