@@ -123,7 +123,7 @@ EVAL_PARTS = {
     "metrics": "select model, "
     + ", ".join(
         f"""1 - sum(power(h{h}_log_units_sold - p{h}, 2)) filter (p{h} is not null)
- / (var_pop(h{h}_log_units_sold) filter (p{h} is not null) * count(h{h}_log_units_sold) filter (p{h} is not null)) r{h},
+ / nullif(var_pop(h{h}_log_units_sold) filter (p{h} is not null) * count(h{h}_log_units_sold) filter (p{h} is not null), 0) r{h},
  avg(power(h{h}_log_units_sold - p{h}, 2)) l{h}"""
         for h in range(1, 8)
     )

@@ -29,13 +29,15 @@ def _key_text(columns: Sequence[str]):
 def duplicate_keys(batch: DataFrame, table: DataFrame | None, key: Sequence[str]) -> DataFrame:
     """Keys that repeat inside the batch or already exist in the table.
 
-    Counts are combined before the shuffle, so one key repeated many times costs nothing extra.
+    Counts are combined before the shuffle, so one key repeated many times costs nothing extra. The
+    stored table, whose keys are unique, is only asked for the keys of the batch: a small batch is
+    broadcast and the table is not shuffled.
     """
     key = list(key)
     counts = batch.groupBy(*key).agg(F.count("*").alias("rows"))
     if table is not None:
-        stored = table.select(*key).distinct().withColumn("_stored", F.lit(1))
-        counts = counts.join(stored, key, "left").withColumn(
+        hits = table.select(*key).join(counts.select(*key), key, "left_semi")
+        counts = counts.join(hits.withColumn("_stored", F.lit(1)), key, "left").withColumn(
             "rows", F.col("rows") + F.coalesce("_stored", F.lit(0))
         )
     return counts.filter("rows > 1").select(

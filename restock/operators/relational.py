@@ -46,12 +46,14 @@ def pop_columns(df: DataFrame, names: Sequence[str], key: Sequence[str]):
 # --- joins -------------------------------------------------------------------------------------
 
 
-def full_grid(small: DataFrame, large: DataFrame, shards: int = 32) -> DataFrame:
+def full_grid(small: DataFrame, large: DataFrame, shards: int | None = None) -> DataFrame:
     """Every row of ``small`` with every row of ``large``.
 
     The pairs are the result here. ``large`` is spread over ``shards`` by hash and ``small`` is
-    copied to each shard, so the grid is an equi-join that any number of tasks can share.
+    copied to each shard, so the grid is an equi-join that any number of tasks can share. There are
+    as many shards as shuffle partitions unless given.
     """
+    shards = shards or int(small.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     copies = small.withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     spread = large.withColumn("_shard", salt(large.columns, shards).cast("int"))
     return copies.join(spread, "_shard").drop("_shard")

@@ -41,9 +41,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _staging_root(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/restock/{spark.sparkContext.applicationId}"
+
+
 def staging_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/restock/{uuid.uuid4().hex}/{name}"
+    return f"{_staging_root(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_staging(spark: SparkSession) -> None:
+    """Delete the staged files of this application; call it once its results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from restock.session import build_session  # noqa: E402
+from restock.session import build_session, clear_staging  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,4 +22,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_staging(session)
     session.stop()
