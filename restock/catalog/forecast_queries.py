@@ -208,6 +208,24 @@ def _(core):
     )
 
 
+@query(
+    "M9_load_latest",
+    sql(SNAP_TABLES, f"select product_id, store_id, c_date, true same from ({n1_body()}) where c_date >= date '{SPLIT}'", snap=SNAP),
+)
+def _(core):
+    """The newest stored version predicts what the fitted model predicts."""
+    _, valid = train_valid(core)
+    model = fitted(core)
+    root = staging_path(core.spark, "registry")
+    for version in (1, 2):
+        model.save(f"{root}/models/demand/v{version}")
+    key = ["product_id", "store_id", "c_date"]
+    loaded = forecast.load_latest(core.spark, root, "demand").predict(valid)
+    again = loaded.select(*key, F.col("pred_h7_log_units_sold").alias("again"))
+    joined = model.predict(valid).join(again, key)
+    return joined.select(*key, (F.col("again") == F.col("pred_h7_log_units_sold")).alias("same"))
+
+
 @query(
     "M10_score_day",
     sql("sales", f"""select sa_p_id dp_p_id, sa_s_id dp_s_id, date '{AS_OF}' + cast(h as int) dp_date, true non_negative

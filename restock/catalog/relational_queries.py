@@ -323,15 +323,14 @@ def _(core):
     ),
 )
 def _(core):
-    s, w = core.sales().alias("s"), core.procurements().alias("w")
-    day = F.date_sub("s.sa_date", 3)
-    on = (
-        (F.col("s.sa_p_id") == F.col("w.pc_p_id"))
-        & (F.col("s.sa_s_id") == F.col("w.pc_s_id"))
-        & (F.col("w.pc_active_from") <= day)
-        & (day < F.col("w.pc_active_upto"))
+    windows = core.procurements().select(
+        F.col("pc_p_id").alias("sa_p_id"), F.col("pc_s_id").alias("sa_s_id"), "pc_active_from", "pc_active_upto"
     )
-    return s.join(w, on, "left").select("sa_p_id", "sa_s_id", "sa_date", "pc_active_from", "pc_active_upto")
+    asked = core.sales().select("sa_p_id", "sa_s_id", "sa_date", F.date_sub("sa_date", 3).alias("ask_date"))
+    joined = relational.interval_join(
+        asked, windows, ["sa_p_id", "sa_s_id"], "ask_date", "pc_active_from", "pc_active_upto"
+    )
+    return joined.drop("ask_date")
 
 
 @query(

@@ -30,7 +30,7 @@ KEY = [*SERIES, "c_date"]
 MISSING = -1000.0
 MAX_CATEGORIES = 64
 
-# ranges and fixed values of the reference's search, under Spark's parameter names
+# fixed values: search ranges, under Spark's parameter names
 SEARCH_SPACE = {
     "stepSize": ("uniform", 1e-5, 0.2),
     "minInstancesPerNode": ("step", 5, 50, 5),

@@ -22,7 +22,7 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class PlanLimits:
-    """Stock limits and cost weights (fixed values of the reference set-up)."""
+    """Stock limits and cost weights (fixed values)."""
 
     max_opening: int = 120
     overstock_level: int = 80

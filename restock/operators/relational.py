@@ -93,17 +93,32 @@ def active_days(
 
     The inequality join with a calendar becomes a clipped date sequence: no join at all.
     """
-    lo = F.greatest(F.col(start), first_day)
-    hi = F.least(F.date_sub(F.col(end), 1), last_day)
+    # greatest and least skip NULLs; without a day range there is no active day
+    known = first_day.isNotNull() & last_day.isNotNull()
+    lo = F.when(known, F.greatest(F.col(start), first_day))
+    hi = F.when(known, F.least(F.date_sub(F.col(end), 1), last_day))
     return (
         windows.withColumn("_lo", lo)
         .withColumn("_hi", hi)
-        .filter("_lo <= _hi")
+        .filter(F.col("_lo") <= F.col("_hi"))
         .withColumn(day, F.explode(F.sequence("_lo", "_hi", F.expr("interval 1 day"))))
         .drop("_lo", "_hi")
     )
 
 
+def interval_join(
+    facts: DataFrame, windows: DataFrame, keys: Sequence[str], day: str, start: str, end: str
+) -> DataFrame:
+    """Left join each fact to the windows of its key with ``start <= day < end``.
+
+    Windows become one row per day inside the facts' date range, so the join is an equi-join on key
+    and day; nothing compares every fact of a key with every window of it.
+    """
+    first, last = facts.agg(F.min(day)).scalar(), facts.agg(F.max(day)).scalar()
+    by_day = active_days(windows, start, end, first, last, day)
+    return facts.join(by_day, [*keys, day], "left")
+
+
 # --- aggregates --------------------------------------------------------------------------------
 
 

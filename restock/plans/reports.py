@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from restock.operators.relational import full_grid
+from restock.operators.relational import active_days, full_grid
 from restock.operators.reshape import planning_calendar, with_calendar
 
 
@@ -30,7 +30,8 @@ def procurement_needs(
 ) -> DataFrame:
     """Every product, store and planning day: predicted units and whether an order is allowed.
 
-    Both fact tables are cut to the planning days before they are joined.
+    Both fact tables are cut to the planning days before they are joined; procurement windows become
+    the planning days they cover, so overlapping windows give one row.
     """
     first, last = F.date_add(as_date(date_from), 1), F.date_add(as_date(date_from), window)
     grid = with_calendar(
@@ -42,27 +43,34 @@ def procurement_needs(
         F.col("dp_date").alias("c_date"),
         F.col("dp_mean").alias("pred_units_sold"),
     )
-    active = procurements.filter(
-        (F.col("pc_active_from") <= last) & (F.col("pc_active_upto") > first)
-    ).select(
-        F.col("pc_p_id").alias("p_id"),
-        F.col("pc_s_id").alias("s_id"),
-        "pc_active_from",
-        "pc_active_upto",
-    )
-    left = grid.join(expected, ["p_id", "s_id", "c_date"], "left").alias("l")
-    on = (
-        (F.col("l.p_id") == F.col("w.p_id"))
-        & (F.col("l.s_id") == F.col("w.s_id"))
-        & (F.col("w.pc_active_from") <= F.col("l.c_date"))
-        & (F.col("l.c_date") < F.col("w.pc_active_upto"))
+    may_order = (
+        active_days(
+            procurements.select(
+                F.col("pc_p_id").alias("p_id"),
+                F.col("pc_s_id").alias("s_id"),
+                "pc_active_from",
+                "pc_active_upto",
+            ),
+            "pc_active_from",
+            "pc_active_upto",
+            first,
+            last,
+            "c_date",
+        )
+        .select("p_id", "s_id", "c_date", F.lit(True).alias("active"))
+        .distinct()
     )
-    return left.join(active.alias("w"), on, "left").select(
-        "l.p_id",
-        "l.s_id",
-        "l.c_rank",
-        "l.pred_units_sold",
-        F.col("w.pc_active_from").isNotNull().alias("needs_order"),
+    cell = ["p_id", "s_id", "c_date"]
+    return (
+        grid.join(expected, cell, "left")
+        .join(may_order, cell, "left")
+        .select(
+            "p_id",
+            "s_id",
+            "c_rank",
+            "pred_units_sold",
+            F.coalesce("active", F.lit(False)).alias("needs_order"),
+        )
     )
 
 
