@@ -43,3 +43,46 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.top_k import top_k
 
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op3_token_efficiency_secrets")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from restock.llm.secret_scan import scan
+
+    return scan(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+DECONTAMINATION_SQL = r"""
+with tokens as (
+  select 'd' kind, row_number() over () as r, doc_id id,
+    regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from documents
+  union all
+  select 'b', row_number() over (), item_id,
+    regexp_extract_all(translate(coalesce("text", ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+windows as (
+  select distinct id item, k, list_slice(w, p, p + k - 1) g
+  from (select id, w, least(10, len(w)) k, unnest(generate_series(1, greatest(len(w) - 9, 1))) p
+        from tokens where kind = 'b' and len(w) > 0)),
+sizes as (select distinct k from windows),
+places as (
+  select r, k, p, list_slice(w, p, p + k - 1) g
+  from (select r, w, k, unnest(generate_series(1, len(w) - k + 1)) p from tokens, sizes where kind = 'd' and len(w) >= k)),
+found as (select places.r, places.k, p, item from places join windows on places.k = windows.k and places.g = windows.g),
+hits as (select r, count(distinct q) n from (select r, unnest(generate_series(p, p + k - 1)) q
+  from (select distinct r, k, p from found)) group by r),
+items as (select r, count(*) n, string_agg(i, ',' order by i) l
+  from (select distinct r, cast(item as varchar) i from found) group by r)
+select id doc_id, cast(len(w) as bigint) n_words, coalesce(hits.n, 0) n_hit, coalesce(items.n, 0) n_items,
+  sha256(coalesce(l, '')) items_sha256, coalesce(hits.n, 0) > 0 contaminated
+from tokens left join hits on hits.r = tokens.r left join items on items.r = tokens.r where kind = 'd'"""
+
+
+@query("op9_suffix_array_decontamination", DECONTAMINATION_SQL)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.decontaminate import contamination
+
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
