@@ -86,3 +86,21 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.decontaminate import contamination
 
     return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_karmarkar_karp_packing")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from restock.llm.packing import pack_documents
+
+    return pack_documents(table(spark, folder, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_offset_mapped_token_counts")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from restock.llm.token_counts import count_tokens
+
+    return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
