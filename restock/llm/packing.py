@@ -8,7 +8,8 @@ memory is bounded by a group and one document. Within a group:
    power of two, which need no padding,
 3. the other items are split into equal windows by differencing: the two partial partitions with the
    largest spread are merged so that the heavy windows of one meet the light windows of the other,
-4. if a window exceeds the capacity, the number of windows rises by one and step 3 is repeated.
+4. if a window exceeds the capacity, the number of windows rises by one and step 3 is repeated; the
+   added one is cut off like those of step 2 and doubles in size each time.
 
 Every id lies in exactly one piece. A null or empty text has the end id only. Repeated rows are packed
 row by row; an empty table gives no rows. Sequence ids are unique over the table, not dense.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from bisect import insort
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -93,27 +95,31 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, i
     windows = total // capacity
     cut = total if not windows else -(-(total - windows * capacity + windows * SPARE) // LEAST_CUT) * LEAST_CUT
     items.sort()
-    while cut:
-        need = min(capacity, 1 << (cut.bit_length() - 1))
-        cut -= need
+
+    def cut_off(need: int) -> list[tuple[int, int, int]]:
+        """A sequence of ``need`` ids off the ends of the largest items."""
         sequence = []
         while need:
             size, d, start = items.pop()
             take = min(size, need)
-            sequence.append((d, start + size - take, take))  # off the end of the item
+            sequence.append((d, start + size - take, take))
             if size > take:
-                items.append((size - take, d, start))
+                insort(items, (size - take, d, start))
             need -= take
-        items.sort()
-        sequences.append(sequence)
-    if items:
-        windows = max(1, windows)
-        while True:
-            sets = multiway_differencing([i[0] for i in items], windows)
-            if max(sum(items[i][0] for i in s) for s in sets) <= capacity:
-                break
-            windows += 1
-        sequences += [[(items[i][1], items[i][2], items[i][0]) for i in s] for s in sets if s]
+        return sequence
+
+    while cut:
+        need = min(capacity, 1 << (cut.bit_length() - 1))
+        sequences.append(cut_off(need))
+        cut -= need
+    more = LEAST_CUT
+    while items:
+        sets = multiway_differencing([i[0] for i in items], windows)
+        if max(sum(items[i][0] for i in s) for s in sets) <= capacity:
+            sequences += [[(items[i][1], items[i][2], items[i][0]) for i in s] for s in sets if s]
+            break
+        sequences.append(cut_off(min(more, capacity, 1 << (sum(i[0] for i in items).bit_length() - 1))))
+        more *= 2
     return sequences
 
 

@@ -104,3 +104,15 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op6_huffman_token_files")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from restock.llm.id_files import read_ids, write_ids
+    from restock.session import staging_path
+
+    path = staging_path(spark, "ids")
+    write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return read_ids(spark, path)
