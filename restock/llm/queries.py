@@ -116,3 +116,10 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     path = staging_path(spark, "ids")
     write_ids(table(spark, folder, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return read_ids(spark, path)
+
+
+@query("op8_site_style_tree")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.site_tree import extract
+
+    return extract(table(spark, folder, "pages"))
