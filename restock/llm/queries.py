@@ -123,3 +123,14 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.site_tree import extract
 
     return extract(table(spark, folder, "pages"))
+
+
+@query("op2_kneser_ney_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.common import fold
+    from restock.llm.language_id import learn, predict
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held = fold(F.col("doc_id"), 5) == 0
+    models = learn(docs, ~held)
+    return predict(docs.withColumn("held_out", held), models, keep=("doc_id", "held_out"))
