@@ -276,7 +276,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(
-    df: DataFrame, trainable: Column, sample_docs: int = SAMPLE_DOCS, quantile: float = 0.999, margin: float = 2.0,
+    df: DataFrame, trainable: Column, sample_docs: int = SAMPLE_DOCS, quantile: float = 0.999, margin: float = 3.0,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Models:
     """Fit the models on a bounded sample of the ``trainable`` rows with a label."""
