@@ -134,3 +134,10 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     held = fold(F.col("doc_id"), 5) == 0
     models = learn(docs, ~held)
     return predict(docs.withColumn("held_out", held), models, keep=("doc_id", "held_out"))
+
+
+@query("op1_dart_minhash_classes")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.dart_minhash import classes
+
+    return classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "kept")
