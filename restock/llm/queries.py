@@ -141,3 +141,11 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.dart_minhash import classes
 
     return classes(table(spark, folder, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query("op4_elias_fano_ngram_scores")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.common import fold
+    from restock.llm.ngram_score import score
+
+    return score(table(spark, folder, "documents"), fold(F.col("doc_id"), 7) == 2)
