@@ -11,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FOLDS_TEXT = "crc32 of the decimal document id"
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -57,3 +55,17 @@ def batch(schema: pa.Schema, columns: Iterable) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)],
         schema=schema,
     )
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_rows(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` and the name of a new column with monotonically_increasing_id()."""
+    name = free_name(df, "_row")
+    return df.withColumn(name, F.monotonically_increasing_id()), name

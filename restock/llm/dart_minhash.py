@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import batch, ragged, utf8_texts
+from restock.llm.common import batch, ragged, utf8_texts, with_rows
 from restock.llm.decontaminate import split_words
 from restock.session import cut_lineage
 
@@ -342,5 +342,6 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class."""
-    kept = cut_lineage(classes(docs, **options).where("kept").select(F.col("row").alias("_row")))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(kept, "_row", "left_semi").drop("_row")
+    numbered, row = with_rows(docs)
+    kept = cut_lineage(classes(docs, **options).where("kept").select(F.col("row").alias(row)))
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import ragged, utf8_texts
+from restock.llm.common import ragged, utf8_texts, with_rows
 from restock.session import cut_lineage
 
 SHARD_WORDS = 4_000_000
@@ -80,7 +80,7 @@ class SuffixArray:
 
     def _sort(self, n: int, depth: int) -> None:
         bits = max(1, int(len(self.numbers) + 1).bit_length())
-        self.bits, self.packed = bits, max(1, 63 // bits)
+        self.bits, self.packed = bits, max(1, min(63 // bits, depth))
         at = np.flatnonzero(self.left > 0)
         key = self.pack(self.words, at, self.left[at])
         order = np.argsort(key)
@@ -225,7 +225,10 @@ def find_hits(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, depth: int = 16, chunk_bytes: int = 32 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
 ) -> DataFrame:
-    """Per document row: doc_id, n_words, the hit spans in words, and the items found."""
+    """Per document row: row, doc_id, n_words, the hit spans in words, and the items found.
+
+    ``row`` is monotonically_increasing_id() over ``docs``.
+    """
     spark = docs.sparkSession
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")
@@ -244,7 +247,7 @@ def find_hits(
 
     parts = [benchmark_windows(chunk, window) for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes)]
     if len(parts) <= 1:
-        return against(parts[0] if parts else Windows([], [])).drop("row")
+        return against(parts[0] if parts else Windows([], []))
     found = None
     for part in parts:
         one = cut_lineage(against(part))
@@ -257,7 +260,6 @@ def find_hits(
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
         )
-        .drop("row")
     )
 
 
@@ -282,6 +284,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
+def remove_affected(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows that hold a benchmark window."""
+    numbered, row = with_rows(docs)
+    hit = cut_lineage(find_hits(docs, benchmark, **options).where(F.size("spans") > 0).select(F.col("row").alias(row)))
+    return numbered.join(hit, row, "left_anti").drop(row)
+
+
 def longest_matches(
     docs: DataFrame, benchmark: DataFrame, window: int = 10, depth: int = 16, chunk_bytes: int = 32 << 20,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",

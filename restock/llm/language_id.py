@@ -245,7 +245,7 @@ def predict(df: DataFrame, models: Models, text_col: str = "text", keep: tuple[s
     """``keep`` columns, lang_pred, score, entropy (nats per symbol), symbols, rejected; a row per row."""
     sent = df.sparkSession.sparkContext.broadcast(models)
     source = df.select(F.col(text_col).alias("_text"), *keep)
-    fields = [f for f in source.schema if f.name != "_text"]
+    fields = source.schema.fields[1:]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_PREDICTED_DDL])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

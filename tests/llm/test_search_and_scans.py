@@ -1,0 +1,182 @@
+"""Top-k search, secret scan, decontamination, page text against plain versions."""
+
+import math
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from restock.llm import decontaminate, secret_scan, site_tree, top_k
+
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def brute_top_k(rows, k):
+    usable = [
+        (i, [math.floor(1024 * x) for x in v])
+        for i, v in rows
+        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
+    queries = {}
+    for i, v in usable:
+        if i % 5 == 0:
+            queries.setdefault(i, v)
+    out = []
+    for q, v in queries.items():
+        scored = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q)
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 70)
+    monkeypatch.setattr(top_k, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(top_k, "QUERY_ROWS", 10)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]
+    rows += [(i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.5]) for i in range(300, 420)]  # ties
+    rows += [(3, rows[3][1]), (900, None), (None, [1.0]), (905, [float("nan")] * 6), (910, [1.0, None]), (915, []), (920, [5.0, 1.0])]
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, score int")
+    got = sorted(map(tuple, top_k.top_k(df, F.col("vec_id") % 5 == 0, 10).collect()))
+    assert got == brute_top_k(rows, 10)
+    assert top_k.top_k(df.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+    few = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>")
+    assert top_k.top_k(few, F.col("vec_id") == 0).count() == 3
+
+
+KEY = "q7Xz9Lm2Vt4Rb8Wc1Ns6Kd3Fh5Jg0Pyq"
+
+
+def spans(text):
+    return secret_scan.joined(secret_scan.find_secrets(text, secret_scan.load_encoding(VOCABULARY), 2.2))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("", ""),
+        ("password = 'abcdefghijkl'", "assign:0:24"),
+        ("PassWord: short", ""),
+        ("Api_Key=abcdefghijklm, apikey:abcdefghijklm", "assign:0:21,assign:23:43"),
+        ("password: token: abcdefghijklmnop", ""),
+        ("paſſword = abcdefghijklmnop", ""),
+        ("é AKIAABCDEFGHIJKLMN x AKIA12", "access:2:20"),
+        ("0123456789abcdef", "hex:0:16"),
+        ("0123456789abcde", ""),
+        (f"key {KEY}.", f"random:4:{4 + len(KEY)}"),
+        ("id 123e4567-e89b-12d3-a456-426614174000", ""),
+        ("D41D8CD98F00B204E9800998ECF8427E", ""),
+        ("get_element_by_identifier thisIsACamelCaseIdentifier some-long-kebab-word", ""),
+        ("thonstandwhichtheother", ""),
+    ],
+)
+def test_secret_spans(text, want):
+    assert spans(text) == want
+
+
+def test_secret_rows_and_redaction(spark):
+    df = spark.createDataFrame([(1, f"a {KEY} b", "s"), (2, None, "s"), (2, "", "s"), (3, 'token = "abcdefghijklmnop"', "s")], "doc_id long, text string, spans string")
+    rows = {(r.doc_id, r.spans) for r in secret_scan.scan(df, VOCABULARY).collect()}
+    assert rows == {(1, f"random:2:{2 + len(KEY)}"), (2, ""), (3, "assign:0:25")}
+    clean = secret_scan.redact(df, VOCABULARY)
+    assert clean.columns == df.columns
+    assert sorted(r.text or "-" for r in clean.collect()) == ["-", "-", "a [SECRET] b", 'token = "[SECRET]"']
+    assert secret_scan.scan(df.limit(0), VOCABULARY).count() == 0
+
+
+def brute_hits(docs, items, window):
+    out = []
+    for doc_id, text in docs:
+        words = decontaminate.split_words((text or "").encode())
+        hit, found = set(), set()
+        for item, t in items:
+            w = decontaminate.split_words((t or "").encode())
+            n = min(window, len(w))
+            grams = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+            for p in range(len(words) - n + 1) if n else ():
+                if tuple(words[p : p + n]) in grams:
+                    hit.update(range(p, p + n))
+                    found.add(str(item))
+        out.append((doc_id, len(words), len(hit), len(found)))
+    return sorted(out, key=repr)
+
+
+@pytest.fixture
+def shared_words(spark):
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice("a b c d é".split()) for _ in range(n))
+    items = [(k, text(rng.randint(1, 14))) for k in range(12)] + [(50, None), (51, "..."), (1, "a b c d é a"), (None, "B,a;c")]
+    docs = [(k, text(rng.choice((0, 2, 9, 60, 300)))) for k in range(40)] + [(7, items[3][1]), (90, None), (91, "c" * 3000), (None, "x " + items[0][1])]
+    return (
+        docs,
+        [(i if i is not None else "", t) for i, t in items],
+        spark.createDataFrame([(*d, "z") for d in docs], "doc_id long, text string, row string"),
+        spark.createDataFrame(items, "item_id long, text string"),
+    )
+
+
+@pytest.mark.parametrize("chunk_bytes", [1 << 20, 40])
+def test_contamination_equals_brute_force(shared_words, chunk_bytes, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 700)
+    docs, items, d, b = shared_words
+    rows = decontaminate.contamination(d, b, window=10, chunk_bytes=chunk_bytes).collect()
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in rows), key=repr)
+    assert got == brute_hits(docs, items, 10)
+    assert all(r.contaminated == (r.n_hit > 0) for r in rows)
+    left = decontaminate.remove_affected(d, b, chunk_bytes=chunk_bytes)
+    assert left.columns == d.columns
+    assert left.count() == sum(not r.contaminated for r in rows)
+
+
+def test_empty_benchmark_and_documents(shared_words):
+    _, _, d, b = shared_words
+    assert decontaminate.contamination(d.limit(0), b).count() == 0
+    rows = decontaminate.contamination(d, b.limit(0)).collect()
+    assert len(rows) == d.count() and not any(r.contaminated for r in rows)
+
+
+def test_longest_matches(spark):
+    d = spark.createDataFrame([(1, "x a b c d e f g y"), (2, "a b c d e q"), (3, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(9, "p a b c d e f g h"), (8, "zz")], "item_id long, text string")
+    rows = {(r.item_pos, r.length, r.doc_id, r.doc_pos) for r in decontaminate.longest_matches(d, b, window=3).collect()}
+    assert rows == {(1, 7, 1, 1), (2, 6, 1, 2), (3, 5, 1, 3), (4, 4, 1, 4), (5, 3, 1, 5)}
+
+
+def test_suffix_array_is_sorted():
+    rng = random.Random(2)
+    docs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))] for _ in range(30)] + [[b"a"] * 50] * 2
+    array = decontaminate.SuffixArray(docs, 16)
+    suffixes = []
+    for at in array.sa:
+        stop = at + array.left[at]
+        suffixes.append(array.words[at : min(stop, at + 16)].tolist())
+    assert suffixes == sorted(suffixes)
+    assert len(array.sa) == sum(map(len, docs))
+
+
+PAGES = [
+    ("", ""),
+    ("no markup &amp; more", "no markup & more"),
+    ("<nav>m</nav><article><h1>T</h1><p>a<b>b</b> c\n d<br>e<p>f</article><footer>x</footer>", "T\nab c d e\nf"),
+    ("<main><p>a</p><div class='post-comments'><p>c</p></div><aside>s</aside><form>f</form><p>b", "a\nb"),
+    ("<header>h</header><article><header><h1>T</h1></header><p>x</article>", "T\nx"),
+    ("<article><p>5 &lt; 6 &#233;</p><script>var a='<p>';</script><!-- c --><ul><li>i<li>j</ul></article>", "5 < 6 é\ni\nj"),
+    ("<div id=cookie-notice>n</div><p>text</p><unfinished", "text"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"),
+]
+
+
+@pytest.mark.parametrize("page, want", PAGES)
+def test_page_text(page, want):
+    assert site_tree.main_text(site_tree.parse(page), set()) == want
+
+
+def test_style_tree_removes_what_a_site_repeats(spark):
+    rows = [(k, f"http://a.example/{k}", f"<div class=top>Welcome</div><div class=x><p>story {k}</p></div><div>bye</div>", "z") for k in range(12)]
+    rows += [(20, "http://b.example/", "<div class=top>Welcome</div><p>one page</p>", "z"), (21, None, None, "z"), (22, "http://a.example:80/q", "", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
+    assert got == {k: f"story {k}" for k in range(12)} | {20: "Welcome\none page", 21: "", 22: ""}
+    assert site_tree.extract(df.limit(0)).count() == 0
