@@ -104,9 +104,10 @@ def _(core):
 @query(
     "L2_inventory_balance",
     sql(
-        "demandfulfillments procurementplans",
-        """select df_p_id p_id, df_s_id s_id, df_date, cast(sum(coalesce(u, 0) - df_met_demand) over w as bigint) closing_stocks,
- cast(sum(coalesce(u, 0) - df_met_demand) over w + df_met_demand as bigint) opening_stocks from demandfulfillments
+        "demandfulfillments procurementplans stocks",
+        f"""select df_p_id p_id, df_s_id s_id, df_date, cast(coalesce(start, 0) + sum(coalesce(u, 0) - df_met_demand) over w as bigint) closing_stocks,
+ cast(coalesce(start, 0) + sum(coalesce(u, 0) - df_met_demand) over w + df_met_demand as bigint) opening_stocks from demandfulfillments
+ left join (select sk_p_id, sk_s_id, sk_units start from stocks where sk_date = date '{AS_OF}') on sk_p_id = df_p_id and sk_s_id = df_s_id
  left join (select pl_p_id, pl_s_id, pl_date, sum(pl_expected_units) u from procurementplans group by 1, 2, 3)
  on pl_p_id = df_p_id and pl_s_id = df_s_id and pl_date = df_date
  window w as (partition by df_p_id, df_s_id order by df_date rows between unbounded preceding and current row)""",
@@ -120,8 +121,7 @@ def _(core):
         "p_id", "s_id", "df_date", F.unix_date("df_date").alias("c_rank"),
         F.coalesce("orders", F.lit(0)).alias("orders"), F.col("df_met_demand").alias("met_demand"),
     )
-    no_stock = reports.current_stocks(core.stocks(), "1900-01-01")
-    return planning.inventory_balance(flows, no_stock).select(
+    return planning.inventory_balance(flows, reports.current_stocks(core.stocks(), AS_OF)).select(
         "p_id", "s_id", "df_date", "closing_stocks", "opening_stocks"
     )
 

@@ -202,6 +202,11 @@ def instance_of(df: DataFrame) -> DataFrame:
     return df.withColumn("instance", number).drop("file")
 
 
+def nation_keys(core) -> list[int]:
+    """The nation numbers, which name the rows and columns of the matrices."""
+    return [r.n_nationkey for r in core.raw("nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+
+
 def month_cells(core) -> DataFrame:
     return core.monthly_flows().withColumnRenamed("month_no", "instance")
 
@@ -215,15 +220,16 @@ MONTH_SQL = """select cast(year(l_shipdate) * 12 + month(l_shipdate) as int) as
 def edge_instance(core) -> str:
     """Files with comments, a sizes line and 1-based edges."""
     cells = month_cells(core)
+    n = len(nation_keys(core))
     head = cells.groupBy("instance").agg(F.count("*").alias("n")).select(
         "instance",
         F.posexplode(
-            F.array(F.lit("# from to lines quantity"), F.lit(""), F.concat(F.lit("25 "), F.col("n").cast("string"), F.lit(" 40")))
+            F.array(F.lit("# from to lines quantity"), F.lit(""), F.concat(F.lit(f"{n} "), F.col("n").cast("string"), F.lit(" 40")))
         ).alias("line_no", "text"),
     )
     body = cells.select(
         "instance",
-        (F.col("src") * 25 + F.col("dst") + 10).alias("line_no"),
+        (F.col("src") * n + F.col("dst") + 10).alias("line_no"),
         F.concat_ws(" ", F.col("src") + 1, F.col("dst") + 1, "n_lines", "quantity").alias("text"),
     )
     return write_text_files(head.unionByName(body), staging_path(core.spark, "edges"))
@@ -231,7 +237,7 @@ def edge_instance(core) -> str:
 
 @query(
     "S9_text_instance",
-    sql("", """select "instance", 25 n_nodes, n n_edges, 40 budget, src + 1 src, dst + 1 dst, n_lines, quantity
+    sql("", """select "instance", cast((select count(*) from nation) as int) n_nodes, n n_edges, 40 budget, src + 1 src, dst + 1 dst, n_lines, quantity
  from m join (select "instance", count(*) n from m group by 1) using ("instance")""", m=MONTH_SQL),
 )
 def _(core):
@@ -267,15 +273,17 @@ def full_cells(core) -> DataFrame:
 
 @query("S10_wrapped_matrix", sql("", FULL_MATRIX_SQL, m=MONTH_SQL))
 def _(core):
-    rows = full_cells(core).groupBy("instance", "src").pivot("dst", list(range(25))).agg(F.sum("quantity"))
-    # a row of 25 values is wrapped over lines of 10, 10 and 5 values
+    nations = nation_keys(core)
+    rows = full_cells(core).groupBy("instance", "src").pivot("dst", nations).agg(F.sum("quantity"))
+    # a row is wrapped over lines of at most 10 values
     pieces = [
-        F.concat_ws(" ", *[F.col(str(c)).cast("string") for c in range(a, min(a + 10, 25))]) for a in (0, 10, 20)
+        F.concat_ws(" ", *[F.col(str(c)).cast("string") for c in nations[a : a + 10]])
+        for a in range(0, len(nations), 10)
     ]
     body = rows.select("instance", "src", F.posexplode(F.array(*pieces)).alias("k", "text")).select(
-        "instance", (F.col("src") * 3 + F.col("k") + 1).alias("line_no"), "text"
+        "instance", (F.col("src") * len(pieces) + F.col("k") + 1).alias("line_no"), "text"
     )
-    head = rows.select("instance").distinct().select("instance", F.lit(0).alias("line_no"), F.lit("25").alias("text"))
+    head = rows.select("instance").distinct().select("instance", F.lit(0).alias("line_no"), F.lit(str(len(nations))).alias("text"))
     path = write_text_files(head.unionByName(body), staging_path(core.spark, "matrix"))
     matrix = instance_of(text_instances.read_wrapped_matrix(core.spark, path))
     return matrix.withColumns({c: F.col(c).cast("int") for c in ("row", "col")})
@@ -293,17 +301,19 @@ def _(core):
     ),
 )
 def _(core):
-    rows = full_cells(core).groupBy("instance", "src").pivot("dst", list(range(25))).agg(F.sum("quantity"))
-    values = [F.col(str(c)) for c in range(25)]
+    nations = nation_keys(core)
+    n = len(nations)
+    rows = full_cells(core).groupBy("instance", "src").pivot("dst", nations).agg(F.sum("quantity"))
+    values = [F.col(str(c)) for c in nations]
     total = sum(values[1:], values[0]) + 1
     lines = F.array(total.cast("string"), F.concat_ws(" ", *[v.cast("string") for v in values]))
     body = rows.select("instance", "src", F.posexplode(lines).alias("k", "text")).select(
-        "instance", (F.col("src") * 2 + F.col("k") + 100).alias("line_no"), "text"
+        "instance", (F.col("src") * 2 + F.col("k") + n + 1).alias("line_no"), "text"
     )
     months = rows.select("instance").distinct()
     head = months.select(
         "instance",
-        F.posexplode(F.array(F.lit("25 25"), *[F.lit(f"{1000 + w} {w}.5") for w in range(25)])).alias("line_no", "text"),
+        F.posexplode(F.array(F.lit(f"{n} {n}"), *[F.lit(f"{1000 + w} {w}.5") for w in nations])).alias("line_no", "text"),
     )
     path = write_text_files(head.unionByName(body), staging_path(core.spark, "warehouses"))
     _, demands, costs = text_instances.read_warehouse_instance(core.spark, path)
@@ -371,14 +381,16 @@ def _(core):
     sql(
         "sales",
         """select label, cast(count(*) as bigint) n, cast(sum(sa_units_sold) as bigint) units from sales
- join (values (0, 10, 'small'), (11, 30, 'medium'), (31, 100000000, 'large')) t(lo, hi, label)
- on sa_units_sold between lo and hi group by 1""",
+ join (values (0, 10, 'small'), (11, 30, 'medium'), (31, null, 'large')) t(lo, hi, label)
+ on sa_units_sold >= lo and (hi is null or sa_units_sold <= hi) group by 1""",
     ),
 )
 def _(core):
-    rows = [(0, 10, "small"), (11, 30, "medium"), (31, 100_000_000, "large")]
+    rows = [(0, 10, "small"), (11, 30, "medium"), (31, None, "large")]  # the top band is open
     bands = tables.literal_frame(core.spark, rows, "lo BIGINT, hi BIGINT, label STRING")
-    in_band = F.col("sa_units_sold").between(F.col("lo"), F.col("hi"))
+    in_band = (F.col("sa_units_sold") >= F.col("lo")) & (
+        F.col("hi").isNull() | (F.col("sa_units_sold") <= F.col("hi"))
+    )
     return (
         core.sales()
         .join(F.broadcast(bands), in_band)  # three literal rows
@@ -502,6 +514,32 @@ def _(core):
     return integrity.patched_table(customers, changes, "c_custkey")
 
 
+@query(
+    "I6_store_patch",
+    sql(
+        "workshops",
+        """select w_name, cast(case when w_id % 2 = 0 then 999 else w_capacity end as int) w_capacity, cast(2 as bigint) n_unknown,
+ true refused from workshops""",
+    ),
+)
+def _(core):
+    """Every second workshop gets a new capacity, two ids do not exist, and a negative capacity is refused."""
+    store = integrity.CoreStore(core.spark, staging_path(core.spark, "core"))
+    store.append("workshops", core.workshops().drop("w_id"))
+    number = F.regexp_extract("w_name", "([0-9]+)$", 1).cast("int")
+    known = store.table("workshops").filter(number % 2 == 0).select("w_id", F.lit(999).alias("w_capacity"))
+    strangers = core.spark.createDataFrame([(-1, 5), (-2, 5)], "w_id BIGINT, w_capacity INT")
+    unknown = store.patch("workshops", known.unionByName(strangers)).agg(F.count("*")).scalar()
+    refused = False
+    try:
+        store.patch("workshops", known.withColumn("w_capacity", F.lit(-1)))
+    except ValueError:
+        refused = True
+    return store.table("workshops").select(
+        "w_name", "w_capacity", unknown.alias("n_unknown"), F.lit(refused).alias("refused")
+    )
+
+
 # --- I7: raw files to landing tables -----------------------------------------------------------
 
 RAW_SQL = {

@@ -44,15 +44,20 @@ def target_columns(horizons: int = HORIZONS, target: str = TARGET) -> list[str]:
 
 
 def typed_parameters(df: DataFrame, column: str) -> DataFrame:
-    """Text parameters as typed columns: digits only → int, with a dot → float, else text."""
+    """Text parameters as typed columns: digits only → whole number, with a dot → float, else text.
+
+    What does not fit its type (digits beyond 64 bits) stays text.
+    """
     x = F.col(column)
     whole = x.rlike("^[0-9]+$")
     real = x.contains(".") & ~whole
     return df.withColumns(
         {
-            "as_int": F.when(whole, x.try_cast("int")),
+            "as_int": F.when(whole, x.try_cast("bigint")),
             "as_float": F.when(real, x.try_cast("double")),
-            "as_text": F.when(~whole & ~real, x),
+            "as_text": F.when(
+                ~(whole & x.try_cast("bigint").isNotNull()) & ~(real & x.try_cast("double").isNotNull()), x
+            ),
         }
     )
 

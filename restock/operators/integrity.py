@@ -167,16 +167,24 @@ class CoreStore:
     def patch(self, name: str, changes: DataFrame) -> DataFrame:
         """Apply partial updates by id, all or nothing; returns the ids that do not exist.
 
-        ``changes`` holds the id and the columns to change; NULL keeps the stored value.
+        ``changes`` holds the id and the columns to change; NULL keeps the stored value. An id may
+        occur once in it. Only the changed rows are checked: for their own values, and for keys that
+        another row has as well.
         """
         spec = CORE_TABLES[name]
         stored = self.table(name)
+        changes = cut_lineage(changes)
+        twice = changes.groupBy(spec.id_col).count().filter("count > 1").select(spec.id_col).first()
+        if twice:
+            raise ValueError(f"{name}: update names id {twice[0]} more than once")
         unknown = cut_lineage(
             changes.select(spec.id_col).join(stored.select(spec.id_col), spec.id_col, "left_anti")
         )
         patched = cut_lineage(patched_table(stored, changes, spec.id_col))
         parents = {parent: self.table(parent) for parent, _ in spec.references.values()}
-        broken = violations(patched, spec, None, parents)
+        touched = patched.join(changes.select(spec.id_col), spec.id_col, "left_semi")
+        others = patched.join(changes.select(spec.id_col), spec.id_col, "left_anti")
+        broken = violations(touched, spec, others, parents)
         if not broken.isEmpty():
             raise ValueError(f"{name}: update breaks {broken.first().asDict()}")
         path = self._path(name, (self._version(name) or 0) + 1)

@@ -9,14 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restock.operators.running import bucketed_running_total, salt
-from restock.session import cut_lineage
+from restock.operators.running import bucketed_running_total
+from restock.session import cut_lineage, drop_staged
 
-COST_BANDS = 100
-SALTS = 64
+RANGES = 64
 
 
 # --- budget-limited shortest path --------------------------------------------------------------
@@ -84,25 +83,37 @@ def mutual_minima(rows: DataFrame, resources: Sequence[str], order: Sequence[str
     return kept.select(*rows.columns)
 
 
-def greedy_assignment(costs: DataFrame) -> DataFrame:
-    """Cheapest-first matching of ``task`` to ``worker`` (ties: smaller task, then worker).
+def assignment_turn(ties: str = "hash") -> Column:
+    """The place of a pair among pairs of equal cost: by a hash of the pair, or by its ids (``"id"``)."""
+    if ties not in ("hash", "id"):
+        raise ValueError(f"unknown tie order {ties}")
+    return F.xxhash64("task", "worker") if ties == "hash" else F.lit(0).cast("long")
+
+
+def greedy_assignment(costs: DataFrame, ties: str = "hash") -> DataFrame:
+    """Cheapest-first matching of ``task`` to ``worker``.
 
     A pair that is cheapest for both sides is what the sequential greedy would take as well, so all
-    such pairs are taken at once until nothing is left.
+    such pairs are taken at once until nothing is left. With ties in hash order a level of equal costs
+    takes about log n rounds; ``ties="id"`` (smaller task, then worker) may take one round a pair, and so may
+    costs that rise strictly from pair to neighbouring pair.
     """
-    rest = cut_lineage(costs.select("task", "worker", "cost"))
+    spark = costs.sparkSession
+    rest = cut_lineage(costs.select("task", "worker", "cost", assignment_turn(ties).alias("turn")))
     chosen = []
     while True:
-        picked = cut_lineage(mutual_minima(rest, ["task", "worker"], ["cost", "task", "worker"]))
+        picked = cut_lineage(mutual_minima(rest, ["task", "worker"], ["cost", "turn", "task", "worker"]))
         if picked.isEmpty():
             break
-        chosen.append(picked)
+        chosen.append(picked.drop("turn"))
+        before = rest
         rest = cut_lineage(
             rest.join(picked.select("task"), "task", "left_anti").join(
                 picked.select("worker"), "worker", "left_anti"
             )
         )
-    return reduce(DataFrame.unionByName, chosen) if chosen else rest
+        drop_staged(spark, before)
+    return reduce(DataFrame.unionByName, chosen) if chosen else rest.drop("turn")
 
 
 def assignment_audit(costs: DataFrame, assigned: DataFrame) -> DataFrame:
@@ -129,14 +140,14 @@ def assignment_audit(costs: DataFrame, assigned: DataFrame) -> DataFrame:
 def conflict_free_groups(conflicts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, group): no two nodes of a conflict ``(a, b)`` share a group.
 
-    A node waits for its conflicting nodes of larger (degree, id) and then takes the smallest group
-    none of them uses. Valid, not minimal. The smallest free group is found by an anti-join on
+    A node waits for its conflicting nodes of larger (degree, hash of the id, id) and then takes the smallest
+    group none of them uses; the hash keeps chains of nodes of equal degree short. Valid, not minimal. The smallest free group is found by an anti-join on
     (node, group), so a node with many conflicts is spread over its groups.
     """
     pairs = conflicts.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a != b")
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     degree = both.groupBy("a").agg(F.count("*").alias("deg"))
-    rank = lambda side: F.struct(F.col(f"{side}.deg"), F.col(f"{side}.a"))
+    rank = lambda side: F.struct(F.col(f"{side}.deg"), F.xxhash64(f"{side}.a"), F.col(f"{side}.a"))
     waits = (
         both.alias("e")
         .join(degree.alias("x"), F.col("e.a") == F.col("x.a"))
@@ -155,11 +166,13 @@ def conflict_free_groups(conflicts: DataFrame, nodes: DataFrame | None = None) -
     )
     done = [free]
     while True:
+        before = waits
         waits = cut_lineage(
             waits.join(free.select(F.col("node").alias("other"), "group"), "other", "left").select(
                 "node", "other", F.coalesce("taken", "group").alias("taken")
             )
         )
+        drop_staged(waits.sparkSession, before)
         ready = waits.groupBy("node").agg(F.count_if(F.col("taken").isNull()).alias("open")).filter("open = 0")
         used = waits.join(ready, "node", "left_semi").select("node", F.col("taken").alias("group")).distinct()
         options = (
@@ -175,7 +188,8 @@ def conflict_free_groups(conflicts: DataFrame, nodes: DataFrame | None = None) -
         if free.isEmpty():
             break
         done.append(free)
-        waits = waits.join(free.select("node"), "node", "left_anti")
+        before, waits = waits, cut_lineage(waits.join(free.select("node"), "node", "left_anti"))
+        drop_staged(waits.sparkSession, before)
     return reduce(DataFrame.unionByName, done)
 
 
@@ -255,7 +269,7 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
     ``demands``: customer_id, demand. ``warehouses``: warehouse_id, capacity, opening_cost.
     ``costs``: customer_id, warehouse_id, unit_cost. Each round every customer with open demand asks
     its cheapest warehouse that has capacity left (unit cost plus opening cost per unit of
-    capacity); a warehouse serves cheap cost bands first. Not optimal. In each round a warehouse
+    capacity); a warehouse serves its cheapest requests first, ties by customer. Not optimal. In each round a warehouse
     fills up or every request is met, so there are at most as many rounds as warehouses.
     """
     depots = cut_lineage(warehouses.select("warehouse_id", F.col("capacity").cast("long"), "opening_cost"))
@@ -265,34 +279,23 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
         (F.col("unit_cost") + F.col("opening_cost") / F.col("capacity")).alias("score"),
     )
     links = cut_lineage(open_links)
-    low, high = links.agg(F.min("score"), F.max("score")).first()
-    wanted = cut_lineage(demands.select("customer_id", F.col("demand").cast("long").alias("demand")))
-    shipped = links.filter("false").select("customer_id", "warehouse_id", F.lit(0).cast("long").alias("amount"))
-    base, rounds = shipped, []
-    while low is not None:
-        used = shipped.groupBy("warehouse_id").agg(F.sum("amount").alias("used"))
-        free = depots.join(used, "warehouse_id", "left").select(
-            "warehouse_id", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("free")
-        ).filter("free > 0")
-        got = shipped.groupBy("customer_id").agg(F.sum("amount").alias("got"))
-        rest = wanted.join(got, "customer_id", "left").select(
-            "customer_id", (F.col("demand") - F.coalesce("got", F.lit(0))).alias("rest")
-        ).filter("rest > 0")
+    rest = cut_lineage(demands.select("customer_id", F.col("demand").cast("long").alias("rest")).filter("rest > 0"))
+    free = depots.select("warehouse_id", F.col("capacity").alias("free")).filter("free > 0")
+    nothing = links.filter("false").select("customer_id", "warehouse_id", F.lit(0).cast("long").alias("amount"))
+    rounds = []
+    while True:
         asked = (
             links.join(free.select("warehouse_id"), "warehouse_id", "left_semi")
             .join(rest, "customer_id")
             .groupBy("customer_id", "rest")
             .agg(F.min(F.struct("score", "warehouse_id")).alias("pick"))
             .select("customer_id", "rest", F.col("pick.score").alias("score"), F.col("pick.warehouse_id").alias("warehouse_id"))
-            .withColumns(
-                {
-                    "band": F.lit(0) if high == low else F.floor((F.col("score") - low) / (high - low) * COST_BANDS),
-                    "salt": salt(["customer_id"], SALTS),
-                }
-            )
+            # ranges of equal size in the serving order, so a warehouse with most requests has many
+            .repartitionByRange(RANGES, "warehouse_id", "score", "customer_id")
+            .withColumn("part", F.spark_partition_id())
         )
         running = bucketed_running_total(
-            cut_lineage(asked), ["warehouse_id"], ["band", "salt"], ["score", "customer_id"], "rest", "upto"
+            cut_lineage(asked), ["warehouse_id"], ["part"], ["score", "customer_id"], "rest", "upto"
         ).join(free, "warehouse_id")
         amount = F.least(F.col("rest"), F.col("free") - (F.col("upto") - F.col("rest")))
         step = cut_lineage(
@@ -301,8 +304,18 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
         if step.isEmpty():
             break
         rounds.append(step)
-        shipped = reduce(DataFrame.unionByName, rounds)
-    return shipped if rounds else base
+        # what is left goes on to the next round; earlier rounds are not read again
+        rest = cut_lineage(_less(rest, "rest", step, "customer_id"))
+        free = cut_lineage(_less(free, "free", step, "warehouse_id"))
+    return reduce(DataFrame.unionByName, rounds) if rounds else nothing
+
+
+def _less(left: DataFrame, column: str, shipped: DataFrame, key: str) -> DataFrame:
+    """``left`` with the shipped amounts taken off; rows with nothing left go."""
+    taken = shipped.groupBy(key).agg(F.sum("amount").alias("_taken"))
+    return left.join(taken, key, "left").select(
+        key, (F.col(column) - F.coalesce("_taken", F.lit(0))).alias(column)
+    ).filter(F.col(column) > 0)
 
 
 def allocation_summary(

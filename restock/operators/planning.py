@@ -107,6 +107,13 @@ def _asked(today: DataFrame, granted: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
+def _served(today: DataFrame, granted: DataFrame) -> bool:
+    """Whether every pair has got what it needs."""
+    got = granted.groupBy(*PAIR).agg(F.sum("units").alias("got"))
+    open_need = today.join(got, PAIR, "left").filter(F.col("need") > F.coalesce("got", F.lit(0)))
+    return open_need.isEmpty()
+
+
 def _grant(asked: DataFrame, left: DataFrame) -> DataFrame:
     """Share each workshop's remaining capacity in order of need.
 
@@ -140,8 +147,8 @@ def replenishment_plan(
     workshop and then from the next ones; a workshop serves the largest needs first. The plan is
     not optimal. A cell whose stock stays below the safety level shows up in :func:`audit_plan`.
 
-    The day loop has ``window`` steps and the link loop one step per link of a pair (at most the
-    number of workshops); each step is one staged job over all pairs.
+    The day loop has ``window`` steps. The link loop has one step per link of a pair (at most the
+    number of workshops) and ends as soon as nobody needs more; a step is one staged job over all pairs.
     """
     demand = cut_lineage(cell_demand(inputs.needs))
     links = cut_lineage(ranked_links(inputs.links))
@@ -173,6 +180,8 @@ def replenishment_plan(
             share = cut_lineage(_grant(asked, left))
             if not share.isEmpty():
                 granted = share if granted is nothing else granted.unionByName(share)
+            if rank < n_ranks and _served(today, granted):
+                break
         orders.append(granted.withColumn("c_rank", F.lit(day)))
         delivered = granted.groupBy(*PAIR).agg(F.sum("units").cast("int").alias("orders"))
         flow = today.join(delivered, PAIR, "left").fillna(0, ["orders"])

@@ -66,3 +66,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = staging_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a superseded round that :func:`cut_lineage` returned.
+
+    Only files below this application's staging folder go; any other table is left alone.
+    """
+    root = _staging_root(spark)
+    for name in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if f"/{root.split('://')[-1].strip('/')}/" in f"/{name.split('://')[-1].split(':')[-1].strip('/')}/":
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -23,7 +23,7 @@ class StarSchema:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def _lines(self, date_from: str | None = None, date_upto: str | None = None) -> DataFrame:
+    def _lines(self, date_from: str | None = None, date_upto: str | None = None, ahead: int = 0) -> DataFrame:
         """Shipped lines with product, store and workshop ids. Bounds are compared with the raw
         ship timestamp so that they reach the parquet scan."""
         lines = self.raw("lineitem").select(
@@ -41,7 +41,7 @@ class StarSchema:
         if date_from:
             lines = lines.filter(stamp >= F.lit(date_from).cast("timestamp_ntz"))
         if date_upto:
-            after = F.date_add(F.lit(date_upto).cast("date"), 1).cast("timestamp_ntz")
+            after = F.date_add(F.lit(date_upto).cast("date"), 1 + ahead).cast("timestamp_ntz")
             lines = lines.filter(stamp < after)
         part = self.raw("part").select(
             F.col("p_partkey").alias("l_partkey"),
@@ -75,15 +75,19 @@ class StarSchema:
             )
         )
 
-    def daily_tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(sales, promotions, eventstores) from a single pass over the lines.
+    def daily_tables(
+        self, date_from: str | None = None, date_upto: str | None = None, ahead: int = 0
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(sales, promotions, eventstores) from a single pass over the lines of the given days.
+
+        ``ahead`` more days are read behind the last one; the bounds reach the scan.
 
         The daily aggregate is far smaller than the lines; it is staged once so that the three
         tables do not scan the lines again. Of several events on a store-day the smallest id stays.
         """
         campaign = F.when((F.col("l_discount") >= 0.095) & (F.col("l_tax") >= 0.075), F.col("l_linenumber"))
         daily = cut_lineage(
-            self._lines()
+            self._lines(date_from, date_upto, ahead)
             .groupBy("p_id", "s_id", "day")
             .agg(
                 F.sum("l_quantity").cast("long").alias("units"),
