@@ -153,8 +153,8 @@ def pack_documents(
 
         for b in batches:
             texts = list(utf8_texts(b.column(1)))
-            for lo in range(0, len(texts), 500):
-                for doc_id, ids in zip(b.column(0)[lo : lo + 500].to_pylist(), to_ids(texts[lo : lo + 500])):
+            for lo in range(0, len(texts), 1000):
+                for doc_id, ids in zip(b.column(0)[lo : lo + 1000].to_pylist(), to_ids(texts[lo : lo + 1000])):
                     doc_ids.append(doc_id)
                     held.append(np.append(ids, end_id).astype("<u4"))
                     size += len(held[-1])

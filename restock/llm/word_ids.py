@@ -11,18 +11,30 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 
 from restock.llm.common import once_per_process
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: as the vocabulary's pattern for ASCII; runs of bytes from 0x80 are taken as letters and checked
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte-level vocabularies write printable Latin-1 bytes as themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: 0x100 + k for k, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,8 +42,13 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[bytes, tuple[int, ...]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[bytes, int] = {}  # the number of a chunk or piece
+        self.ids = np.zeros(0, np.int32)  # ids of all of them, end to end
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, without special tokens, as 32-bit integers."""
@@ -45,54 +62,77 @@ class WordIds:
             else:
                 split.append(text.translate(_LOWER).split())
                 where.append(k)
-        known = self.chunks
-        if len(known) > CACHE_CHUNKS:
-            known.clear()
-        if len(self.pieces) > CACHE_CHUNKS:
-            self.pieces.clear()
-        fresh = {c for chunks in split for c in chunks if c not in known}
-        self._learn(list(fresh))
-        for k, chunks in zip(where, split):
-            ids: list[int] = []
-            for c in chunks:
-                ids += known[c]
-            out[k] = np.array(ids, np.int32)
+        if len(self.known) > CACHE_CHUNKS:
+            self._forget()
+        self._learn(set().union(*split) - self.known.keys())
+        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        ids = self._gather(numbers)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
+        bounds = ends[np.cumsum([0, *map(len, split)])]
+        for k, lo, hi in zip(where, bounds, bounds[1:]):
+            out[k] = ids[lo:hi]
         return out
 
-    def _learn(self, chunks: list[bytes]) -> None:
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        return self.ids[np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
+
+    def _add(self, names: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first = len(self.starts)
+        self.known.update(zip(names, range(first, first + len(names))))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn(self, chunks: set[bytes]) -> None:
         """Put the ids of new chunks into the cache."""
-        cut: list[tuple[bytes, list[bytes]]] = []
-        whole: list[bytes] = []
+        if not chunks:
+            return
         fresh: set[bytes] = set()
-        pieces = self.pieces
+        joined: list[bytes] = []
+        parts: list[list[bytes]] = []
+        whole: list[bytes] = []
         for c in chunks:
             if c.isalpha():  # ASCII letters only
-                found = [c]
+                fresh.add(c)
+                continue
+            found = _PIECES.findall(c)
+            # lower() shows letters that become a letter and a mark
+            if not c.isascii() and not all(p.isascii() or p.decode().lower().isalpha() for p in found):
+                whole.append(c)
+            elif len(found) == 1:
+                fresh.add(c)
             else:
-                found = _PIECES.findall(c)
-                # lower() shows letters that become a letter and a mark
-                if not c.isascii() and not all(p.isascii() or p.decode().lower().isalpha() for p in found):
-                    whole.append(c)
-                    continue
-            cut.append((c, found))
-            fresh.update(found)
-        fresh.difference_update(pieces)
-        ascii_, other = [], []  # the vocabulary's model writes other bytes in letters of its own
-        for p in fresh:
-            (ascii_ if _PLAIN.fullmatch(p) else other).append(p)
-        model = self.library.model
-        for p in ascii_:
-            pieces[p] = tuple([t.id for t in model.tokenize(p.decode())])
-        for p, ids in zip(other, self._library(other)):
-            pieces[p] = ids
-        for c, found in cut:
-            self.chunks[c] = pieces[found[0]] if len(found) == 1 else tuple([i for p in found for i in pieces[p]])
-        for c, ids in zip(whole, self._library(whole)):
-            self.chunks[c] = ids
-
-    def _library(self, texts: list[bytes]) -> list[tuple[int, ...]]:
-        found = self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
-        return [tuple(e.ids) for e in found]
+                joined.append(c)
+                parts.append(found)
+                fresh.update(found)
+        names = list(fresh - self.known.keys())
+        ids: list[list[int]] = []
+        odd = []
+        tokenize = self.library.model.tokenize
+        for p in names:
+            if p.isalnum() or _PLAIN.fullmatch(p):
+                ids.append([t.id for t in tokenize(p.decode())])
+            elif (text := p.decode()).isalpha() and text == text.lower() and is_normalized("NFC", text):
+                # the vocabulary's model takes each byte as a letter
+                ids.append([t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_LETTERS))])
+            else:
+                odd.append(p)
+                ids.append([])
+        found = self._library(odd + whole)
+        at = {p: x for p, x in zip(odd, found)}
+        ids = [at.get(p, x) if not x else x for p, x in zip(names, ids)]
+        names += whole
+        ids += found[len(odd) :]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self._add(names, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum())), sizes)
+        if joined:
+            numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            self._add(joined, self._gather(numbers), np.add.reduceat(self.sizes[numbers], np.cumsum(lengths) - lengths))
+
+    def _library(self, texts: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
 
 def word_ids(path: str) -> WordIds:
