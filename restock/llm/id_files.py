@@ -124,24 +124,32 @@ class Codes:
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, n, ids): the ids of each document as little-endian 32-bit integers."""
+    """(doc_id, tie, n, ids): the ids of each document as little-endian integers of 16 bits, or 32 if it needs them.
+
+    The first byte tells the width.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         for b in batches:
             texts = list(utf8_texts(b.column(1)))
-            for lo in range(0, len(texts), 500):
-                ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode(texts[lo : lo + 500])]
-                raw = [x.tobytes() for x in ids]
-                yield batch(_TOKENS, (b.column(0).slice(lo, 500), [zlib.crc32(x) for x in raw], [len(x) for x in ids], raw))
+            for lo in range(0, len(texts), 1000):
+                ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode(texts[lo : lo + 1000])]
+                raw = [b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes() for x in ids]
+                yield batch(_TOKENS, (b.column(0).slice(lo, 1000), [zlib.crc32(x) for x in raw], [len(x) for x in ids], raw))
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(work, "doc_id long, tie long, n long, ids binary")
 
 
+def _ids(raw: pa.Scalar) -> np.ndarray:
+    view = memoryview(raw.as_buffer())
+    return np.frombuffer(view[1:], f"<u{view[0]}").astype("<u4")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        ids = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x.as_buffer(), "<u4") for x in b.column(0))])
+        ids = np.concatenate([np.zeros(0, "<u4"), *map(_ids, b.column(0))])
         found = np.bincount(ids)
         if len(found) > len(total):
             total, found = found, total
@@ -187,7 +195,7 @@ def write_ids(
         for b in batches:
             for doc_id, ids in zip(b.column(0).to_pylist(), b.column(1)):
                 doc_ids.append(doc_id)
-                held.append(np.frombuffer(ids.as_py(), "<u4"))
+                held.append(_ids(ids))
                 size += len(held[-1])
                 if size >= BLOCK_IDS:
                     yield flush()
