@@ -1,36 +1,34 @@
-"""Forecast queries: M1–M12, O4, O5, N17. Learners use few small trees here."""
+"""Forecast queries: M1–M12, O4, O5, N17.
+
+All seven horizons with the library's parameters; a model stops adding trees when they no longer help on
+the validation rows. The search queries draw ``TRIALS`` parameter sets instead of 30, and the weekly run one.
+"""
 
 from __future__ import annotations
 
-from functools import lru_cache
+import zlib
 
 from pyspark.sql import functions as F
 
-from restock.catalog.feature_queries import H_NAMES, SNAP, SNAP_TABLES, n1, n1_body, n16
+from restock.catalog.feature_queries import H_NAMES, SNAP, SNAP_TABLES, n1, n1_body, n16, n16_sql
 from restock.catalog.registry import AS_OF, SPLIT, query, r6, sql
 from restock.catalog.relational_queries import DESCRIBE_SQL, _described
 from restock.operators import forecast
 from restock.operators.frames import over_days
-from restock.session import staging_path
-from restock.sources.star_schema import StarSchema
-
-SMALL = {"maxIter": 2, "maxDepth": 3, "stepSize": 0.2}
+from restock.session import staged_once, staging_path
 
+PARAMS = {**forecast.FIXED_PARAMS, "stepSize": 0.2}
+TRIALS = 2
 
-@lru_cache(maxsize=4)
-def _matrix_folder(app: str, folder: str) -> str:
-    """The feature matrix, staged once per session and data folder."""
-    from pyspark.sql import SparkSession
 
-    spark = SparkSession.active()
-    path = staging_path(spark, "matrix")
-    n16(StarSchema(spark, folder)).write.parquet(path)
-    return path
+def _once(core, name: str, build) -> str:
+    """Staged once per application and data folder; queries that share it do not depend on their order."""
+    return staged_once(core.spark, f"{zlib.crc32(core.folder.encode()):08x}-{name}", build)
 
 
 def matrix(core):
-    path = _matrix_folder(core.spark.sparkContext.applicationId, core.folder)
-    return core.spark.read.parquet(path)
+    """The feature matrix."""
+    return core.spark.read.parquet(_once(core, "matrix", lambda path: n16(core).write.parquet(path)))
 
 
 def train_valid(core):
@@ -38,16 +36,12 @@ def train_valid(core):
     return m.filter("not is_valid"), m.filter("is_valid")
 
 
-@lru_cache(maxsize=4)
-def _fitted(app: str, folder: str) -> forecast.MultiHorizonForecaster:
-    from pyspark.sql import SparkSession
-
-    train, _ = train_valid(StarSchema(SparkSession.active(), folder))
-    return forecast.MultiHorizonForecaster(params=SMALL).fit(train)
-
-
 def fitted(core):
-    return _fitted(core.spark.sparkContext.applicationId, core.folder)
+    def build(path: str) -> None:
+        train, valid = train_valid(core)
+        forecast.MultiHorizonForecaster(params=PARAMS).fit(train, valid=valid).save(path)
+
+    return forecast.MultiHorizonForecaster.load(core.spark, _once(core, "model", build))
 
 
 @query("M1_fit_scores", "select cast(h as int) horizon, true fitted from (select unnest([1, 2, 3, 4, 5, 6, 7]) h) cross join (select count(*) n from lineitem) where n > 0")
@@ -73,14 +67,43 @@ def _(core):
     return scored.select("product_id", "store_id", "c_date", known.alias("n_predictions"))
 
 
-@query("M3_feature_importances")
+@query(
+    "M3_feature_importances",
+    sql(
+        "sales products stores",
+        """select horizon, cast(1.0 as double) total, cast(0 as bigint) n_negative, true names_are_features
+ from (select unnest(['h1', 'h2', 'h3', 'h4', 'h5', 'h6', 'h7']) horizon) where (select count(*) from sales) > 0""",
+    ),
+)
 def _(core):
-    return fitted(core).feature_importances(core.spark)
+    """The importances of a horizon are at least 0 and add up to 1; each belongs to a column of the matrix."""
+    importances = fitted(core).feature_importances(core.spark)
+    known = [c for c in matrix(core).columns if c not in (*H_NAMES, "c_date", "is_valid")]
+    per_horizon = F.inline(
+        F.array(*[F.struct(F.lit(t.split("_")[0]).alias("horizon"), F.col(t).alias("v")) for t in H_NAMES])
+    )
+    return (
+        importances.select("feature_name", per_horizon)
+        .groupBy("horizon")
+        .agg(
+            r6(F.sum("v")).alias("total"),
+            F.count_if(F.col("v") < 0).alias("n_negative"),
+            (F.count_if(~F.col("feature_name").isin(known)) == 0).alias("names_are_features"),
+        )
+    )
 
 
-@query("O5_ranked_importances")
+@query(
+    "O5_ranked_importances",
+    sql("sales", "select true falling, true complete from (select count(*) n from sales) where n > 0"),
+)
 def _(core):
-    return forecast.ranked_importances(fitted(core).feature_importances(core.spark))
+    """The ranking falls, and it holds every feature once."""
+    importances = fitted(core).feature_importances(core.spark)
+    ranked = [r.importance for r in forecast.ranked_importances(importances).collect()]  # one row a feature
+    complete = len(ranked) == importances.select("feature_name").distinct().count()
+    falling = all(a >= b for a, b in zip(ranked, ranked[1:]))
+    return core.spark.createDataFrame([(falling, complete)], "falling BOOLEAN, complete BOOLEAN")
 
 
 CATEGORICAL = ["product_id", "store_id", "product_group"]
@@ -148,35 +171,45 @@ def _(core):
     return result.select("model", *[r6(F.col(c)).alias(c) for c in result.columns if c != "model"])
 
 
-@lru_cache(maxsize=4)
-def _trials_folder(app: str, folder: str) -> str:
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    train, valid = train_valid(StarSchema(spark, folder))
-    path = staging_path(spark, "trials")
-    fixed = {"maxIter": 1, "maxDepth": 2, "featureSubsetStrategy": "0.6"}
-    forecast.search(train, valid, n_trials=2, fixed=fixed).write.parquet(path)
-    return path
-
-
 def trials(core):
-    return core.spark.read.parquet(_trials_folder(core.spark.sparkContext.applicationId, core.folder))
+    def build(path: str) -> None:
+        train, valid = train_valid(core)
+        forecast.search(train, valid, n_trials=TRIALS).write.parquet(path)
+
+    return core.spark.read.parquet(_once(core, "trials", build))
 
 
-@query("M6_search_trials")
+@query(
+    "M6_search_trials",
+    sql("sales", f"select cast(t as int) trial, true in_range, true scored from (select unnest(range(1, {TRIALS + 1})) t) where (select count(*) from sales) > 0"),
+)
 def _(core):
-    return trials(core)
+    """Every trial's parameters lie in the search space, and it has all scores."""
+    inside = F.lit(True)
+    for name, (_, low, high, *_step) in forecast.SEARCH_SPACE.items():
+        inside &= F.get_json_object("params", f"$.{name}").cast("double").between(low, high)
+    t = trials(core)
+    scores = [c for c in t.columns if c.endswith("_score")] + ["loss"]
+    return t.select("trial", inside.alias("in_range"), F.forall(F.array(*scores), lambda x: x.isNotNull()).alias("scored"))
 
 
-@query("M7_best_trial")
+@query(
+    "M7_best_trial",
+    sql("sales", "select cast(1 as bigint) n_best, true is_maximum, true has_params from (select count(*) n from sales) where n > 0"),
+)
 def _(core):
-    return forecast.best_trial(trials(core)).select("trial", "params", "valid_score", "loss")
+    t = trials(core)
+    top = t.agg(F.max("valid_score")).scalar()
+    return forecast.best_trial(t).agg(
+        F.count("*").alias("n_best"),
+        F.bool_and(F.col("valid_score") == top).alias("is_maximum"),
+        F.lit(bool(forecast.best_params(t))).alias("has_params"),
+    )
 
 
 @query(
     "O4_best_trial_is_maximum",
-    "select true is_best, cast(2 as bigint) n_trials from (select count(*) n from lineitem) where n > 0",
+    f"select true is_best, cast({TRIALS} as bigint) n_trials from (select count(*) n from lineitem) where n > 0",
 )
 def _(core):
     t = trials(core)
@@ -193,10 +226,10 @@ def _(core):
     """A model stored as the next version predicts the same after loading the newest version (M9)."""
     train, valid = train_valid(core)
     root = staging_path(core.spark, "registry")
-    params = {**SMALL, "maxIter": 1, "maxDepth": 2}
-    forecast.refit_and_register(train, valid, params, root, "demand", horizons=2)
+    params = {**PARAMS, "maxIter": 3}  # two fits without early stopping
+    forecast.refit_and_register(train, valid, params, root, "demand")
     first = forecast.load_latest(core.spark, root, "demand").predict(valid)
-    version = forecast.refit_and_register(train, valid, params, root, "demand", horizons=2)
+    version = forecast.refit_and_register(train, valid, params, root, "demand")
     assert version == 2
     second = forecast.load_latest(core.spark, root, "demand").predict(valid)
     key = ["product_id", "store_id", "c_date"]
@@ -253,7 +286,38 @@ def _(core):
     return forecast.actual_vs_predicted(weekly, H_NAMES)
 
 
-query("M12_residual_summary", DESCRIBE_SQL)(_described)
+@query(
+    "M12_residual_summary",
+    "with v as materialized (select * from ("
+    + n16_sql()
+    + ") where is_valid) select horizon, n, true mean_fits, true ordered from ("
+    + " union all ".join(f"select cast({h} as int) horizon, count(h{h}_log_units_sold) n from v" for h in range(1, 8))
+    + ")",
+)
+def _(core):
+    """Residuals of the fitted model on the validation rows: their number, mean, spread and quantiles."""
+    _, valid = train_valid(core)
+    scored = fitted(core).predict(valid)
+    summary = forecast.residual_table(scored, H_NAMES).groupBy("horizon").agg(
+        F.count("*").alias("n"),
+        F.avg("residual").alias("mean"),
+        F.percentile("residual", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"),
+    )
+    # the mean residual is the difference of the mean target and the mean prediction
+    rows = [
+        F.struct(F.lit(h).alias("horizon"), (F.avg(t) - F.avg(F.when(F.col(t).isNotNull(), F.col(f"pred_{t}")))).alias("want"))
+        for h, t in enumerate(H_NAMES, 1)
+    ]
+    want = scored.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
+    return summary.join(want, "horizon").select(
+        "horizon",
+        "n",
+        (F.abs(F.col("mean") - F.col("want")) < 1e-6).alias("mean_fits"),
+        F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get("q", i) <= F.get("q", i + 1)).alias("ordered"),
+    )
+
+
+query("M12_naive_residual_summary", DESCRIBE_SQL)(_described)
 
 
 # --- N17: the weekly run -----------------------------------------------------------------------
@@ -300,18 +364,17 @@ def write_landing(core) -> str:
         f"""select 'products' as "table", count(*) n from products union all select 'stores', count(*) from stores
  union all select 'workshops', count(*) from workshops union all select 'sales', count(*) from sales
  union all select 'promotions', count(*) from promotions union all select 'eventstores', count(*) from all_eventstores
- union all select 'demandpredictions', 2 * count(*) from sales where sa_date = date '{AS_OF}'
- union all select 'demandfulfillments', 2 * (select count(*) from products) * (select count(*) from stores)
+ union all select 'demandpredictions', 7 * count(*) from sales where sa_date = date '{AS_OF}'
+ union all select 'demandfulfillments', 7 * (select count(*) from products) * (select count(*) from stores)
  union all select 'broken plan rules', 0""",
     ),
 )
 def _(core):
-    """Two planning days and tiny trees; counts of the written core tables and of broken rules."""
+    """Seven horizons and planning days, one trial; counts of the written core tables and of broken rules."""
     from restock.plans import weekly_run
 
     params = weekly_run.WeeklyParams(
-        AS_OF, "1995-01-01", AS_OF, SPLIT, horizon=2, window=2, n_trials=1,
-        fixed_params={"maxIter": 1, "maxDepth": 2},
+        AS_OF, "1995-01-01", AS_OF, SPLIT, n_trials=1, fixed_params={**forecast.FIXED_PARAMS, "maxIter": 5}
     )
     store, audit, _ = weekly_run.run_week(
         core.spark, write_landing(core), staging_path(core.spark, "weekly"), params

@@ -6,7 +6,7 @@ import json
 import random
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark import inheritable_thread_target
@@ -28,7 +28,9 @@ TARGET = "log_units_sold"
 KEY = [*SERIES, "c_date"]
 # below every feature value, so a tree can branch on "missing"
 MISSING = -1000.0
-MAX_CATEGORIES = 64
+# split candidates of a numeric feature; a categorical feature always gets one for each of its values
+NUMERIC_BINS = 64
+STOP_TOLERANCE = 0.01
 
 # fixed values: search ranges, under Spark's parameter names
 SEARCH_SPACE = {
@@ -63,14 +65,23 @@ def typed_parameters(df: DataFrame, column: str) -> DataFrame:
 
 
 def gbt(**params) -> GBTRegressor:
-    return GBTRegressor(seed=42, maxBins=MAX_CATEGORIES, **params)
+    return GBTRegressor(seed=42, **params)
 
 
 def categorical_columns(df: DataFrame) -> list[str]:
-    """Integer and string columns, which the model treats as categories if few values occur."""
+    """Integer and string columns; the model treats them as categories, however many values occur."""
     return columns_of_type(df, "integer", "string")
 
 
+def most_categories(df: DataFrame, features: Sequence[str]) -> int:
+    """The largest number of values of a categorical column, with room for missing and unseen ones."""
+    names = [c for c in categorical_columns(df) if c in features]
+    if not names:
+        return 0
+    counts = df.agg(*[F.count_distinct(c).alias(c) for c in names]).first()
+    return max(counts) + 3
+
+
 def _prepared(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """Numeric features as doubles with the missing mark, strings with an empty mark."""
     types = dict(df.dtypes)
@@ -83,9 +94,11 @@ def _prepared(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.withColumns(columns)
 
 
-def feature_stages(df: DataFrame, features: Sequence[str]) -> Pipeline:
-    """Strings to indices, then one vector; integer-like columns with at most MAX_CATEGORIES values
-    become categorical features, the rest stay numeric."""
+def feature_stages(df: DataFrame, features: Sequence[str], categories: int) -> Pipeline:
+    """Strings to indices, then one vector in which every integer and string column is categorical.
+
+    ``categories``: see :func:`most_categories`.
+    """
     category = [c for c in categorical_columns(df) if c in features]
     texts = [c for c in category if dict(df.dtypes)[c] == "string"]
     coded = [f"{c}_code" if c in texts else c for c in category]
@@ -100,7 +113,7 @@ def feature_stages(df: DataFrame, features: Sequence[str]) -> Pipeline:
             *stages,
             VectorAssembler(inputCols=coded, outputCol="categories"),
             VectorIndexer(
-                inputCol="categories", outputCol="coded", maxCategories=MAX_CATEGORIES // 2, handleInvalid="keep"
+                inputCol="categories", outputCol="coded", maxCategories=max(2, categories), handleInvalid="keep"
             ),
             VectorAssembler(inputCols=["coded", *numeric], outputCol="features"),
         ]
@@ -112,41 +125,70 @@ class MultiHorizonForecaster:
     """One regressor per target column on a shared feature vector.
 
     ``make_model`` builds the regressor from parameters, so another learner can be plugged in.
+    ``parallelism`` models are fitted at once, as many as the session has cores (at most one for each
+    horizon) unless given.
     """
 
     horizons: int = HORIZONS
     params: Mapping = field(default_factory=dict)
     make_model: Callable[..., Estimator] = gbt
-    parallelism: int = 2
+    parallelism: int | None = None
     features: list[str] = field(default_factory=list)
     targets: list[str] = field(default_factory=list)
     encoder: PipelineModel | None = None
     models: list = field(default_factory=list)
+    categories: int = 0
 
-    def fit(self, train: DataFrame, targets: Sequence[str] | None = None) -> MultiHorizonForecaster:
-        """Fit on rows that hold features and targets; rows without a horizon's target are left out
-        of that horizon only."""
+    def encode(
+        self, train: DataFrame, valid: DataFrame | None = None, targets: Sequence[str] | None = None
+    ) -> DataFrame:
+        """Fit the encoder and stage the vectors of all rows: features, targets, is_valid.
+
+        The vectors can be shared by all horizons and by all trials of a search.
+        """
         self.targets = list(targets or target_columns(self.horizons))
         if len(self.targets) != self.horizons:
             raise ValueError(f"expected {self.horizons} target columns, got {len(self.targets)}")
         self.features = [c for c in train.columns if c not in (*self.targets, "c_date", "is_valid")]
-        rows = _prepared(train, self.features)
-        self.encoder = feature_stages(train, self.features).fit(rows)
-        # the vector is built once and shared by all horizons
-        matrix = cut_lineage(self.encoder.transform(rows).select("features", *self.targets))
+        marked = train.withColumn("is_valid", F.lit(False))
+        if valid is not None:
+            marked = marked.unionByName(valid.withColumn("is_valid", F.lit(True)), allowMissingColumns=True)
+        # categories of the validation rows are known as well: trees refuse values that the encoder has not seen
+        self.categories = most_categories(marked, self.features)
+        marked = _prepared(marked, self.features)
+        self.encoder = feature_stages(train, self.features, self.categories).fit(marked)
+        return cut_lineage(self.encoder.transform(marked).select("features", "is_valid", *self.targets))
+
+    def fit(
+        self, train: DataFrame, targets: Sequence[str] | None = None, valid: DataFrame | None = None
+    ) -> MultiHorizonForecaster:
+        """Fit on rows that hold features and targets; rows without a horizon's target are left out
+        of that horizon only. With ``valid`` rows a model stops adding trees once they no longer help there."""
+        return self.fit_encoded(self.encode(train, valid, targets), valid is not None)
+
+    def fit_encoded(self, matrix: DataFrame, stop_early: bool = False) -> MultiHorizonForecaster:
+        """Fit the models on vectors of :meth:`encode`."""
+        early = {"validationIndicatorCol": "is_valid", "validationTol": STOP_TOLERANCE} if stop_early else {}
+        bins = max(NUMERIC_BINS, self.categories)
 
         def fit_one(target: str):
             estimator = self.make_model(
-                featuresCol="features", labelCol=target, predictionCol=f"pred_{target}", **self.params
+                featuresCol="features", labelCol=target, predictionCol=f"pred_{target}", maxBins=bins, **early, **self.params
             )
-            return estimator.fit(matrix.filter(F.col(target).isNotNull()).select("features", target))
+            return estimator.fit(matrix.filter(F.col(target).isNotNull()).select("features", "is_valid", target))
 
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            session = train.sparkSession
+        session = matrix.sparkSession
+        cores = session.sparkContext.defaultParallelism
+        with ThreadPoolExecutor(self.parallelism or max(1, min(self.horizons, cores))) as pool:
             jobs = [pool.submit(inheritable_thread_target(session)(fit_one), t) for t in self.targets]
             self.models = [job.result() for job in jobs]
         return self
 
+    def scored(self, matrix: DataFrame) -> DataFrame:
+        """Vectors of :meth:`encode` plus one ``pred_<target>`` column per horizon."""
+        self._check_fitted()
+        return reduce(lambda part, model: model.transform(part), self.models, matrix)
+
     def _check_fitted(self) -> None:
         if not self.models:
             raise RuntimeError("fit the forecaster before using it")
@@ -158,8 +200,7 @@ class MultiHorizonForecaster:
         vectors = self.encoder.transform(
             _prepared(df.select("*", kept), self.features)
         ).select("_row", "features")
-        scored = reduce(lambda part, model: model.transform(part), self.models, vectors)
-        return scored.select("_row.*", *[f"pred_{t}" for t in self.targets])
+        return self.scored(vectors).select("_row.*", *[f"pred_{t}" for t in self.targets])
 
     def feature_importances(self, spark: SparkSession) -> DataFrame:
         """One row per feature with its importance for every horizon."""
@@ -270,16 +311,20 @@ def search(
     horizons: int = HORIZONS,
 ) -> DataFrame:
     """Trials table: number, parameters (JSON), R² per horizon on train and valid, summed valid
-    error ``loss`` and summed valid R² ``valid_score``."""
+    error ``loss`` and summed valid R² ``valid_score``.
+
+    Encoder and vectors are made once for all trials; a trial stops adding trees early.
+    """
     targets = target_columns(horizons)
     spark = train.sparkSession
+    shared = MultiHorizonForecaster(horizons)
+    matrix = shared.encode(train, valid, targets)
     rows = []
     for number, draw in enumerate(draw_params(n_trials, seed), 1):
         params = {**fixed, **draw}
-        forecaster = MultiHorizonForecaster(horizons, params).fit(train, targets)
-        scores = {}
-        for part, df in (("train", train), ("valid", valid)):
-            scores[part] = evaluate(forecaster.predict(df), targets).first()
+        forecaster = replace(shared, params=params, models=[]).fit_encoded(matrix, stop_early=True)
+        parts = evaluate(forecaster.scored(matrix), targets, ["is_valid"]).collect()
+        scores = {"valid" if r["is_valid"] else "train": r for r in parts}
         rows.append(
             (
                 number,
@@ -336,6 +381,15 @@ def load_latest(spark: SparkSession, root: str, name: str) -> MultiHorizonForeca
     return MultiHorizonForecaster.load(spark, f"{folder}/v{versions[-1]}")
 
 
+def residual_table(scored: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """(horizon, residual) of a model's predictions, rows without a target left out."""
+    parts = [
+        F.struct(F.lit(h).alias("horizon"), (F.col(t) - F.col(f"pred_{t}")).alias("residual"))
+        for h, t in enumerate(targets, 1)
+    ]
+    return scored.select(F.inline(F.array(*parts))).filter(F.col("residual").isNotNull())
+
+
 # --- scoring -----------------------------------------------------------------------------------
 
 

@@ -1,5 +1,6 @@
 """The weekly run: landing batch → core tables → snapshot → features → model → predictions → plan
-→ dashboard table. Stages hand over parquet, so a failed run can go on from its last stage."""
+→ dashboard table. Stages hand over parquet. A failed run is started again with a fresh ``root``: core tables
+refuse rows they already hold."""
 
 from __future__ import annotations
 
@@ -12,38 +13,24 @@ from pyspark.sql import functions as F
 from restock.operators import features, forecast, integrity, planning, snapshot
 from restock.operators.reshape import planning_calendar
 from restock.plans import reports
+from restock.schemas import CORE_TABLES
 from restock.session import cut_lineage
 from restock.sources import tables
 
 INDEPENDENT = ("products", "stores", "workshops", "events")
-# table -> {name column in the landing file: (dimension, name column, id column, core column)}
-DEPENDENT = {
-    "transportlinks": {
-        "p_name": ("products", "p_name", "p_id", "tl_p_id"),
-        "s_name": ("stores", "s_name", "s_id", "tl_s_id"),
-        "w_name": ("workshops", "w_name", "w_id", "tl_w_id"),
-    },
-    "procurements": {
-        "p_name": ("products", "p_name", "p_id", "pc_p_id"),
-        "s_name": ("stores", "s_name", "s_id", "pc_s_id"),
-    },
-    "promotions": {
-        "p_name": ("products", "p_name", "p_id", "pr_p_id"),
-        "s_name": ("stores", "s_name", "s_id", "pr_s_id"),
-    },
-    "eventstores": {
-        "s_name": ("stores", "s_name", "s_id", "es_s_id"),
-        "e_name": ("events", "e_name", "e_id", "es_e_id"),
-    },
-    "stocks": {
-        "p_name": ("products", "p_name", "p_id", "sk_p_id"),
-        "s_name": ("stores", "s_name", "s_id", "sk_s_id"),
-    },
-    "sales": {
-        "p_name": ("products", "p_name", "p_id", "sa_p_id"),
-        "s_name": ("stores", "s_name", "s_id", "sa_s_id"),
-    },
-}
+LANDED = ("transportlinks", "procurements", "promotions", "eventstores", "stocks", "sales")
+
+
+def name_columns(table: str) -> dict[str, tuple[str, str, str, str]]:
+    """{name column in the landing file: (dimension, name column, id column, core column)}, from the references."""
+    found = {}
+    for core_column, (dimension, id_column) in CORE_TABLES[table].references.items():
+        name = id_column.replace("_id", "_name")
+        found[name] = (dimension, name, id_column, core_column)
+    return found
+
+
+DEPENDENT = {table: name_columns(table) for table in LANDED}
 
 
 @dataclass(frozen=True)
@@ -158,7 +145,9 @@ def run_week(
     load_batch(store, landing, params.timestamp)
     matrix = build_matrix(store, folder, params)
     model = learn(matrix, folder, params)
-    _append(store, "demandpredictions", forecast.score_day(model, matrix, params.timestamp))
+    predictions = integrity.batch_or_none(forecast.score_day(model, matrix, params.timestamp))
+    if predictions is not None:  # a day without sales has none
+        _append(store, "demandpredictions", predictions)
     audit = plan_week(store, params)
     products, stores = store.table("products"), store.table("stores")
     evolution = reports.demand_evolution(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,6 +51,23 @@ def staging_path(spark: SparkSession, name: str) -> str:
     return f"{_staging_root(spark)}/{uuid.uuid4().hex}/{name}"
 
 
+def staged_once(spark: SparkSession, name: str, build: Callable[[str], None]) -> str:
+    """A path below the shared folder that ``build`` fills the first time this application asks for it.
+
+    A mark behind the finished files tells them from those of a failed attempt, and is gone after
+    :func:`clear_staging`, so nothing dangles.
+    """
+    path = f"{_staging_root(spark)}/once/{name}"
+    make = spark._jvm.org.apache.hadoop.fs.Path
+    mark = make(f"{path}/_DONE")
+    files = mark.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(mark):
+        files.delete(make(path), True)
+        build(f"{path}/data")
+        files.create(mark).close()
+    return f"{path}/data"
+
+
 def clear_staging(spark: SparkSession) -> None:
     """Delete the staged files of this application; call it once its results are stored."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_staging_root(spark))
