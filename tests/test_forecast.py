@@ -37,6 +37,37 @@ def test_fit_predict_score(spark, matrix, tmp_path):
     assert all(r.dp_mean >= 0 for r in day)
 
 
+def test_every_category_is_kept(spark):
+    rows = [(i % 100, 1, dt.date(2024, 1, 1), "g" + str(i % 70), float(i % 100), float(i % 100 % 2)) for i in range(600)]
+    schema = "product_id INT, store_id INT, c_date DATE, product_group STRING, x DOUBLE, h1_log_units_sold DOUBLE"
+    df = spark.createDataFrame(rows, schema)
+    model = forecast.MultiHorizonForecaster(1, {"maxIter": 2, "maxDepth": 3})
+    model.fit(df.filter("product_id < 90"), valid=df.filter("product_id >= 90"))
+    indexer = next(s for s in model.encoder.stages if hasattr(s, "categoryMaps"))
+    sizes = {k: len(v) for k, v in indexer.categoryMaps.items()}
+    assert sizes == {0: 100, 1: 1, 2: 70}
+    assert model.predict(df).count() == 600
+
+
+def test_typed_parameters_lose_nothing(spark):
+    long = "9" * 25
+    df = spark.createDataFrame([("12",), ("123456789012",), (long,), ("1.5",), ("a.b",), ("x",)], "value STRING")
+    rows = {r.value: (r.as_int, r.as_float, r.as_text) for r in forecast.typed_parameters(df, "value").collect()}
+    assert rows == {
+        "12": (12, None, None),
+        "123456789012": (123456789012, None, None),
+        long: (None, None, long),
+        "1.5": (None, 1.5, None),
+        "a.b": (None, None, "a.b"),
+        "x": (None, None, "x"),
+    }
+
+
+def test_search_shares_its_vectors(matrix):
+    trials = forecast.search(matrix.filter("product_id < 2"), matrix.filter("product_id = 2"), 2, {"maxIter": 2, "maxDepth": 2}, horizons=2)
+    assert trials.count() == 2 and forecast.best_trial(trials).count() == 1
+
+
 def test_errors(matrix):
     with pytest.raises(RuntimeError):
         forecast.MultiHorizonForecaster(2).predict(matrix)

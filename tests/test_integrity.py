@@ -32,6 +32,12 @@ def test_append_numbers_rows_and_fills_defaults(spark, store):
     assert [r.sa_id for r in second.ids.collect()] == [3]
 
 
+def test_patch_refuses_an_id_named_twice(spark, store):
+    changes = spark.createDataFrame([(1, "a"), (1, "b")], "p_id LONG, p_group STRING")
+    with pytest.raises(ValueError, match="more than once"):
+        store.patch("products", changes)
+
+
 @pytest.mark.parametrize(
     ("rows", "rule"),
     [

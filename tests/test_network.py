@@ -43,10 +43,42 @@ def test_greedy_assignment_equals_sequential(spark, seed):
             want.add((t, w, c))
             used_t.add(t)
             used_w.add(w)
-    got = network.greedy_assignment(spark.createDataFrame(costs, "task LONG, worker LONG, cost LONG"))
+    got = network.greedy_assignment(spark.createDataFrame(costs, "task LONG, worker LONG, cost LONG"), ties="id")
     assert {tuple(r) for r in got.collect()} == want
 
 
+@pytest.fixture
+def staged(monkeypatch):
+    """Counts the staged jobs of the network operators."""
+    calls = []
+    plain = network.cut_lineage
+    monkeypatch.setattr(network, "cut_lineage", lambda df: calls.append(1) or plain(df))
+    return calls
+
+
+def test_rounds_do_not_grow_with_equal_costs(spark, staged):
+    flat = spark.range(32 * 32).selectExpr("id div 32 as task", "id % 32 as worker", "cast(5 as bigint) as cost")
+    assert network.greedy_assignment(flat).count() == 32
+    assert len(staged) < 30
+
+
+def test_rounds_do_not_grow_with_a_ring(spark, staged):
+    ring = spark.range(64).selectExpr("id as a", "(id + 1) % 64 as b")
+    groups = network.conflict_free_groups(ring)
+    assert network.grouping_audit(ring, groups).first().n_broken == 0
+    assert len(staged) < 30
+
+
+def test_one_dear_request_does_not_disturb_the_order(spark):
+    demands = spark.createDataFrame([(c, 10) for c in range(21)], "customer_id LONG, demand LONG")
+    depots = spark.createDataFrame([(0, 55, 0.0)], "warehouse_id LONG, capacity LONG, opening_cost DOUBLE")
+    costs = spark.createDataFrame(
+        [(c, 0, 1e9 if c == 20 else 1.0 + c / 100) for c in range(21)], "customer_id LONG, warehouse_id LONG, unit_cost DOUBLE"
+    )
+    shipped = {r.customer_id: r.amount for r in network.allocate_demand(demands, depots, costs).collect()}
+    assert shipped == {0: 10, 1: 10, 2: 10, 3: 10, 4: 10, 5: 5}
+
+
 def test_greedy_is_not_optimal(spark):
     costs = spark.createDataFrame([(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 100)], "task LONG, worker LONG, cost LONG")
     audit = {r.check: r.value for r in network.assignment_audit(costs, network.greedy_assignment(costs)).collect()}
