@@ -126,22 +126,55 @@ def _(core):
     )
 
 
-@query("L3_replenishment_plan")
+@query(
+    "L3_replenishment_plan",
+    sql(
+        TABLES,
+        """select c_rank, count(*) n_cells, cast(sum(demand) as bigint) demand, true met_or_unmet, true ordered_when_needed
+ from demand group by 1""",
+        **PARTS,
+    ),
+)
 def _(core):
-    orders, _cells = planning.replenishment_plan(plan_inputs(core))
-    return orders
+    """The plan by day: its cells and demand, and whether orders were placed if any pair needed one."""
+    inputs = plan_inputs(core)
+    orders, cells = planning.replenishment_plan(inputs)
+    placed = orders.groupBy("c_rank").agg(F.sum("units").alias("units"))
+    wanting = (
+        cells.join(planning.cell_demand(inputs.needs).select(*planning.CELL, "needs_order"), planning.CELL)
+        .filter(F.col("needs_order") & (F.col("opening_stocks") - F.col("orders") < LIMITS.understock_level))
+        .join(inputs.links.select("p_id", "s_id").distinct(), ["p_id", "s_id"], "left_semi")
+        .groupBy("c_rank")
+        .agg(F.count("*").alias("wanting"))
+    )
+    return (
+        cells.groupBy("c_rank")
+        .agg(
+            F.count("*").alias("n_cells"),
+            F.sum("demand").alias("demand"),
+            F.bool_and(F.col("met_demand") + F.col("unmet_demand") == F.col("demand")).alias("met_or_unmet"),
+        )
+        .join(placed, "c_rank", "left")
+        .join(wanting, "c_rank", "left")
+        .select(
+            "c_rank", "n_cells", "demand", "met_or_unmet",
+            ((F.coalesce("wanting", F.lit(0)) == 0) | (F.coalesce("units", F.lit(0)) > 0)).alias("ordered_when_needed"),
+        )
+    )
 
 
 @query(
     "L3_plan_feasibility",
-    sql(TABLES, """select unnest(['balance', 'max_opening', 'demand_split', 'order_allowed', 'package_multiple', 'capacity']) as "constraint",
+    sql(TABLES, """select unnest(['balance', 'max_opening', 'demand_split', 'order_allowed', 'package_multiple', 'capacity', 'idle_capacity']) as "constraint",
  cast(0 as bigint) violations union all select 'no_prediction', count(*) from demand where no_prediction""", **PARTS),
 )
 def _(core):
-    """The plan meets every rule it can always meet; the safety level depends on capacity."""
+    """The plan meets every rule it can always meet, and leaves no need open that capacity could meet; the safety
+    level depends on capacity."""
     inputs = plan_inputs(core)
     orders, cells = planning.replenishment_plan(inputs)
-    return planning.audit_plan(cells, orders, inputs).filter("constraint != 'safety_stock'")
+    rules = planning.audit_plan(cells, orders, inputs).filter("constraint != 'safety_stock'")
+    return rules.unionByName(planning.idle_capacity(cells, orders, inputs))
 
 
 @query(

@@ -281,6 +281,38 @@ def audit_plan(
     )
 
 
+def idle_capacity(
+    cells: DataFrame, orders: DataFrame, inputs: PlanInputs, limits: PlanLimits = PlanLimits()
+) -> DataFrame:
+    """(constraint, violations): links over which a pair could still get a package that it needs.
+
+    A workshop counts as idle if it has room for the largest package. A plan that leaves need open while
+    a linked workshop is idle, such as an empty plan, breaks this rule.
+    """
+    need, room = _wanted(limits)
+    allowed = cell_demand(inputs.needs).select(*CELL, "needs_order")
+    short = (
+        cells.join(allowed, CELL)
+        .withColumn("stock", F.col("opening_stocks") - F.col("orders"))
+        .select(*CELL, (need - F.col("orders")).alias("need"), (room - F.col("orders")).alias("room"))
+        .filter("need > 0")
+    )
+    load = orders.groupBy("w_id", "c_rank").agg(F.sum("units").alias("load"))
+    largest = inputs.links.agg(F.max("package_size")).scalar()
+    idle = (
+        inputs.capacity.join(load, ["w_id", "c_rank"], "left")
+        .filter(F.col("capacity") - F.coalesce("load", F.lit(0)) >= largest)
+        .select("w_id", "c_rank")
+    )
+    return (
+        short.join(inputs.links, PAIR)
+        .filter(F.col("package_size") <= F.col("room"))
+        .join(idle, ["w_id", "c_rank"], "left_semi")
+        .agg(F.count("*").alias("violations"))
+        .select(F.lit("idle_capacity").alias("constraint"), "violations")
+    )
+
+
 # --- result tables -----------------------------------------------------------------------------
 
 

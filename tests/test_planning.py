@@ -48,6 +48,14 @@ def test_capacity_is_used_up_before_demand_is_refused(planned):
     assert load[(0, 1)] > 380 and load[(1, 1)] > 380
 
 
+def test_an_empty_plan_leaves_capacity_idle(planned):
+    inputs, orders, cells = planned
+    assert planning.idle_capacity(cells, orders, inputs).first().violations == 0
+    demand = planning.cell_demand(inputs.needs)
+    empty = demand.select(*planning.CELL, "demand", F.lit(0).alias("orders"), F.lit(0).alias("opening_stocks"))
+    assert planning.idle_capacity(empty, orders.limit(0), inputs).first().violations > 0
+
+
 def test_plan_does_not_depend_on_partitioning(spark, planned):
     _, orders, cells = planned
     orders2, cells2 = planning.replenishment_plan(make_inputs(spark, 7), window=2)
