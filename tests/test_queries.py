@@ -1,6 +1,7 @@
 """Every registered query equals its check SQL on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -16,7 +17,11 @@ def con():
     return duck(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+# the queries of the optional subpackage have tests of their own
+NAMES = [name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)]
+
+
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, con, name):
     status, _ = compare(spark, con, name, FOLDER)
     assert status.startswith(("ok", "rows-only")), status
