@@ -48,10 +48,11 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td",
 HOLDERS = frozenset("ul ol dl table body article main section div nav aside footer header form blockquote td th".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
 NOISE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense banner banners breadcrumb breadcrumbs comment comments commentlist "
-    "consent cookie cookies disqus disclaimer footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices "
-    "notification pager pagination popup promo promotion recommended related replies reply respond share sharing sidebar sidebars "
-    "signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements adsense alert alerts announcement announcements banner banners breadcrumb "
+    "breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr header masthead "
+    "menu menubar modal nav navbar navigation newsletter notice notices notification notifications pager pagination paywall popup promo "
+    "promotion recommended related replies reply respond responses share sharing sidebar sidebars sidenav signup skip social sponsor "
+    "sponsored submenu subnav subscribe subscription toolbar topbar widget widgets".split()
 )
 
 _TOKEN = re.compile(
