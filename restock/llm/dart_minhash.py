@@ -42,7 +42,7 @@ BANDS = 20
 ROWS = 5
 COORDINATES = BANDS * ROWS
 SKETCH_BITS = 18
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -216,6 +216,16 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(roots)
 
 
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after more links (a, b): components of the few classes that the links join."""
+    left = _labelled(links.select(F.col("a").alias("node"), "b"), labels).select(F.col("label").alias("a"), F.col("b").alias("node"))
+    ends = _labelled(left, labels).select("a", F.col("label").alias("b"))
+    up = cut_lineage(components(ends))
+    moved = labels.join(up.select(F.col("node").alias("label"), F.col("label").alias("root")), "label", "left")
+    alone = up.join(labels.select("node"), "node", "left_anti")
+    return cut_lineage(moved.select("node", F.coalesce("root", "label").alias("label")).union(alone.select("node", "label")))
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     for b in batches:
@@ -229,14 +239,19 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) of nodes with different labels that share a prefix element.
 
     Complete for similarities of ``least`` or more under any order of the elements; a table of
-    2^SKETCH_BITS counts makes it from rare to frequent.
+    2^SKETCH_BITS counts makes it from rare to frequent. At the first element that two sets share, what
+    comes from there on in the shorter rest bounds their overlap; pairs whose bound is below the overlap that
+    ``least`` asks for are not formed. So texts that share a frequent passage do not meet unless
+    the passage is nearly all of them.
     """
     spark = sets.sparkSession
     cells = sets.select("hashes").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     sent = spark.sparkContext.broadcast(counts)
-    schema = pa.schema([("element", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("total", pa.int64())])
+    schema = pa.schema(
+        [("element", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("total", pa.int64()), ("rest", pa.int64())]
+    )
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -247,21 +262,27 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
                 element = _mix(h + _P1 * layer.astype(np.uint64)).view(np.int64)
                 n = len(h)
                 first = np.lexsort((element, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]
-                yield batch(schema, (element[first], [node.as_py()] * len(first), [label.as_py()] * len(first), [n] * len(first)))
+                k = len(first)
+                yield batch(schema, (element[first], [node.as_py()] * k, [label.as_py()] * k, [n] * k, n - np.arange(k)))
 
     joined = sets.join(labels, "node").select("node", "label", "hashes", "weights")
-    postings = cut_lineage(joined.mapInArrow(prefixes, "element long, node binary, label binary, total long"))
+    postings = cut_lineage(joined.mapInArrow(prefixes, "element long, node binary, label binary, total long, rest long"))
     by_label = postings.groupBy("element", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     posted = postings.join(mixed.select("element", "major"), "element")
     # a large class meets the others of its element; its own members do not meet each other
     minor = posted.where("label <> major").select(
-        "element", F.col("node").alias("o_node"), F.col("label").alias("o_label"), F.col("total").alias("o_total")
+        "element",
+        F.col("node").alias("o_node"),
+        F.col("label").alias("o_label"),
+        F.col("total").alias("o_total"),
+        F.col("rest").alias("o_rest"),
     )
-    ratio = F.least("total", "o_total") >= F.lit(least - 1e-9) * F.greatest("total", "o_total")
+    overlap = F.lit(least / (1 + least)) * (F.col("total") + F.col("o_total")) - 1e-6
     return (
         posted.join(minor, "element")
-        .where((F.col("label") != F.col("o_label")) & ((F.col("label") == F.col("major")) | (F.col("node") < F.col("o_node"))) & ratio)
+        .where((F.col("label") != F.col("o_label")) & ((F.col("label") == F.col("major")) | (F.col("node") < F.col("o_node"))))
+        .where(F.least("rest", "o_rest") >= overlap)
         .select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
         .distinct()
     )
@@ -302,7 +323,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     )
     first = led.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     compared = cut_lineage(compare(first, sets))
-    labels = components(compared.where(F.col("similarity") >= least))
+    similar = F.col("similarity") >= least
+    labels = cut_lineage(components(compared.where(similar)))
 
     def apart(pairs: DataFrame) -> DataFrame:
         """Pairs of different classes that are not compared yet."""
@@ -316,8 +338,9 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
             .select("a", "b")
         )
 
-    compared = compared.union(cut_lineage(compare(apart(led), sets)))
-    labels = components(compared.where(F.col("similarity") >= least))
+    more = cut_lineage(compare(apart(led), sets))
+    compared = compared.union(more)
+    labels = merged(labels, more.where(similar))
     mixed = (
         _labelled(members.join(buckets.where("n > 2"), ["band", "key"]), labels)
         .groupBy("band", "key")
@@ -328,8 +351,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     open_nodes = cut_lineage(members.join(mixed, ["band", "key"], "left_semi").select("node").distinct())
     open_sets = sets.join(open_nodes, "node", "left_semi")
     rest = cut_lineage(apart(prefix_pairs(open_sets, _labelled(open_nodes, labels), least)))
-    compared = compared.union(cut_lineage(compare(rest, sets)))
-    labels = components(compared.where(F.col("similarity") >= least))
+    labels = merged(labels, cut_lineage(compare(rest, sets)).where(similar))
 
     labelled = cut_lineage(_labelled(rows.select("row", "doc_id", "node"), labels).select("row", "doc_id", "label"))
     groups = labelled.groupBy("label").agg(
