@@ -42,6 +42,7 @@ BANDS = 20
 ROWS = 5
 COORDINATES = BANDS * ROWS
 SKETCH_BITS = 18
+PARITY_WORDS = 4
 CACHE_WORDS = 200_000
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -242,7 +243,8 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     2^SKETCH_BITS counts makes it from rare to frequent. At the first element that two sets share, what
     comes from there on in the shorter rest bounds their overlap; pairs whose bound is below the overlap that
     ``least`` asks for are not formed. So texts that share a frequent passage do not meet unless
-    the passage is nearly all of them.
+    the passage is nearly all of them. Parities of the element counts in PARITY_WORDS x 64 cells bound the
+    difference from below in the same way: each cell whose parity differs holds an element of one set only.
     """
     spark = sets.sparkSession
     cells = sets.select("hashes").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
@@ -251,7 +253,9 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     sent = spark.sparkContext.broadcast(counts)
     schema = pa.schema(
         [("element", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("total", pa.int64()), ("rest", pa.int64())]
+        + [(f"p{k}", pa.int64()) for k in range(PARITY_WORDS)]
     )
+    parities = [f"p{k}" for k in range(PARITY_WORDS)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,10 +267,14 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
                 n = len(h)
                 first = np.lexsort((element, rank))[: n - int(np.ceil(least * n - 1e-9)) + 1]
                 k = len(first)
-                yield batch(schema, (element[first], [node.as_py()] * k, [label.as_py()] * k, [n] * k, n - np.arange(k)))
+                odd = np.bincount(element & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+                words = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                yield batch(schema, (
+                    element[first], [node.as_py()] * k, [label.as_py()] * k, [n] * k, n - np.arange(k), *([w] * k for w in words.tolist()),
+                ))
 
     joined = sets.join(labels, "node").select("node", "label", "hashes", "weights")
-    postings = cut_lineage(joined.mapInArrow(prefixes, "element long, node binary, label binary, total long, rest long"))
+    postings = cut_lineage(joined.mapInArrow(prefixes, "element long, node binary, label binary, total long, rest long, " + ", ".join(f"{p} long" for p in parities)))
     by_label = postings.groupBy("element", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     posted = postings.join(mixed.select("element", "major"), "element")
@@ -277,12 +285,15 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
         F.col("label").alias("o_label"),
         F.col("total").alias("o_total"),
         F.col("rest").alias("o_rest"),
+        *(F.col(p).alias(f"o_{p}") for p in parities),
     )
+    differing = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"o_{p}"))) for p in parities[1:]), F.bit_count(F.col("p0").bitwiseXOR(F.col("o_p0"))))
+    most = F.lit((1 - least) / (1 + least)) * (F.col("total") + F.col("o_total")) + 1e-6
     overlap = F.lit(least / (1 + least)) * (F.col("total") + F.col("o_total")) - 1e-6
     return (
         posted.join(minor, "element")
         .where((F.col("label") != F.col("o_label")) & ((F.col("label") == F.col("major")) | (F.col("node") < F.col("o_node"))))
-        .where(F.least("rest", "o_rest") >= overlap)
+        .where((F.least("rest", "o_rest") >= overlap) & (differing <= most))
         .select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
         .distinct()
     )
