@@ -21,12 +21,17 @@ def fold(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(folds)
 
 
-def once_per_process(key: str, make: Callable[[], object]) -> object:
-    """``make()`` once in each Python worker, shared by all tasks that it runs."""
-    store = sys.modules.setdefault("_restock_llm_store", types.ModuleType("_restock_llm_store"))
-    if key not in store.__dict__:
-        store.__dict__[key] = make()
-    return store.__dict__[key]
+def once_per_process(kind: str, version: str, make: Callable[[], object]) -> object:
+    """``make()`` once in each Python worker, shared by all tasks that it runs.
+
+    A worker keeps the last one only, so that workers which live through many stages do not fill up.
+    """
+    store = sys.modules.setdefault("_restock_llm_store", types.ModuleType("_restock_llm_store")).__dict__
+    held = store.get("held")
+    if held is None or held[0] != (kind, version):
+        store["held"] = None
+        held = store["held"] = ((kind, version), make())
+    return held[1]
 
 
 def utf8_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:

@@ -249,7 +249,7 @@ def predict(df: DataFrame, models: Models, text_col: str = "text", keep: tuple[s
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_PREDICTED_DDL])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = once_per_process(f"language {models_serial}", lambda: Scorer(sent.value))
+        scorer = once_per_process("language", models_serial, lambda: Scorer(sent.value))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)

@@ -107,7 +107,7 @@ def scan(df: DataFrame, vocabulary: str, max_ratio: float = 2.2, id_col: str = "
     """Per row: counts by kind, a digest of the pattern spans, and all spans."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = once_per_process(f"scan {vocabulary}", lambda: load_encoding(vocabulary))
+        encoding = once_per_process("scan", vocabulary, lambda: load_encoding(vocabulary))
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -135,7 +135,7 @@ def redact(df: DataFrame, vocabulary: str, mark: str = "[SECRET]", max_ratio: fl
         return "".join(out) + text[at:]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = once_per_process(f"scan {vocabulary}", lambda: load_encoding(vocabulary))
+        encoding = once_per_process("scan", vocabulary, lambda: load_encoding(vocabulary))
         for b in batches:
             k = b.schema.get_field_index(text_col)
             texts = pa.array([clean(t.as_py(), encoding) for t in b.column(k)], b.schema.field(k).type)

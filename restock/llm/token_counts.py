@@ -77,7 +77,7 @@ def count_tokens(
         raise ValueError(f"unknown rule {rule}")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = once_per_process(f"token counter {vocabulary}", lambda: Counter(vocabulary))
+        counter = once_per_process("token counter", vocabulary, lambda: Counter(vocabulary))
         held: list[list[np.ndarray]] = []
         ids: list[int] = []
         rows = 0
