@@ -11,7 +11,7 @@ The model is never in one place. Documents are cut into blocks of about BLOCK_TO
 sends its distinct words and word pairs, with their training counts, once to the shards that own
 them (by hash); a shard adds up the counts, builds its trie and answers all blocks; each block then adds
 up its documents. Contexts that are a large part of all tokens are spread over the shards by their
-successor. Words are known by 64-bit hashes.
+successor. Words are known by 64-bit hashes, successors of one context by 48 bits of them.
 
 Tokens are the words between white space (ASCII, A-Z lower-cased) and one end. A null or empty text is the
 end only. Repeated rows are counted and scored row by row; an empty table gives no rows.
@@ -198,6 +198,16 @@ def _read(raw, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def _short(words: np.ndarray) -> np.ndarray:
+    """The low 48 bits of hashes, in 6 bytes."""
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def _read_short(raw) -> np.ndarray:
+    short = _read(raw, np.uint8).reshape(-1, 6)
+    return np.concatenate([short, np.zeros((len(short), 2), np.uint8)], axis=1).view("<u8").ravel()
+
+
 class Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = value = max(xxhash.xxh3_64_intdigest(word), 3)  # 0 to 2 are set aside
@@ -326,7 +336,7 @@ def _trie_answers(table: pa.Table, frequent: dict[int, int], weight: float) -> p
     """Build the shard's trie from all blocks' counts and answer each block."""
     blocks = table.column("block").to_pylist()
     asked = [
-        (_read(c.as_buffer(), "<u8"), _read(r.as_buffer(), "<i4"), _read(w.as_buffer(), "<u8"), _read(n.as_buffer(), "<i4"))
+        (_read(c.as_buffer(), "<u8"), _read(r.as_buffer(), "<i4"), _read_short(w.as_buffer()), _read(n.as_buffer(), "<i4"))
         for c, r, w, n in zip(*(table.column(k) for k in ("contexts", "runs", "words", "counts")))
     ]
     u = np.concatenate([np.repeat(c, r)[n > 0] for c, r, _, n in asked])
@@ -402,7 +412,7 @@ def score(
                 for shard, at, u, w in _pair_order(pairs, hashes, pair_shards, hot):
                     start = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
                     runs = np.diff(np.append(start, len(u))).astype("<i4")
-                    yield batch(_PAIR_ROWS, ([shard], [row["block"]], [_pack(u[start])], [_pack(runs)], [_pack(w)], [_pack(counts[at])]))
+                    yield batch(_PAIR_ROWS, ([shard], [row["block"]], [_pack(u[start])], [_pack(runs)], [_pack(_short(w))], [_pack(counts[at])]))
 
     ddl = "shard long, block long, contexts binary, runs binary, words binary, counts binary"
     pair_rows = blocks.select("block", "stream", "lengths", "hashes", "held").mapInArrow(send_pairs, ddl)
