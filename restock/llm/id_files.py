@@ -32,7 +32,9 @@ STEP = 256
 MAX_BITS = 18
 FILE_IDS = 8_000_000
 
-_TOKENS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+_TOKENS = pa.schema(
+    [("doc_id", pa.int64()), ("tie", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())]
+)
 _BLOCKS = pa.schema(
     [("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64())]
     + [(name, pa.binary()) for name in ("known", "doc_ids", "doc_sizes", "bits", "checkpoints")]
@@ -124,9 +126,9 @@ class Codes:
 
 
 def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, tie, n, ids): the ids of each document as little-endian integers of 16 bits, or 32 if it needs them.
+    """(doc_id, tie, n, ids, counts): the ids of each document, in 16 bits where they fit, else in 32.
 
-    The first byte tells the width.
+    The first byte tells the width. Each batch adds a row with only the counts of its ids.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,9 +138,17 @@ def tokenise(df: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col:
             for lo in range(0, len(texts), 1000):
                 ids = [np.append(x, end_id).astype("<u4") for x in encoder.encode(texts[lo : lo + 1000])]
                 raw = [b"\2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\4" + x.tobytes() for x in ids]
-                yield batch(_TOKENS, (b.column(0).slice(lo, 1000), [zlib.crc32(x) for x in raw], [len(x) for x in ids], raw))
+                k = len(raw)
+                counts = np.bincount(np.concatenate(ids))
+                used = np.flatnonzero(counts)
+                counted = np.concatenate([used, counts[used]]).astype("<i8").tobytes()
+                yield batch(_TOKENS, (
+                    pa.concat_arrays([b.column(0).slice(lo, 1000), pa.nulls(1, pa.int64())]),
+                    [zlib.crc32(x) for x in raw] + [None], [len(x) for x in ids] + [None], raw + [None], [None] * k + [counted],
+                ))
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(work, "doc_id long, tie long, n long, ids binary")
+    ddl = "doc_id long, tie long, n long, ids binary, counts binary"
+    return df.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(work, ddl)
 
 
 def _ids(raw: pa.Scalar) -> np.ndarray:
@@ -149,11 +159,11 @@ def _ids(raw: pa.Scalar) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        ids = np.concatenate([np.zeros(0, "<u4"), *map(_ids, b.column(0))])
-        found = np.bincount(ids)
-        if len(found) > len(total):
-            total, found = found, total
-        total[: len(found)] += found
+        for raw in b.column(0):
+            used, counts = np.frombuffer(raw.as_buffer(), "<i8").reshape(2, -1)
+            if used[-1] >= len(total):
+                total = np.concatenate([total, np.zeros(used[-1] + 1 - len(total), np.int64)])
+            total[used] += counts
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
@@ -163,8 +173,9 @@ def write_ids(
 ) -> None:
     """Encode all documents of ``df`` into files below ``path``, in ascending document order."""
     spark = df.sparkSession
-    tokens = cut_lineage(tokenise(df, tokenizer, end_id, id_col, text_col))
-    counted = tokens.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    staged = cut_lineage(tokenise(df, tokenizer, end_id, id_col, text_col))
+    tokens = staged.where("n is not null").drop("counts")
+    counted = staged.select("counts").where("counts is not null").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r.id for r in counted), default=-1) + 1, np.int64)
     for r in counted:
         counts[r.id] = r.n
@@ -241,7 +252,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         total += sizes[part]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = once_per_process(f"codes {path}", lambda: Codes(lengths))
+        codes = once_per_process("codes", path, lambda: Codes(lengths))
         for b in batches:
             for lo in range(0, b.num_rows, 64):
                 yield _decode_rows(codes, b.slice(lo, 64).to_pylist(), first)

@@ -18,11 +18,12 @@ import numpy as np
 
 from restock.llm.common import once_per_process
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 600_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: as the vocabulary's pattern for ASCII; runs of bytes from 0x80 are taken as letters and checked
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
+_STOPS = frozenset(b".,;:!?")
 
 
 def _byte_letters() -> dict[int, int]:
@@ -49,6 +50,18 @@ class WordIds:
         self.ids = np.zeros(0, np.int32)  # ids of all of them, end to end
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _thin_out(self) -> None:
+        """Keep what was looked up more than once; all, or most of it, is forgotten if that is too much."""
+        kept = np.flatnonzero(self.uses > 1)
+        if len(kept) > CACHE_CHUNKS // 2:
+            kept = kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_CHUNKS // 2]]
+            kept.sort()
+        names = list(self.known)  # in the order of their numbers
+        ids, sizes = self._gather(kept), self.sizes[kept]
+        self._forget()
+        self._add([names[k] for k in kept.tolist()], ids, sizes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, without special tokens, as 32-bit integers."""
@@ -63,9 +76,10 @@ class WordIds:
                 split.append(text.translate(_LOWER).split())
                 where.append(k)
         if len(self.known) > CACHE_CHUNKS:
-            self._forget()
+            self._thin_out()
         self._learn(set().union(*split) - self.known.keys())
         numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        self.uses += np.bincount(numbers, minlength=len(self.uses))
         ids = self._gather(numbers)
         ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
         bounds = ends[np.cumsum([0, *map(len, split)])]
@@ -82,6 +96,7 @@ class WordIds:
         self.known.update(zip(names, range(first, first + len(names))))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int64)])
         self.ids = np.concatenate([self.ids, ids])
 
     def _learn(self, chunks: set[bytes]) -> None:
@@ -96,6 +111,12 @@ class WordIds:
             if c.isalpha():  # ASCII letters only
                 fresh.add(c)
                 continue
+            if (stem := c[:-1]).isalpha() and c[-1] in _STOPS:  # most others: a word and a stop
+                joined.append(c)
+                parts.append([stem, c[-1:]])
+                fresh.add(stem)
+                fresh.add(c[-1:])
+                continue
             found = _PIECES.findall(c)
             # lower() shows letters that become a letter and a mark
             if not c.isascii() and not all(p.isascii() or p.decode().lower().isalpha() for p in found):
@@ -136,4 +157,4 @@ class WordIds:
 
 
 def word_ids(path: str) -> WordIds:
-    return once_per_process(f"word ids {path}", lambda: WordIds(path))
+    return once_per_process("word ids", path, lambda: WordIds(path))
