@@ -1,6 +1,6 @@
 """Benchmark decontamination with suffix arrays over the training documents.
 
-The documents of a task are cut into shards of a few million words. A shard's suffix array orders
+The documents of a task are cut into shards of about SHARD_WORDS words. A shard's suffix array orders
 all its word suffixes (by their first ``depth`` words; prefix doubling re-sorts only what is still
 tied). Every benchmark suffix is found by binary search in every shard: the suffixes that share its
 first ``window`` words are one range, whose members are the verbatim occurrences; each is extended word
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from restock.llm.common import ragged, utf8_texts, with_rows
 from restock.session import cut_lineage
 
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 1_500_000
 _KEEP = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c in _KEEP else 32 for c in range(256))
 
@@ -65,14 +65,15 @@ def benchmark_windows(rows: list[tuple[str, bytes]], window: int) -> Windows:
 class SuffixArray:
     """Suffixes of a shard, 0 behind every document; ``left`` is the number of words to its end."""
 
-    def __init__(self, documents: list[list[bytes]], depth: int):
-        self.numbers = numbers = Numbers()
+    def __init__(self, documents: list[np.ndarray], numbers: Numbers, depth: int):
+        """``documents``: word numbers; ``numbers``: what they stand for."""
+        self.numbers = numbers
         lengths = np.array([len(d) for d in documents], np.int64)
         self.starts = np.cumsum(lengths + 1) - lengths - 1
         n = int((lengths + 1).sum())
         words = np.zeros(n + depth + 1, np.int32)
         for start, d in zip(self.starts, documents):
-            words[start : start + len(d)] = np.fromiter(map(numbers.__getitem__, d), np.int32, len(d))
+            words[start : start + len(d)] = d
         self.words = words
         run, place = ragged(lengths + 1)
         self.left = (lengths[run] - place).astype(np.int32)
@@ -162,9 +163,9 @@ def occurrences(array: SuffixArray, windows: Windows) -> tuple[np.ndarray, np.nd
     return known[run], places, lengths[run]
 
 
-def _search(documents: list[list[bytes]], windows: Windows, depth: int):
+def _search(documents: list[np.ndarray], numbers: Numbers, windows: Windows, depth: int):
     """Per document: hit spans (in words) and the items that occur."""
-    array = SuffixArray(documents, depth)
+    array = SuffixArray(documents, numbers, depth)
     which, place, length = occurrences(array, windows)
     steps = np.zeros(len(array.left) + 1, np.int32)
     np.add.at(steps, place, 1)
@@ -195,20 +196,21 @@ _HITS = pa.schema(
 _HITS_DDL = "row long, doc_id long, n_words long, spans array<struct<s: long, e: long>>, items array<string>"
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[list[bytes]]]]:
-    rows, ids, documents, size = [], [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list[np.ndarray], Numbers]]:
+    """Rows, ids, documents as word numbers, and the numbers of the words, shard by shard."""
+    rows, ids, documents, numbers, size = [], [], [], Numbers(), 0
     for b in batches:
         for row, doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8_texts(b.column(2))):
             words = split_words(text)
             rows.append(row)
             ids.append(doc_id)
-            documents.append(words)
+            documents.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             size += len(words)
             if size >= SHARD_WORDS:
-                yield rows, ids, documents
-                rows, ids, documents, size = [], [], [], 0
+                yield rows, ids, documents, numbers
+                rows, ids, documents, numbers, size = [], [], [], Numbers(), 0
     if rows:
-        yield rows, ids, documents
+        yield rows, ids, documents, numbers
 
 
 def _chunks(benchmark: DataFrame, id_col: str, text_col: str, chunk_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
@@ -238,8 +240,8 @@ def find_hits(
         sent = spark.sparkContext.broadcast(windows)
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, ids, documents in _shards(batches):
-                spans, items = _search(documents, sent.value, max(depth, window))
+            for rows, ids, documents, numbers in _shards(batches):
+                spans, items = _search(documents, numbers, sent.value, max(depth, window))
                 columns = (rows, ids, [len(d) for d in documents], [[{"s": s, "e": e} for s, e in x] for x in spans], [sorted(x) for x in items])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HITS)], schema=_HITS)
 
@@ -309,8 +311,8 @@ def longest_matches(
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             suffixes = [(k, p) for k, (_, w) in enumerate(sent.value) for p in range(max(1, len(w) - window + 1))]
             windows = Windows([sent.value[k][1][p : p + window] for k, p in suffixes], [])
-            for _, ids, documents in _shards(batches):
-                array = SuffixArray(documents, max(depth, window))
+            for _, ids, documents, numbers in _shards(batches):
+                array = SuffixArray(documents, numbers, max(depth, window))
                 which, place, length = occurrences(array, windows)
                 best: dict[int, tuple[int, int]] = {}
                 for s, at, n in zip(which.tolist(), place.tolist(), length.tolist()):

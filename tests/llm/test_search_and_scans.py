@@ -147,7 +147,8 @@ def test_longest_matches(spark):
 def test_suffix_array_is_sorted():
     rng = random.Random(2)
     docs = [[rng.choice([b"a", b"b", b"c"]) for _ in range(rng.randint(0, 40))] for _ in range(30)] + [[b"a"] * 50] * 2
-    array = decontaminate.SuffixArray(docs, 16)
+    numbers = decontaminate.Numbers()
+    array = decontaminate.SuffixArray([np.array([numbers[w] for w in d], np.int32) for d in docs], numbers, 16)
     suffixes = []
     for at in array.sa:
         stop = at + array.left[at]
