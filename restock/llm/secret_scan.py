@@ -3,9 +3,11 @@
 Patterns find assigned values, access keys and long lower-case hex runs. The token-efficiency test
 looks at every run of 16 or more key characters: prose and code cost about one token for four
 characters, random strings cost one token for less than ``max_ratio`` characters under the same
-vocabulary. Known digests (hex of a digest's length, UUIDs), plain numbers and identifiers (words in
-snake, kebab or camel case) are excluded before the test; a run that a pattern span already covers
-is not reported again.
+vocabulary. Known digests (hex of a digest's length, UUIDs) and plain numbers are excluded before the
+test; a run that a pattern span already covers is not reported again. Identifiers (snake, kebab,
+camel or upper case) pass if their words are token-efficient. In a run that passes, stretches of 16
+or more characters between words (a key after a path, a name or a prefix) are tested on their own
+and reported up to the separators around them.
 
 Spans are kind:start:end in code points, end exclusive, ordered by start and then by kind in the order
 assign, access, hex, random. A null text is an empty text and has no spans. Repeated rows are scanned
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -39,7 +42,11 @@ _HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_UUIDS = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])")
+_SEGMENT = re.compile(r"[A-Za-z0-9]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+# a stretch ends where words undo so much of its score; letters a token of a word; characters encoded at once
+DROP, WORD_RATIO, PIECE = 4.0, 3.0, 1000
 
 _OUT = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "n_assign", "n_access", "n_hex", "n_random")]
@@ -56,15 +63,95 @@ def load_encoding(path: str) -> tiktoken.Encoding:
 
 
 def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers."""
+    """Digests, UUIDs and numbers."""
     if run.isdigit() or _UUID.fullmatch(run):
         return True
-    if len(run) in DIGEST_LENGTHS and (_HEX.fullmatch(run) or _HEX.fullmatch(run.lower()) and run.isupper()):
-        return True
+    return len(run) in DIGEST_LENGTHS and bool(_HEX.fullmatch(run) or _HEX.fullmatch(run.lower()) and run.isupper())
+
+
+def n_tokens(run: str, encoding: tiktoken.Encoding) -> int:
+    return sum(len(encoding.encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
+
+
+def word_tokens(word: str, encoding: tiktoken.Encoding) -> int:
+    """Tokens of a part of a run; upper-case words are spelled in more tokens than lower-case ones."""
+    n = n_tokens(word, encoding)
+    return n if word.islower() or word.isdigit() else min(n, n_tokens(word.lower(), encoding))
+
+
+def is_identifier(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
+    """Words in snake, kebab or camel case whose letters have ``max_ratio`` characters a token, in either case."""
     words = [p for p in _PART.findall(run) if not p[0].isdigit()]
     letters = sum(map(len, words))
-    # an identifier is made of words; in a random string case and digits change every other place
-    return bool(words) and letters >= 4 * len(words) and 3 * letters >= 2 * len(run)
+    return 3 * letters >= 2 * len(run) and letters >= max_ratio * sum(word_tokens(w, encoding) for w in words)
+
+
+def is_random(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> bool:
+    return len(run) < max_ratio * n_tokens(run, encoding) and not is_identifier(run, encoding, max_ratio)
+
+
+def stretches(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """Stretches of a run whose parts have few characters a token, in one pass over the parts.
+
+    Each part scores ``max_ratio`` times its tokens less its characters, so random parts gain and words
+    lose. A stretch is grown over parts that are no words, has to fail the test as a run would, and is
+    reported with its whole segments, further short ones and padding.
+    """
+    known = [m.span() for m in _UUIDS.finditer(run)]
+    segments = [m.span() for m in _SEGMENT.finditer(run)]
+    known += [s for s in segments if s[1] - s[0] in DIGEST_LENGTHS and is_known(run[slice(*s)])]
+    known.sort()
+    parts: list[tuple[int, int, float, int]] = []  # start, end, score, segment; known parts score minus infinity
+    at = 0
+    for number, (low, high) in enumerate(segments):
+        while at < len(known) and known[at][1] <= low:
+            at += 1
+        if at < len(known) and known[at][0] <= low:
+            parts.append((low, high, -math.inf, number))
+            continue
+        for m in _PART.finditer(run, low, high):
+            parts.append((*m.span(), max_ratio * word_tokens(m.group(), encoding) - len(m.group()), number))
+
+    def is_word(part: tuple[int, int, float, int]) -> bool:
+        start, end, score, _ = part
+        size = end - start
+        return score == -math.inf or size >= 4 and run[start].isalpha() and size * max_ratio >= WORD_RATIO * (score + size)
+
+    found: list[tuple[int, int]] = []
+
+    def emit(first: int, last: int) -> None:
+        while first and parts[first - 1][3] == parts[first][3] and not is_word(parts[first - 1]):
+            first -= 1
+        while last + 1 < len(parts) and parts[last + 1][3] == parts[last][3] and not is_word(parts[last + 1]):
+            last += 1
+        text = run[parts[first][0] : parts[last][1]]
+        if len(text) < 16 or not any(map(str.isalpha, text)) or not is_random(text, encoding, max_ratio):
+            return
+        low, high = parts[first][3], parts[last][3]
+        short = lambda s: s[1] - s[0] < 4
+        while low and short(segments[low - 1]):
+            low -= 1
+        while high + 1 < len(segments) and short(segments[high + 1]):
+            high += 1
+        start, end = segments[low][0], segments[high][1]
+        while end < len(run) and run[end] == "=":
+            end += 1
+        if found and start < found[-1][1]:
+            start = found.pop()[0]
+        found.append((start, end))
+
+    first, last, total, best = -1, -1, 0.0, 0.0
+    for k, (_, _, score, _) in enumerate(parts):
+        total += score
+        if first >= 0 and (total <= 0 or total < best - DROP):
+            emit(first, last)
+            first, total, best = -1, max(score, 0.0), 0.0
+        total = max(total, 0.0)
+        if total > best:
+            first, last, best = k if first < 0 else first, k, total
+    if first >= 0:
+        emit(first, last)
+    return found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, int]]:
@@ -87,15 +174,25 @@ def find_secrets(text: str, encoding: tiktoken.Encoding, max_ratio: float) -> li
     base = base_spans(text)
     found = list(base)
     at, reach = 0, 0
-    for m in _RUN.finditer(text):
-        while at < len(base) and base[at][0] <= m.start():
+
+    def covered(start: int, end: int) -> bool:
+        nonlocal at, reach
+        while at < len(base) and base[at][0] <= start:
             reach = max(reach, base[at][2])
             at += 1
+        return reach >= end
+
+    for m in _RUN.finditer(text):
         run = m.group()
-        if reach >= m.end() or is_known(run):
+        if covered(m.start(), m.end()) or is_known(run):
             continue
-        if len(run) < max_ratio * len(encoding.encode_ordinary(run)):
+        if is_random(run, encoding, max_ratio):
             found.append((m.start(), 3, m.end(), m.start()))
+            continue
+        for low, high in stretches(run, encoding, max_ratio):
+            start, end = m.start() + low, m.start() + high
+            if not covered(start, end):
+                found.append((start, 3, end, start))
     return sorted(found)
 
 

@@ -76,6 +76,55 @@ def test_secret_spans(text, want):
     assert spans(text) == want
 
 
+ALPHABETS = {
+    "a-z": "abcdefghijklmnopqrstuvwxyz",
+    "A-Z": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base32 lower": "abcdefghijklmnopqrstuvwxyz234567",
+    "base36": "abcdefghijklmnopqrstuvwxyz0123456789",
+    "base36 upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+    "base64url": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-",
+}
+
+
+@pytest.mark.parametrize("before", ["", "/home/service/credentials/authorization/", "service-account-authorization_", "production_database_connection="])
+@pytest.mark.parametrize("kind", ALPHABETS)
+def test_random_strings_are_found(kind, before):
+    rng = random.Random(7)
+    encoding = secret_scan.load_encoding(VOCABULARY)
+    found = 0
+    for _ in range(200):
+        key = "".join(rng.choice(ALPHABETS[kind]) for _ in range(rng.choice((20, 24, 32, 40))))
+        got = secret_scan.find_secrets(f"see {before}{key}/information/documentation .", encoding, 2.2)
+        low = 4 + len(before)
+        found += any(start <= low + 3 and end >= low + len(key) - 3 for start, _, end, _ in got)
+    assert found >= 196
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "/home/service/credentials/authorization/information",
+        "org/apache/spark/sql/catalyst/expressions",
+        "SQLITE_ENABLE_UNLOCK_NOTIFY HAVE_CLOCK_GETRES MAKE_FUNCTION_FLAGS NB_INPLACE_REMAINDER",
+        "AbstractSingletonProxyFactoryBean getElementByIdentifierAndDocumentName",
+        "/users/profile/123e4567-e89b-12d3-a456-426614174000/settings/information/documentation",
+        "/production/objects/D41D8CD98F00B204E9800998ECF8427E/information/documentation/description/authorization",
+        "================ --------------------",
+    ],
+)
+def test_identifiers_and_known_values_are_no_secrets(text):
+    assert spans(text) == ""
+
+
+def test_two_keys_in_one_run():
+    words = "/information/documentation/authorization/service/description/production"
+    text = f"{words}{words}/{KEY}{words}{words}/{KEY}=="
+    at = text.index(KEY), text.rindex(KEY)
+    assert spans(f"{text} {'the' * 100_000}") == f"random:{at[0]}:{at[0] + len(KEY)},random:{at[1]}:{len(text)}"
+
+
 def test_secret_rows_and_redaction(spark):
     df = spark.createDataFrame([(1, f"a {KEY} b", "s"), (2, None, "s"), (2, "", "s"), (3, 'token = "abcdefghijklmnop"', "s")], "doc_id long, text string, spans string")
     rows = {(r.doc_id, r.spans) for r in secret_scan.scan(df, VOCABULARY).collect()}
