@@ -5,10 +5,11 @@ seen from the body), its styles are the child sequences and its contents the tex
 Over the m pages that have a node, a content found on c of them has entropy log_m(c); a node whose
 contents return on page after page has importance near 0, one with contents of their own near 1. The
 entropy of its parent's child sequences (presentation) counts with weight ``GAMMA``. A node on a
-single page has importance 1. Nodes with a stated role have a fixed importance: menus, headers,
-footers, sidebars, notices, adverts, forms, comments (by element, ARIA role or class) 0, and what
-stands in ``article``, ``main`` or an article body 1. A page with such a main part consists of it; of other
-pages the branches with an importance below ``THRESHOLD`` are removed.
+single page has importance 1; pages of a host with the same text outside furniture count once. Menus,
+headers, footers, sidebars, notices, adverts, forms, comments (by element, ARIA role or class) have a
+fixed importance of 0. A page with a main part (``article``, ``main`` or an article body) consists of it.
+Of what is left the branches with an importance below ``THRESHOLD`` are removed, in a main part only if
+they return on ``MAIN_PAGES`` pages or more; table cells, definitions and code of a main part stay.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by
 line feeds in page order. A null or empty page, or one without text, gives an empty string. Broken
@@ -33,11 +34,13 @@ from restock.session import cut_lineage
 GAMMA = 0.1
 THRESHOLD = 0.1
 SALTS = 32
+MAIN_PAGES = 3
 
 # fixed values: element roles
 DROPPED = frozenset("head script style noscript template svg math iframe object select textarea button form".split())
 NOISE = frozenset("nav footer aside dialog menu".split()) | DROPPED
 MAIN = frozenset("article main".split())
+VALUES = frozenset("td th dt dd pre".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead "
@@ -170,18 +173,17 @@ def parse(page: str) -> list[Block]:
     return blocks
 
 
-def open_blocks(blocks: list[Block]) -> list[int]:
-    """The blocks whose importance the style tree decides: none if the page has a main part."""
-    if any(b.main and not b.noise for b in blocks):
-        return []
-    return [k for k, b in enumerate(blocks) if not b.noise]
+def open_blocks(blocks: list[Block]) -> tuple[list[int], list[int]]:
+    """The blocks whose importance the style tree decides: of a page without a main part, and of a main part."""
+    inner = [k for k, b in enumerate(blocks) if b.main and not b.noise]
+    if not inner:
+        return [k for k, b in enumerate(blocks) if not b.noise], []
+    return [], [k for k in inner if not VALUES & {n.partition(".")[0] for n in blocks[k].path.split(">")}]
 
 
 def main_text(blocks: list[Block], removed: set[int]) -> str:
-    kept = [b for b in blocks if b.main and not b.noise]
-    if not kept:
-        kept = [blocks[k] for k in open_blocks(blocks) if k not in removed]
-    return "\n".join(b.text for b in kept)
+    kept = [k for k, b in enumerate(blocks) if b.main and not b.noise] or open_blocks(blocks)[0]
+    return "\n".join(blocks[k].text for k in kept if k not in removed)
 
 
 def _hash(text: str) -> int:
@@ -189,18 +191,23 @@ def _hash(text: str) -> int:
 
 
 _NODES = pa.schema(
-    [(n, pa.int64()) for n in ("page", "path", "content", "parent", "style")] + [("first", pa.int32()), ("place", pa.list_(pa.int32()))]
+    [(n, pa.int64()) for n in ("page", "print", "path", "content", "parent", "style")]
+    + [("first", pa.int32()), ("place", pa.list_(pa.int32())), ("inner", pa.list_(pa.int32()))]
 )
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per page, path and distinct content; ``place`` lists the blocks that the tree decides."""
+    """One row per page, path and distinct content; ``place`` and ``inner`` list the blocks that the tree decides.
+
+    ``print`` is the page's text outside furniture: pages with the same one are one page of the tree.
+    """
     schema = pa.schema([("host", pa.string()), *_NODES])
     for b in batches:
         rows = []
         for page, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
             blocks = parse(source.as_py() or "")
-            decided = set(open_blocks(blocks))
+            outer, inner = map(set, open_blocks(blocks))
+            print_ = _hash("\n".join(f"{block.path} {block.text}" for block in blocks if not block.noise))
             found: dict[tuple[str, str], list[int]] = {}
             for k, block in enumerate(blocks):
                 found.setdefault((block.path, block.text), []).append(k)
@@ -209,8 +216,9 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parent = blocks[places[0]].parent
                 first = path not in seen
                 seen.add(path)
-                places = [k for k in places if k in decided]
-                rows.append((host, page, _hash(path), _hash(text), _hash(parent.path), _hash(" ".join(parent.children)), int(first), places))
+                hashes = (_hash(path), _hash(text), _hash(parent.path), _hash(" ".join(parent.children)))
+                open_ = [[k for k in places if k in decided] for decided in (outer, inner)]
+                rows.append((host, page, print_, *hashes, int(first), *open_))
         yield batch(schema, zip(*rows)) if rows else batch(schema, [[]] * len(schema))
 
 
@@ -223,7 +231,7 @@ def _entropy(count: Column, pages: Column) -> Column:
 
 
 def style_tree(nodes: DataFrame) -> DataFrame:
-    """(host, path, content, importance) of every content node of every host.
+    """(host, path, content, importance, c) of every content node of every host; ``c`` counts its pages.
 
     Counts are added up per task before they are shuffled; joins on a node are salted, since one host
     may have most of the pages.
@@ -249,6 +257,7 @@ def style_tree(nodes: DataFrame) -> DataFrame:
             F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(
                 (1 - GAMMA) * (1 - _entropy(F.col("c"), F.col("m"))) + GAMMA * F.col("presentation")
             ).alias("importance"),
+            "c",
         )
     )
 
@@ -263,15 +272,17 @@ def extract(
         F.col(url_col).alias("url"),
         F.col(html_col).alias("html"),
     )
-    ddl = "host string, page long, path long, content long, parent long, style long, first int, place array<int>"
+    ddl = "host string, page long, print long, path long, content long, parent long, style long, first int, place array<int>, inner array<int>"
     nodes = cut_lineage(source.select("page", host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, ddl))
-    tree = style_tree(nodes.drop("place"))
+    # copies of a page are one page of the tree
+    tree = style_tree(cut_lineage(nodes.drop("page", "place", "inner").withColumnRenamed("print", "page").distinct()))
     spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    weak = tree.where(F.col("importance") < threshold).select("host", "path", "content", spread)
+    weak = tree.where(F.col("importance") < threshold).select("host", "path", "content", "c", spread)
     removed = cut_lineage(
-        nodes.where(F.size("place") > 0)
+        nodes.where((F.size("place") > 0) | (F.size("inner") > 0))
         .withColumn("salt", F.pmod("page", F.lit(SALTS)))
         .join(weak, ["host", "path", "content", "salt"])
+        .withColumn("place", F.when(F.col("c") >= MAIN_PAGES, F.concat("place", "inner")).otherwise(F.col("place")))
         .groupBy("page")
         .agg(F.flatten(F.collect_list("place")).alias("removed"))
     )

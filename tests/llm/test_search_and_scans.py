@@ -230,3 +230,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     got = {r.page_id: r.text for r in site_tree.extract(df).collect()}
     assert got == {k: f"story {k}" for k in range(12)} | {20: "Welcome\none page", 21: "", 22: ""}
     assert site_tree.extract(df.limit(0)).count() == 0
+
+
+def extracted(spark, pages):
+    """Texts by page of (url, html) pairs."""
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in site_tree.extract(df).orderBy("page_id").collect()]
+
+
+def test_style_tree_decides_inside_articles(spark):
+    page = "<article><h1>T{0}</h1><p>story {0}</p><p>Subscribe to our letter</p><table><tr><td>yes</table></article>"
+    pages = [("http://a.example/", page.format(k)) for k in range(10)]
+    pages += [("http://b.example/", page.format(k)) for k in range(2)]  # too few pages to tell
+    pages += [("http://c.example/", page.format(0) + f"<div class=ad>{k}</div>") for k in range(6)]  # copies of one page
+    want = [f"T{k}\nstory {k}\nyes" for k in range(10)]
+    want += [f"T{k}\nstory {k}\nSubscribe to our letter\nyes" for k in (0, 1, *[0] * 6)]
+    assert extracted(spark, pages) == want
