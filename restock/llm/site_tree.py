@@ -7,7 +7,9 @@ contents return on page after page has importance near 0, one with contents of t
 entropy of its parent's child sequences (presentation) counts with weight ``GAMMA``. A node on a
 single page has importance 1; pages of a host with the same text outside furniture count once. Menus,
 headers, footers, sidebars, notices, adverts, forms, comments (by element, ARIA role or class) have a
-fixed importance of 0. A page with a main part (``article``, ``main`` or an article body) consists of it.
+fixed importance of 0. A class or id counts if one of its tokens consists of words for furniture and
+its owner only, and neither for a main part, nor for an element of the layout that holds the page's
+only one; inside a main part only words for what is not the article's own. A page with a main part (``article``, ``main`` or an article body) consists of it.
 Of what is left the branches with an importance below ``THRESHOLD`` are removed, in a main part only if
 they return on ``MAIN_PAGES`` pages or more; table cells, definitions and code of a main part stay.
 
@@ -57,6 +59,21 @@ NOISE_WORDS = frozenset(
     "promotion recommended related replies reply respond responses share sharing sidebar sidebars sidenav signup skip social sponsor "
     "sponsored submenu subnav subscribe subscription toolbar topbar widget widgets".split()
 )
+# words that tell whose or which furniture it is: a class token of a noise word and these is noise
+OWNERS = frozenset(
+    "area article bar blog body bottom box button buttons container content desktop entry form global group icon icons inner item items left "
+    "link links list main mobile outer page post posts primary right row secondary section site slot sub text title top user wp wrap wrapper".split()
+)
+# in a main part these words name the article's own header, boxes and subjects
+OWN_WORDS = frozenset(
+    "alert alerts announcement announcements banner banners copyright disclaimer discussion header masthead menu menubar modal notice notices "
+    "notification notifications popup promo promotion recommended response responses toolbar topbar widget widgets".split()
+)
+# what has articles of its own: a main part inside it is none of the page
+ARTICLES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements adsense comment comments commentlist discussion disqus promo promotion recommended "
+    "related replies reply respond response responses sponsor sponsored".split()
+)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|textarea|iframe|svg)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -68,27 +85,40 @@ _WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("tag", "name", "noise", "main", "children", "path")
+    __slots__ = ("tag", "name", "noise", "layout", "main", "children", "path")
 
-    def __init__(self, tag: str, name: str, noise: bool, main: bool, path: str):
-        self.tag, self.name, self.noise, self.main, self.path = tag, name, noise, main, path
+    def __init__(self, tag: str, name: str, noise: bool, main: bool, path: str, layout: bool = False):
+        self.tag, self.name, self.noise, self.main, self.path, self.layout = tag, name, noise, main, path, layout
         self.children: list[str] = []
 
 
 class Block:
-    """A text block: where it stands, its text, the node around it."""
+    """A text block: where it stands, its text, the node around it.
+
+    ``layout``: it is noise only by a class word for a part of the layout, such as sidebar.
+    """
+
+    __slots__ = ("path", "text", "noise", "main", "parent", "layout")
+
+    def __init__(self, path: str, text: str, noise: bool, main: bool, parent: Node, layout: bool = False):
+        self.path, self.text, self.noise, self.main, self.parent, self.layout = path, text, noise, main, parent, layout
 
-    __slots__ = ("path", "text", "noise", "main", "parent")
 
-    def __init__(self, path: str, text: str, noise: bool, main: bool, parent: Node):
-        self.path, self.text, self.noise, self.main, self.parent = path, text, noise, main, parent
+def noise_words(value: str) -> set[str]:
+    """The noise words of class tokens that consist of such words and owners' words."""
+    found = set()
+    for token in value.split():
+        words = {w.lower() for w in _WORDS.findall(token) if len(w) > 1}
+        if words <= NOISE_WORDS | OWNERS:
+            found |= words & NOISE_WORDS
+    return found
 
 
-def _roles(tag: str, attrs: str) -> tuple[str, bool, bool]:
-    """Name with classes, noise by attributes, main part by attributes."""
-    name, noise, main = tag, False, False
+def _roles(tag: str, attrs: str) -> tuple[str, bool, bool, set[str]]:
+    """Name with classes, noise by role, main part by attributes, noise words of class and id."""
+    name, noise, main, words = tag, False, False, set()
     if "=" not in attrs:
-        return name, noise, main
+        return name, noise, main, words
     for kind, a, b, c in _ATTR.findall(attrs):
         value = a or b or c
         kind = kind.lower()
@@ -100,8 +130,10 @@ def _roles(tag: str, attrs: str) -> tuple[str, bool, bool]:
         else:
             if kind == "class":
                 name = f"{tag}.{'.'.join(sorted(value.split()))}"
-            noise |= any(w.lower() in NOISE_WORDS for w in _WORDS.findall(value))
-    return name, noise and tag not in ("body", "html"), main
+            words |= noise_words(value)
+    if tag in ("body", "html"):
+        return name, False, main, set()
+    return name, noise, main, set() if main or tag == "main" else words
 
 
 def parse(page: str) -> list[Block]:
@@ -117,7 +149,7 @@ def parse(page: str) -> list[Block]:
             pieces.clear()
             if text:
                 top = stack[-1]
-                blocks.append(Block(top.path, text, top.noise, top.main, stack[-2] if len(stack) > 1 else root))
+                blocks.append(Block(top.path, text, top.noise, top.main, stack[-2] if len(stack) > 1 else root, top.layout))
 
     def close(tags: set[str] | frozenset[str], stop: frozenset[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
@@ -151,8 +183,12 @@ def parse(page: str) -> list[Block]:
             continue
         if tag in VOID:
             continue
-        name, noise, main = _roles(tag, m["attrs"])
-        if not block and not (noise or main or tag in NOISE):
+        name, noise, main, words = _roles(tag, m["attrs"])
+        if stack[-1].main or tag == "article":
+            words = words - OWN_WORDS if block else set()
+            if tag == "article":
+                words &= ARTICLES
+        if not block and not (noise or words or main or tag in NOISE):
             continue  # an inline element belongs to the block around it
         flush()
         if block:
@@ -163,13 +199,22 @@ def parse(page: str) -> list[Block]:
         header = tag == "header" and not top.main
         top.children.append(name)
         # an advert's or a comment's own article is no main part
-        noise = top.noise or noise or tag in NOISE or header
-        stack.append(Node(tag, name, noise, top.main or main or tag in MAIN, f"{top.path}>{name}"))
+        hard = top.noise and not top.layout or noise or tag in NOISE or header or bool(words & ARTICLES)
+        noise = hard or top.noise or bool(words)
+        own = main or tag in MAIN
+        if words and (top.main or own):
+            hard = True
+        layout = noise and not hard
+        stack.append(Node(tag, name, noise, top.main or own, f"{top.path}>{name}", layout))
         if m["attrs"].endswith("/") and not block:
             stack.pop()
     if at < len(page):
         pieces.append(html.unescape(page[at:]))
     flush()
+    if not any(b.main and not b.noise for b in blocks):
+        for b in blocks:  # an element that holds the page's main part is no furniture
+            if b.main and b.layout:
+                b.noise = False
     return blocks
 
 

@@ -246,3 +246,26 @@ def test_style_tree_decides_inside_articles(spark):
     want = [f"T{k}\nstory {k}\nyes" for k in range(10)]
     want += [f"T{k}\nstory {k}\nSubscribe to our letter\nyes" for k in (0, 1, *[0] * 6)]
     assert extracted(spark, pages) == want
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='site has-sidebar'><article><p>a</article></div>", "a"),
+        ("<main class='content-with-sidebar'><p>a</main>", "a"),
+        ("<main class='content sidebar'><p>a</main>", "a"),
+        ("<div class='layout no-sidebar'><article><p>a</article></div>", "a"),
+        ("<div class=sidebar><div class='site banner'><article><p>a</article><nav>n</nav></div><p>m</div>", "a"),
+        ("<article class='post comments-open'><p>a</article>", "a"),
+        ("<article class='post sidebar'><p>a</article>", "a"),
+        ("<article><header class='entry-header'><h1>T</h1></header><p>a</article>", "T\na"),
+        ("<article><h2 id='header-file'>H</h2><p class='share-price'>p<p class='cookie-recipes'>c</article>", "H\np\nc"),
+        ("<article><pre>x <span class=comment># y</span></pre></article>", "x # y"),
+        ("<article><p>a<div class=share-buttons>s</div><ol class=comment-list><li><article class=comment>c</article></ol></article>", "a"),
+        ("<div class=comments><article><p>c</article></div><p>a", "a"),
+        ("<div class=sidebar><article><p>s</article></div><article><p>a</article>", "a"),
+        ("<div class='main-nav'>n</div><div id=adSlot>x</div><div class='cookie-banner'>c</div><p>a", "a"),
+    ],
+)
+def test_class_words_drop_furniture_only(page, want):
+    assert site_tree.main_text(site_tree.parse(page), set()) == want
