@@ -4,8 +4,9 @@ The pages of a host are merged into one style tree: a node is an element path (t
 seen from the body), its styles are the child sequences and its contents the text blocks found there.
 Over the m pages that have a node, a content found on c of them has entropy log_m(c); a node whose
 contents return on page after page has importance near 0, one with contents of their own near 1. The
-entropy of its parent's child sequences (presentation) counts with weight ``GAMMA``. A node on a
-single page has importance 1; pages of a host with the same text outside furniture count once. Menus,
+entropy of its parent's child sequences (presentation) counts with weight ``GAMMA``. A content on all
+pages of its node, or on 3 or more and a share of ``SHARE``, has importance 0 whatever the presentation.
+A node on a single page has importance 1; pages of a host with the same text outside furniture count once. Menus,
 headers, footers, sidebars, notices, adverts, forms, comments (by element, ARIA role or class) have a
 fixed importance of 0. A class or id counts if one of its tokens consists of words for furniture and
 its owner only, and neither for a main part, nor for an element of the layout that holds the page's
@@ -35,6 +36,7 @@ from restock.session import cut_lineage
 
 GAMMA = 0.1
 THRESHOLD = 0.1
+SHARE = 0.5
 SALTS = 32
 MAIN_PAGES = 3
 
@@ -293,13 +295,14 @@ def style_tree(nodes: DataFrame) -> DataFrame:
         .groupBy("host", "parent")
         .agg((F.sum(-share * F.log(share)) / F.log(F.greatest(F.max("total"), F.lit(2)).cast("double"))).alias("presentation"))
     )
+    recurs = (F.col("c") == F.col("m")) | (F.col("c") >= F.greatest(F.lit(3), SHARE * F.col("m")))
     return (
         contents.withColumn("salt", F.pmod("content", F.lit(SALTS)))
         .join(pages.select("*", spread), ["host", "path", "salt"])
         .join(presentation.select("*", spread), ["host", "parent", "salt"])
         .select(
             "host", "path", "content",
-            F.when(F.col("m") <= 1, F.lit(1.0)).otherwise(
+            F.when(F.col("m") <= 1, F.lit(1.0)).when(recurs, F.lit(0.0)).otherwise(
                 (1 - GAMMA) * (1 - _entropy(F.col("c"), F.col("m"))) + GAMMA * F.col("presentation")
             ).alias("importance"),
             "c",

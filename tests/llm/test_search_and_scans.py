@@ -269,3 +269,16 @@ def test_style_tree_decides_inside_articles(spark):
 )
 def test_class_words_drop_furniture_only(page, want):
     assert site_tree.main_text(site_tree.parse(page), set()) == want
+
+
+def test_style_tree_removes_blocks_on_most_pages_of_any_layout(spark):
+    pages, want = [], []
+    for size in (5, 10, 20, 50, 60, 98, 320):  # of fewer pages 60 % are two, which may be copies
+        for k in range(size):
+            own = [f"story {size} {k} {n}" for n in range(k % 40 + 1)]
+            shared = "<div>on all</div>" + "<div>on most</div>" * (10 * k < 9 * size) + "<div>on 60 %</div>" * (10 * k < 6 * size)
+            rare = ["on few"] if 10 * k < 2 * size else []
+            pages.append((f"http://s{size}.example/{k}", shared + "".join(f"<p>{x}</p>" for x in own) + "".join(f"<div>{x}</div>" for x in rare)))
+            want.append("\n".join(own + rare))
+    got = extracted(spark, pages)
+    assert [k for k, w in enumerate(want) if got[k] != w] == []
