@@ -23,7 +23,8 @@ from restock.session import cut_lineage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = language_id.learn(docs, fold(F.col("doc_id"), 5) != 0)
     if not models.languages:
-        return docs  # nothing to learn from, so nothing to reject by
+        # nothing to learn from, so only texts without a letter are rejected
+        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     numbered, row = with_rows(docs)
     judged = language_id.predict(numbered, models, keep=(row,)).where("rejected").select(row)
     return numbered.join(cut_lineage(judged), row, "left_anti").drop(row)

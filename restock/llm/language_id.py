@@ -293,19 +293,23 @@ def learn(
     rate = F.create_map([F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, each / n))])
     sample = labelled.where(draw < rate[F.col("lang")])
     third = F.pmod(F.xxhash64(F.lit("third"), "id"), F.lit(3)) == 0
-    counted = sample.where(~third).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-    words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    rows: dict[str, tuple[list[str], np.ndarray]] = {}
-    langs = words.column("lang").to_numpy()
-    names, numbers = words.column("word").to_numpy(), words.column("n").to_numpy()
-    for lang in sorted(set(langs)):
-        mine = langs == lang
-        rows[lang] = (names[mine].tolist(), numbers[mine])
-    if not rows:  # so few rows that all fell to the other third
+
+    def count(part: DataFrame) -> dict[str, tuple[list[str], np.ndarray]]:
+        counted = part.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
+        words = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+        langs = words.column("lang").to_numpy()
+        names, numbers = words.column("word").to_numpy(), words.column("n").to_numpy()
+        return {lang: (names[langs == lang].tolist(), numbers[langs == lang]) for lang in set(langs)}
+
+    rows = count(sample.where(~third))
+    rare = sorted(set(sizes) - set(rows))
+    if rare:  # so few rows that all fell to the other third
+        rows |= count(sample.where(F.col("lang").isin(rare)))
+    if not rows:
         return Models([], [], np.zeros(0), serial=uuid.uuid4().hex)
-    models = fit(rows)
+    models = fit(dict(sorted(rows.items())))
     models.serial = uuid.uuid4().hex
-    held = predict(sample.where(third), models, keep=("lang",)).where("lang = lang_pred and symbols > 0")
+    held = predict(sample.where(third & ~F.col("lang").isin(rare)), models, keep=("lang",)).where("lang = lang_pred and symbols > 0")
     usual = {
         r.lang: r
         for r in held.groupBy("lang").agg(

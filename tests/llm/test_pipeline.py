@@ -5,10 +5,11 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from restock.llm import dart_minhash, decontaminate, secret_scan
+from restock.llm import dart_minhash, decontaminate, language_id, secret_scan
 from restock.session import cut_lineage
 
 FOLDER = "/root/testdata/sf0.001"
@@ -85,3 +86,14 @@ def test_stages_keep_extra_columns(spark):
         after = cut_lineage(stage(spark, docs, FOLDER))
         assert after.columns == docs.columns
         docs = after
+
+
+def test_letterless_texts_go_without_models(spark):
+    rows = [(1, "some words"), (2, "123 ..."), (3, None), (4, ""), (5, "é 1")]
+    docs = spark.createDataFrame([(k, x, None) for k, x in rows], "doc_id long, text string, lang string")
+    assert ids(corpus_pipeline.language(spark, docs, FOLDER)) == [1, 5]
+
+
+def test_every_language_is_learned(spark):
+    docs = spark.createDataFrame([(k, "some words in a text", f"l{k}") for k in range(30)], "doc_id long, text string, lang string")
+    assert language_id.learn(docs, F.lit(True)).languages == sorted(f"l{k}" for k in range(30))
