@@ -149,3 +149,84 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from restock.llm.ngram_score import score
 
     return score(table(spark, folder, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
+# crc32 of a short ASCII text, bit by bit
+_CRC32_SQL = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(generate_series(0, 8 * length({0}) - 1),
+  lambda k: cast((ascii({0}[k // 8 + 1]) >> (k % 8)) & 1 as bigint))),
+  lambda c, b: xor(c >> 1, (xor(c, b) & 1) * 3988292384)), 4294967295)"""
+
+
+def _periodic_runs_sql(levels: int = 18) -> str:
+    """Runs from names of 2^k words: in a run of period q, the next occurrence of L words, q <= L <= 2q, is q on."""
+    names = ["n0 as (select r, i, hash(w) g from words)"]
+    for k in range(1, levels):
+        names.append(
+            f"n{k} as (select r, i, hash(g, next) g from (select r, i, g, lead(g, {1 << k - 1}) over (partition by r order by i) "
+            f"as next from n{k - 1}) where next is not null)"
+        )
+    near = " union all ".join(
+        f"select r, d from (select r, lead(i) over (partition by r, g order by i) - i d from n{k}) where d between {(1 << k) / 2} and {1 << k}"
+        for k in range(levels)
+    )
+    crc = _CRC32_SQL.format("coalesce(cast(doc_id as varchar), '')")
+    return f"""
+with docs as (
+  select row_number() over () as r, doc_id, {crc} h,
+    regexp_extract_all(coalesce("text", ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+planted as (
+  select r, doc_id, len(w) n, case when h % 10 = 0 and len(w) > 0 then list_transform(generate_series(0, len(w) - 1), lambda i:
+    w[1 + case when i < (h // 10) % len(w) then i
+      else (h // 10) % len(w) + (i - (h // 10) % len(w)) % (1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8)) end])
+    else w end w from docs),
+words as materialized (select r, unnest(generate_series(0, n - 1)) i, unnest(w) w from planted),
+{", ".join(names)},
+periods as (select distinct r, d from ({near})),
+equal as (
+  select r, d, i, i - row_number() over (partition by r, d order by i) island from (
+    select a.r, d, a.i from periods join words a on a.r = periods.r join words b on b.r = a.r and b.i = a.i + d and b.w = a.w)),
+runs as (
+  select r, min(i) "start", count(*) + d "length", d period from equal group by r, d, island
+  having count(*) + d >= greatest(6, 4 * d)
+  qualify row_number() over (partition by r, min(i), count(*) + d order by d) = 1),
+best as (select r, "start", "length", period, (1000 * "length") // period exponent_milli from runs
+  qualify row_number() over (partition by r order by cast("length" as double) / period desc, "start", period) = 1),
+summed as (select r, count(*) n_runs, string_agg(concat("start", ',', "length", ',', period, chr(10)), '' order by "start", period) l
+  from runs group by r),
+gone as (select distinct r, unnest(generate_series("start" + period, "start" + "length" - 1)) i from runs),
+kept as (select words.r, string_agg(w, ' ' order by words.i) l from words anti join gone on gone.r = words.r and gone.i = words.i group by words.r)
+select doc_id, coalesce(n_runs, 0) n_runs, "start", "length", period, exponent_milli,
+  sha256(coalesce(summed.l, '')) runs_sha256, sha256(coalesce(kept.l, '')) collapsed_sha256
+from planted left join summed on summed.r = planted.r left join best on best.r = planted.r left join kept on kept.r = planted.r"""
+
+
+@query("op11_suffix_automaton_runs", _periodic_runs_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.periodic_runs import detect_runs
+
+    docs = table(spark, folder, "documents")
+    h = F.crc32(F.coalesce(docs.doc_id.cast("string"), F.lit("")).cast("binary"))
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    repeated = F.expr(
+        "array_join(transform(sequence(0, size(w) - 1), i -> w[int(if(i < g % size(w), i, "
+        "g % size(w) + (i - g % size(w)) % (1 + (size(w) - g % size(w)) div (3 + g % 8))))]), ' ')"
+    )
+    planted = (
+        docs.select("doc_id", "text", F.expr("null").alias("w"), F.floor(h / 10).alias("g"), h.alias("h"))
+        .withColumn("w", F.when(F.col("h") % 10 == 0, words))
+        .select("doc_id", F.when((F.col("h") % 10 == 0) & (F.size("w") > 0), repeated).otherwise(F.col("text")).alias("text"))
+    )
+    best = (
+        "reduce(runs, cast(null as struct<start: bigint, length: bigint, period: bigint>), (b, r) -> "
+        "if(b is null or r.length * b.period > b.length * r.period, r, b))"
+    )
+    listed = "array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')"
+    return (
+        detect_runs(planted)
+        .withColumn("best", F.expr(best))
+        .select(
+            "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+            F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+            F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+        )
+    )
