@@ -230,3 +230,80 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
             F.sha2(F.expr(listed), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
         )
     )
+
+
+SOURCE_DIVERGENCE_SQL = r"""
+with docs as (select row_number() over () as r, coalesce("lang", '') lang, coalesce(source, '') source, coalesce("text", '') t from documents),
+hits as (select r, lang, source, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from docs),
+counts as (select lang, source, term, count(*) n, count(distinct r) d from hits group by all),
+kept as (select lang, term, sum(n) n from counts group by all having sum(d) >= 3),
+v as (select lang, count(*) v, sum(n) n from kept group by lang),
+own as (select c.* from counts c join kept k on k.lang = c.lang and k.term = c.term),
+groups as (
+  select g.lang, g.source, coalesce(v.v, 0) v, coalesce((select sum(n) from own o where o.lang = g.lang and o.source = g.source), 0) n,
+    coalesce(v.n, 0) lang_n
+  from (select distinct lang, source from docs) g left join v on v.lang = g.lang),
+p as materialized (
+  select g.lang, g.source, k.term, coalesce(o.n, 0) n,
+    1 + cast(1000000000 * (coalesce(o.n, 0) + 1) // (g.n + g.v) as bigint) p,
+    1 + cast(1000000000 * (k.n + 1) // (g.lang_n + g.v) as bigint) q
+  from groups g join kept k on k.lang = g.lang left join own o on o.lang = g.lang and o.source = g.source and o.term = k.term),
+pairs as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // b.p) f
+  from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by all),
+every as (
+  select a.lang, a.source, 'pair' part, b.source item, cast(coalesce(f, 0) as bigint) "value"
+  from groups a join groups b on b.lang = a.lang and b.source <> a.source
+  left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source
+  union all
+  select lang, source, 'term', term, cast((p - q) * (p - q) // q as bigint) from p where n > 0 and p > q)
+select lang, source, part, item, "value",
+  cast(row_number() over (partition by lang, source, part order by "value" desc, item) as int) "rank"
+from every qualify part = 'pair' or "rank" <= 200"""
+
+
+@query("op12_packed_source_divergence", SOURCE_DIVERGENCE_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.source_divergence import divergences
+
+    return divergences(table(spark, folder, "documents"))
+
+
+CURRICULUM_SQL = r"""
+with docs as (
+  select doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) size,
+    md5(coalesce(cast(doc_id as varchar), '')) "key" from documents),
+sizes as (select source, cast(sum(size) as bigint) size from docs group by source),
+places as (select *, row_number() over (order by source nulls last) - 1 place from sizes),
+shares as (select *, cast([3, 1, 2][place % 3 + 1] as bigint) w, sum(size) over () total from places),
+-- twice the words, so that all are whole: the first sources by cap over weight are capped
+ranked as (
+  select *, coalesce(sum(4 * size) over (o rows between unbounded preceding and 1 preceding), 0) capped,
+    sum(w) over (o rows between current row and unbounded following) open_w
+  from shares window o as (order by cast(size as double) / w, place)),
+level as (select coalesce(min_by(3 * total - capped, capped) , 0) need, coalesce(min_by(open_w, capped), 1) w
+  from ranked where 4 * size * open_w >= w * (3 * total - capped) and open_w > 0),
+targets as (select source, place, size source_size, shares.w weight,
+  least(cast(2 * size as double), cast(shares.w as double) * (cast(need as double) / 2) / cast(level.w as double)) target from shares, level),
+laid as (
+  select d.*, place, source_size, target, weight,
+    cast(coalesce(sum(size) over (partition by d.source order by "key", doc_id, size rows between unbounded preceding and 1 preceding), 0) as bigint) before
+  from docs d join targets t on t.source is not distinct from d.source),
+copies as (
+  select *, cast(greatest(0, least(size, floor(target) - before)) as bigint) first_words,
+    cast(greatest(0, least(size, floor(target) - source_size - before)) as bigint) second_words from laid),
+filled as (select *, (before + case when first_words > 0 then first_words else second_words end / 2.0::double) / target * weight y from copies)
+select doc_id, size, source_size, target, first_words + second_words taken,
+  case when first_words + second_words > 0 then least(1.0::double, case place % 3
+    when 0 then 2.0::double * y / (4.5::double + sqrt(4.5::double * 4.5::double + -6.0::double * y))
+    when 1 then 2.0::double * y / (1.0::double + sqrt(1.0::double * 1.0::double + 0.0::double * y))
+    else 2.0::double * y / (1.0::double + sqrt(1.0::double * 1.0::double + 4.0::double * y)) end) end first_position
+from filled"""
+
+
+@query("op13_curriculum_mixture", CURRICULUM_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from restock.llm.curriculum import assign_positions, by_first_position
+
+    return by_first_position(assign_positions(table(spark, folder, "documents"))).drop("source")
