@@ -17,11 +17,15 @@ COLUMNS = {
     "op8": "page_id bigint, url string, text string, n_chars bigint",
     "op9": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
     "op10": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op11": "doc_id bigint, n_runs bigint, start bigint, length bigint, period bigint, exponent_milli bigint, "
+    "runs_sha256 string, collapsed_sha256 string",
+    "op12": "lang string, source string, part string, item string, value bigint, rank int",
+    "op13": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
 }
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert "pipeline" in entry.queries()
 
 
