@@ -3,8 +3,9 @@
 The documents of a task are cut into shards of about SHARD_WORDS words. A shard's suffix array orders
 all its word suffixes (by their first ``depth`` words; prefix doubling re-sorts only what is still
 tied). Every benchmark suffix is found by binary search in every shard: the suffixes that share its
-first ``window`` words are one range, whose members are the verbatim occurrences; each is extended word
-by word to the longest match. A document with any occurrence is affected.
+first ``window`` words are one range, whose members are the verbatim occurrences. Occurrences that overlap or meet
+are one span, so a span covers the longest matches in its place; :func:`longest_matches` extends each benchmark
+suffix word by word and returns its longest match. A document with any occurrence is affected.
 
 The benchmark is a stated query set: it meets the shards in chunks of at most ``chunk_bytes`` of
 text (one item at least), each sent to all executors once. Documents are never gathered.
@@ -47,19 +48,49 @@ class Numbers(dict):
 
 @dataclass
 class Windows:
-    """Distinct benchmark windows as words, and the items that hold each of them."""
+    """Distinct benchmark windows as stretches of word numbers, and the items that hold each of them."""
 
-    words: list[list[bytes]]
-    items: list[list[str]]
+    vocabulary: list[bytes]  # the word of each number
+    words: np.ndarray  # numbers of all items' words, end to end
+    starts: np.ndarray
+    lengths: np.ndarray
+    items: list[str]
+    held_by: np.ndarray  # places in ``items``, window by window
+    held_from: np.ndarray  # where a window's begin in ``held_by``; one more entry than windows
+
+    def plain(self) -> tuple:
+        """What is sent to executors: no class of this module, so that a worker need not import it."""
+        return tuple(self.__dict__.values())
+
+    def holders(self, window: int) -> list[str]:
+        return [self.items[k] for k in self.held_by[self.held_from[window] : self.held_from[window + 1]]]
 
 
 def benchmark_windows(rows: list[tuple[str, bytes]], window: int) -> Windows:
-    found: dict[tuple[bytes, ...], set[str]] = {}
+    numbers, items = Numbers(), Numbers()
+    words: list[np.ndarray] = []
+    starts: list[int] = []
+    lengths: list[int] = []
+    known: dict[bytes, int] = {}
+    held: list[tuple[int, int]] = []
+    at = 0
     for item, text in rows:
-        words = split_words(text)
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            found.setdefault(tuple(words[k : k + window]), set()).add(item)
-    return Windows([list(w) for w in found], [sorted(i) for i in found.values()])
+        found = split_words(text)
+        mine = np.fromiter(map(numbers.__getitem__, found), np.int32, len(found)) - 1
+        for k in range(max(1, len(mine) - window + 1) if len(mine) else 0):
+            key = mine[k : k + window].tobytes()
+            number = known.setdefault(key, len(known))
+            if number == len(starts):
+                starts.append(at + k)
+                lengths.append(len(key) // 4)
+            held.append((number, items[item] - 1))
+        words.append(mine)
+        at += len(mine)
+    pairs = np.unique(np.array(held, np.int64).reshape(-1, 2), axis=0)
+    return Windows(
+        list(numbers), np.concatenate([np.zeros(0, np.int32), *words]), np.array(starts, np.int64), np.array(lengths, np.int64),
+        list(items), pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(starts) + 1)),
+    )
 
 
 class SuffixArray:
@@ -119,14 +150,17 @@ class SuffixArray:
             key = (key << self.bits) | np.where(left > t, words[at + t], 0)
         return key
 
-    def ranges(self, windows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def ranges(self, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The windows whose words all occur, and their half-open ranges of the suffix array."""
-        known = [k for k, w in enumerate(windows) if all(x in self.numbers for x in w)]
-        size = max((len(windows[k]) for k in known), default=0)
-        grid = np.zeros((len(known), size + self.packed), np.int32)
-        lengths = np.array([len(windows[k]) for k in known], np.int64)
-        for row, k in enumerate(known):
-            grid[row, : lengths[row]] = [self.numbers[x] for x in windows[k]]
+        here = np.fromiter((self.numbers.get(w, 0) for w in windows.vocabulary), np.int32, len(windows.vocabulary))
+        grid = np.zeros((len(windows.starts), int(windows.lengths.max(initial=0)) + self.packed), np.int32)
+        whole = np.ones(len(grid), bool)
+        for t in range(int(windows.lengths.max(initial=0))):
+            inside = np.flatnonzero(windows.lengths > t)
+            grid[inside, t] = here[windows.words[windows.starts[inside] + t]]
+            whole[inside] &= grid[inside, t] > 0
+        known = np.flatnonzero(whole)
+        grid, lengths = grid[known], windows.lengths[known]
         low_key, high_key = np.zeros((2, len(known)), np.int64)
         for t in range(self.packed):
             inside = lengths > t
@@ -134,7 +168,7 @@ class SuffixArray:
             high_key = (high_key << self.bits) | np.where(inside, grid[:, t], (1 << self.bits) - 1)
         lo = np.searchsorted(self.keys, low_key, "left")
         hi = np.searchsorted(self.keys, high_key, "right")
-        return np.array(known, np.int64), self._bound(grid, lengths, lo, hi, False), self._bound(grid, lengths, lo, hi, True)
+        return known, self._bound(grid, lengths, lo, hi, False), self._bound(grid, lengths, lo, hi, True)
 
     def _bound(self, grid: np.ndarray, lengths: np.ndarray, lo: np.ndarray, hi: np.ndarray, upper: bool) -> np.ndarray:
         lo, hi = lo.copy(), hi.copy()
@@ -156,11 +190,10 @@ class SuffixArray:
 
 def occurrences(array: SuffixArray, windows: Windows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(window, place, length) of every verbatim occurrence of a window in the shard."""
-    known, lo, hi = array.ranges(windows.words)
+    known, lo, hi = array.ranges(windows)
     run, offset = ragged(hi - lo)
     places = array.sa[lo[run] + offset]
-    lengths = np.array([len(windows.words[k]) for k in known], np.int64)
-    return known[run], places, lengths[run]
+    return known[run], places, windows.lengths[known][run]
 
 
 def _search(documents: list[np.ndarray], numbers: Numbers, windows: Windows, depth: int):
@@ -180,7 +213,7 @@ def _search(documents: list[np.ndarray], numbers: Numbers, windows: Windows, dep
     items: list[set] = [set() for _ in documents]
     owner = np.searchsorted(array.starts, place, "right") - 1
     for d, w in np.unique(np.stack([owner, which]), axis=1).T.tolist() if len(which) else []:
-        items[d].update(windows.items[w])
+        items[d].update(windows.holders(w))
     return spans, items
 
 
@@ -237,22 +270,24 @@ def find_hits(
     )
 
     def against(windows: Windows) -> DataFrame:
-        sent = spark.sparkContext.broadcast(windows)
+        sent = spark.sparkContext.broadcast(windows.plain())
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows, ids, documents, numbers in _shards(batches):
-                spans, items = _search(documents, numbers, sent.value, max(depth, window))
+                spans, items = _search(documents, numbers, Windows(*sent.value), max(depth, window))
                 columns = (rows, ids, [len(d) for d in documents], [[{"s": s, "e": e} for s, e in x] for x in spans], [sorted(x) for x in items])
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HITS)], schema=_HITS)
 
         return source.mapInArrow(work, _HITS_DDL)
 
-    parts = [benchmark_windows(chunk, window) for chunk in _chunks(benchmark, item_col, item_text_col, chunk_bytes)]
-    if len(parts) <= 1:
-        return against(parts[0] if parts else Windows([], []))
+    chunks = _chunks(benchmark, item_col, item_text_col, chunk_bytes)
+    ahead = next(chunks, [])
     found = None
-    for part in parts:
-        one = cut_lineage(against(part))
+    while ahead is not None:  # one chunk's windows at a time
+        windows, ahead = benchmark_windows(ahead, window), next(chunks, None)
+        if found is None and ahead is None:
+            return against(windows)
+        one = cut_lineage(against(windows))
         found = one if found is None else found.union(one)
     return (
         found.groupBy("row")
@@ -310,7 +345,12 @@ def longest_matches(
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             suffixes = [(k, p) for k, (_, w) in enumerate(sent.value) for p in range(max(1, len(w) - window + 1))]
-            windows = Windows([sent.value[k][1][p : p + window] for k, p in suffixes], [])
+            numbers, starts = Numbers(), np.cumsum([0, *(len(w) for _, w in sent.value)])
+            words = np.array([numbers[x] - 1 for _, w in sent.value for x in w], np.int32)
+            at = np.array([starts[k] + p for k, p in suffixes], np.int64)
+            sizes = np.array([min(window, len(sent.value[k][1]) - p) for k, p in suffixes], np.int64)
+            none = np.zeros(0, np.int64)
+            windows = Windows(list(numbers), words, at, sizes, [], none, none)
             for _, ids, documents, numbers in _shards(batches):
                 array = SuffixArray(documents, numbers, max(depth, window))
                 which, place, length = occurrences(array, windows)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import batch, once_per_process, ragged
+from restock.llm.common import batch, free_name, once_per_process, ragged
 
 ORDER = 4
 SAMPLE_DOCS = 8000
@@ -88,6 +88,15 @@ class Models:
     within: np.ndarray = field(default_factory=lambda: np.zeros(0))
     serial: str = ""
 
+    def plain(self) -> tuple:
+        """What is sent to executors: no class of this module, so that a worker need not import it."""
+        languages, levels, *others = self.__dict__.values()
+        return languages, [tuple(x.__dict__.values()) for x in levels], *others
+
+    @classmethod
+    def of(cls, plain: tuple) -> Models:
+        return cls(plain[0], [Level(*x) for x in plain[1]], *plain[2:])
+
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.searchsorted(keys, wanted)
@@ -243,13 +252,13 @@ def _predict(scorer: Scorer, texts: list[str]) -> list[list]:
 
 def predict(df: DataFrame, models: Models, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, lang_pred, score, entropy (nats per symbol), symbols, rejected; a row per row."""
-    sent = df.sparkSession.sparkContext.broadcast(models)
-    source = df.select(F.col(text_col).alias("_text"), *keep)
+    sent = df.sparkSession.sparkContext.broadcast(models.plain())
+    source = df.select(F.col(text_col).alias(free_name(df, "_text")), *keep)
     fields = source.schema.fields[1:]
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [_PREDICTED_DDL])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = once_per_process("language", models_serial, lambda: Scorer(sent.value))
+        scorer = once_per_process("language", models_serial, lambda: Scorer(Models.of(sent.value)))
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
                 part = b.slice(lo, 1000)
