@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import zlib
+
 from pyspark.sql import functions as F
 
 from restock.catalog.registry import AS_OF, calendar_sql, query, r6, sql
 from restock.catalog.relational_queries import N3_SQL, needs
-from restock.operators import planning
+from restock.operators import planning, priced_plan
 from restock.operators.reshape import planning_calendar
 from restock.plans import reports
-from restock.session import cut_lineage
+from restock.session import cut_lineage, staged_once
 
 CAL = {"cal": calendar_sql()}
 TABLES = "products stores demandpredictions procurements stocks transportlinks workshops"
@@ -126,55 +127,68 @@ def _(core):
     )
 
 
+def replenishment(core) -> tuple[planning.PlanInputs, priced_plan.PricedPlan]:
+    """The plan by capacity prices, staged once per application and data folder."""
+    inputs = plan_inputs(core)
+
+    def build(path: str) -> None:
+        plan = priced_plan.priced_plan(inputs)
+        plan.orders.write.parquet(f"{path}/orders")
+        plan.cells.write.parquet(f"{path}/cells")
+        core.spark.range(1).select(F.lit(plan.bound).alias("bound")).write.parquet(f"{path}/bound")
+
+    path = staged_once(core.spark, f"{zlib.crc32(core.folder.encode()):08x}-plan", build)
+    read = core.spark.read.parquet
+    return inputs, priced_plan.PricedPlan(read(f"{path}/orders"), read(f"{path}/cells"), read(f"{path}/bound").first().bound)
+
+
+@query("L3_replenishment_plan")
+def _(core):
+    """The planned orders."""
+    return replenishment(core)[1].orders.select("p_id", "s_id", "w_id", "c_rank", "packages", "package_size", "units")
+
+
+@query("L3_planned_cells")
+def _(core):
+    """Stocks, met and unmet demand of each product, store and day under the plan."""
+    return replenishment(core)[1].cells
+
+
+@query("L3_plan_bound")
+def _(core):
+    """The plan's cost by component, the lower bound on any plan's cost, and the gap between them."""
+    inputs, plan = replenishment(core)
+    return planning.plan_cost(plan.cells, plan.orders, inputs.links).withColumn("lower_bound", r6(F.lit(plan.bound))).withColumn(
+        "gap", r6(F.try_divide(F.col("total_cost") - F.col("lower_bound"), F.col("total_cost")))
+    )
+
+
 @query(
-    "L3_replenishment_plan",
-    sql(
-        TABLES,
-        """select c_rank, count(*) n_cells, cast(sum(demand) as bigint) demand, true met_or_unmet, true ordered_when_needed
- from demand group by 1""",
-        **PARTS,
-    ),
+    "L3_plan_days",
+    sql(TABLES, "select c_rank, count(*) n_cells, cast(sum(demand) as bigint) demand from demand group by 1", **PARTS),
 )
 def _(core):
-    """The plan by day: its cells and demand, and whether orders were placed if any pair needed one."""
-    inputs = plan_inputs(core)
-    orders, cells = planning.replenishment_plan(inputs)
-    placed = orders.groupBy("c_rank").agg(F.sum("units").alias("units"))
-    wanting = (
-        cells.join(planning.cell_demand(inputs.needs).select(*planning.CELL, "needs_order"), planning.CELL)
-        .filter(F.col("needs_order") & (F.col("opening_stocks") - F.col("orders") < LIMITS.understock_level))
-        .join(inputs.links.select("p_id", "s_id").distinct(), ["p_id", "s_id"], "left_semi")
-        .groupBy("c_rank")
-        .agg(F.count("*").alias("wanting"))
-    )
-    return (
-        cells.groupBy("c_rank")
-        .agg(
-            F.count("*").alias("n_cells"),
-            F.sum("demand").alias("demand"),
-            F.bool_and(F.col("met_demand") + F.col("unmet_demand") == F.col("demand")).alias("met_or_unmet"),
-        )
-        .join(placed, "c_rank", "left")
-        .join(wanting, "c_rank", "left")
-        .select(
-            "c_rank", "n_cells", "demand", "met_or_unmet",
-            ((F.coalesce("wanting", F.lit(0)) == 0) | (F.coalesce("units", F.lit(0)) > 0)).alias("ordered_when_needed"),
-        )
-    )
+    """The plan's cells and the demand that they meet or leave, by day."""
+    cells = replenishment(core)[1].cells
+    return cells.groupBy("c_rank").agg(F.count("*").alias("n_cells"), F.sum(F.col("met_demand") + F.col("unmet_demand")).alias("demand"))
 
 
 @query(
     "L3_plan_feasibility",
-    sql(TABLES, """select unnest(['balance', 'max_opening', 'demand_split', 'order_allowed', 'package_multiple', 'capacity', 'idle_capacity']) as "constraint",
- cast(0 as bigint) violations union all select 'no_prediction', count(*) from demand where no_prediction""", **PARTS),
+    sql(TABLES, """select unnest(['balance', 'demand_split', 'order_allowed', 'package_multiple', 'capacity', 'bound_above_cost']) as "constraint",
+ cast(0 as bigint) violations union all select 'no_prediction', count(*) from demand where no_prediction
+ union all select 'max_opening', count(*) from start join demand using (p_id, s_id) where sk_units > 120 and c_rank = 1""", **PARTS),
 )
 def _(core):
-    """The plan meets every rule it can always meet, and leaves no need open that capacity could meet; the safety
-    level depends on capacity."""
-    inputs = plan_inputs(core)
-    orders, cells = planning.replenishment_plan(inputs)
-    rules = planning.audit_plan(cells, orders, inputs).filter("constraint != 'safety_stock'")
-    return rules.unionByName(planning.idle_capacity(cells, orders, inputs))
+    """A property check: rules that any plan can meet, opening stock above the maximum only where the first day starts so,
+    and a lower bound that is one."""
+    inputs, plan = replenishment(core)
+    rules = planning.audit_plan(plan.cells, plan.orders, inputs).filter("constraint not in ('safety_stock', 'max_opening')")
+    high = plan.cells.where((F.col("opening_stocks") > LIMITS.max_opening) & ((F.col("c_rank") == 1) | (F.col("orders") > 0)))
+    bound = planning.plan_cost(plan.cells, plan.orders, inputs.links).select(
+        F.lit("bound_above_cost").alias("constraint"), F.when(F.col("total_cost") < plan.bound - 1e-6, 1).otherwise(0).cast("long").alias("violations")
+    )
+    return rules.unionByName(high.agg(F.count("*").alias("violations")).select(F.lit("max_opening").alias("constraint"), "violations")).unionByName(bound)
 
 
 @query(

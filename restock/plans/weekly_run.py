@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from restock.operators import features, forecast, integrity, planning, snapshot
+from restock.operators.priced_plan import priced_plan
 from restock.operators.reshape import planning_calendar
 from restock.plans import reports
 from restock.schemas import CORE_TABLES
@@ -127,7 +128,8 @@ def plan_week(store: integrity.CoreStore, params: WeeklyParams) -> DataFrame:
         links,
         reports.capacity_by_day(store.table("workshops"), day, window),
     )
-    orders, cells = planning.replenishment_plan(inputs, window, params.limits)
+    planned = priced_plan(inputs, window, params.limits)
+    orders, cells = planned.orders, planned.cells
     calendar = planning_calendar(store.spark, day, window)
     _append(store, "demandfulfillments", planning.fulfilment_rows(cells, calendar))
     plan = integrity.batch_or_none(planning.procurement_rows(orders, calendar))
