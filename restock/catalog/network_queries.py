@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from restock.catalog.registry import query, sql
 from restock.operators import network
+from restock.operators.auction import auction_assignment
 from restock.session import cut_lineage
 
 # --- L8 ----------------------------------------------------------------------------------------
@@ -92,6 +93,64 @@ def _(core):
     )
 
 
+def regional_costs(core):
+    """Mean line price, in cents, of what each supplier region sent to each customer region."""
+    lines = (
+        core.raw("lineitem")
+        .join(core.raw("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(core.raw("customer"), F.col("c_custkey") == F.col("o_custkey"))
+        .join(core.raw("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    )
+    nation = core.raw("nation")
+    to = nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("task"))
+    of = nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("worker"))
+    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long"))
+    cells = lines.join(to, "c_nationkey").join(of, "s_nationkey").groupBy("task", "worker")
+    return cells.agg(cents.alias("cents"), F.count("*").alias("k")).select("task", "worker", F.expr("cents div k").alias("cost"))
+
+
+@query("L9_auction_assignment")
+def _(core):
+    """Each supplier gets a part, at a total within 1 % of the least possible."""
+    return auction_assignment(part_supplier_costs(core)).assigned
+
+
+@query(
+    "L9_auction_bound",
+    sql("", "select least(count(distinct task), count(distinct worker)) bidders, cast(0 as bigint) repeated, true bound_holds, true gap_holds from costs", costs=COSTS_SQL),
+)
+def _(core):
+    """Property check: nothing is used twice, the bound is one, and the gap is at most bidders x epsilon."""
+    costs = part_supplier_costs(core)
+    result = auction_assignment(costs)
+    audit = network.assignment_audit(costs, result.assigned)
+    return audit.agg(
+        F.lit(result.bidders).cast("long").alias("bidders"),
+        F.sum(F.when(F.col("check").isin("task_repeated", "worker_repeated"), F.col("value"))).alias("repeated"),
+        F.lit(result.bound <= result.cost + 1e-6).alias("bound_holds"),
+        F.lit(result.cost - result.bound <= result.bidders * result.epsilon + 1e-6).alias("gap_holds"),
+    )
+
+
+@query(
+    "L9_region_assignment",
+    sql(
+        "",
+        """select m.task, m.worker, m.cost from best, cells m where m.worker = list_extract(best.p, m.task + 1)""",
+        cells="""select c.n_regionkey task, s.n_regionkey worker, cast(sum(cast(round(l_extendedprice * 100) as bigint)) // count(*) as bigint) cost
+ from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+ join nation c on c.n_nationkey = c_nationkey join nation s on s.n_nationkey = s_nationkey group by 1, 2""",
+        orders_of="""select [a.worker, b.worker, c.worker, d.worker, e.worker] p, a.cost + b.cost + c.cost + d.cost + e.cost total
+ from cells a, cells b, cells c, cells d, cells e where a.task = 0 and b.task = 1 and c.task = 2 and d.task = 3 and e.task = 4
+ and len(list_distinct([a.worker, b.worker, c.worker, d.worker, e.worker])) = 5""",
+        best="select p from orders_of order by total, p limit 1",
+    ),
+)
+def _(core):
+    """The cheapest one-to-one supply between the regions, exact: costs are whole and epsilon is below 1 / 5."""
+    return auction_assignment(regional_costs(core), epsilon=0.15).assigned
+
+
 @query(
     "L10_assignment_audit",
     sql(

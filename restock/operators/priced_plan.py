@@ -27,8 +27,7 @@ from restock.operators.series_plan import SeriesBatch, Weights, solve
 from restock.session import cut_lineage, drop_staged
 
 #: first prices: a level, falling from day to day by a factor
-START_LEVELS = (0.0, 3.0, 10.0, 30.0, 70.0, 100.0)
-START_FACTORS = (1.0, 0.65)
+STARTS = ((0.0, 1.0), (10.0, 0.65), (30.0, 0.65), (30.0, 1.0), (70.0, 0.65), (100.0, 1.0))
 PRICED_GRANTS = 3
 BATCH = 256
 
@@ -149,7 +148,7 @@ def capacity_prices(
     spark = series.sparkSession
     series = series.withColumn("fixed", F.array_repeat(F.lit(0), window))
     endless = F.array_repeat(F.lit(weights.max_opening), window).alias("room")
-    starts = [(k, level, factor) for k, (level, factor) in enumerate((x, y) for x in START_LEVELS for y in START_FACTORS if x or y == 1)]
+    starts = [(k, *start) for k, start in enumerate(STARTS)]
     table = capacity.crossJoin(spark.createDataFrame(starts, "candidate int, level double, factor double")).select(
         "candidate", "w_id", "c_rank", "capacity", (F.col("level") * F.pow("factor", F.col("c_rank") - 1)).alias("price"), F.lit(0.0).alias("drift")
     )
