@@ -11,19 +11,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 
 from restock.llm.common import once_per_process
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: as the vocabulary's pattern for ASCII; runs of bytes from 0x80 are taken as letters and checked
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
 _PLAIN = re.compile(rb"[\x21-\x7e]+")
-_STOPS = frozenset(b".,;:!?")
+_STOPS = frozenset((b".", b",", b";", b":", b"!", b"?"))
 
 
 def _byte_letters() -> dict[int, int]:
@@ -77,8 +77,13 @@ class WordIds:
                 where.append(k)
         if len(self.known) > CACHE_CHUNKS:
             self._thin_out()
-        self._learn(set().union(*split) - self.known.keys())
-        numbers = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
+        chunks = list(chain.from_iterable(split))
+        numbers = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            fresh = [chunks[k] for k in missing.tolist()]
+            self._learn(set(fresh))
+            numbers[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
         self.uses += np.bincount(numbers, minlength=len(self.uses))
         ids = self._gather(numbers)
         ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
@@ -103,43 +108,59 @@ class WordIds:
         """Put the ids of new chunks into the cache."""
         if not chunks:
             return
-        fresh: set[bytes] = set()
+        fresh: dict[bytes, str | None] = {}  # pieces, with their letters if those are not all ASCII
         joined: list[bytes] = []
         parts: list[list[bytes]] = []
         whole: list[bytes] = []
         for c in chunks:
             if c.isalpha():  # ASCII letters only
-                fresh.add(c)
+                fresh[c] = None
                 continue
-            if (stem := c[:-1]).isalpha() and c[-1] in _STOPS:  # most others: a word and a stop
+            stem, stop = c[:-1], c[-1:]
+            if stop not in _STOPS:
+                stem, stop = c, b""
+            elif stem.isalpha():  # most others: a word and a stop
                 joined.append(c)
-                parts.append([stem, c[-1:]])
-                fresh.add(stem)
-                fresh.add(c[-1:])
+                parts.append([stem, stop])
+                fresh[stem] = fresh[stop] = None
+                continue
+            if not c.isascii() and (text := stem.decode()).isalpha():
+                if not text.lower().isalpha():  # a letter that becomes a letter and a mark
+                    whole.append(c)
+                    continue
+                fresh[stem] = text
+                if stop:
+                    fresh[stop] = None
+                    joined.append(c)
+                    parts.append([stem, stop])
                 continue
             found = _PIECES.findall(c)
-            # lower() shows letters that become a letter and a mark
-            if not c.isascii() and not all(p.isascii() or p.decode().lower().isalpha() for p in found):
+            letters = [(p, p.decode()) for p in found if not p.isascii()]
+            if not all(text.lower().isalpha() for _, text in letters):
                 whole.append(c)
-            elif len(found) == 1:
-                fresh.add(c)
-            else:
+                continue
+            for p in found:
+                fresh[p] = None
+            fresh.update(letters)
+            if len(found) > 1:
                 joined.append(c)
                 parts.append(found)
-                fresh.update(found)
-        names = list(fresh - self.known.keys())
+        names = list(fresh.keys() - self.known.keys())
         ids: list[list[int]] = []
         odd = []
         tokenize = self.library.model.tokenize
         for p in names:
-            if p.isalnum() or _PLAIN.fullmatch(p):
-                ids.append([t.id for t in tokenize(p.decode())])
-            elif (text := p.decode()).isalpha() and text == text.lower() and is_normalized("NFC", text):
+            text = fresh[p]
+            if text is None:
+                if p.isalnum() or _PLAIN.fullmatch(p):
+                    ids.append([t.id for t in tokenize(p.decode())])
+                    continue
+            elif text.isalpha() and text == text.lower() and is_normalized("NFC", text):
                 # the vocabulary's model takes each byte as a letter
                 ids.append([t.id for t in tokenize(p.decode("latin-1").translate(_BYTE_LETTERS))])
-            else:
-                odd.append(p)
-                ids.append([])
+                continue
+            odd.append(p)
+            ids.append([])
         found = self._library(odd + whole)
         at = {p: x for p, x in zip(odd, found)}
         ids = [at.get(p, x) if not x else x for p, x in zip(names, ids)]
