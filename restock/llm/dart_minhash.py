@@ -32,9 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import batch, ragged, utf8_texts, with_rows
+from restock.llm.common import batch, ints, ragged, utf8_texts, with_rows
 from restock.llm.decontaminate import split_words
-from restock.session import cut_lineage
+from restock.session import cut_lineage, drop_staged
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,6 +44,8 @@ COORDINATES = BANDS * ROWS
 SKETCH_BITS = 18
 PARITY_WORDS = 4
 CACHE_WORDS = 200_000
+SEEN_TEXTS = 500_000
+FILTER_BITS = 25
 
 _P1, _P2, _P3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -148,6 +150,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = b.slice(lo, 400)
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
+            if len(seen) > SEEN_TEXTS:  # a text seen again is sketched again, no more
+                seen.clear()
             nodes, totals, sets, place = [], [], [], {}
             for k, (row, text, null) in enumerate(zip(part.column(0).to_pylist(), utf8_texts(part.column(2)), part.column(2).is_null().to_pylist())):
                 words = split_words(text)
@@ -165,7 +169,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = Hashes()
-    schema = pa.schema([("node", pa.binary()), ("hashes", pa.binary()), ("weights", pa.binary())])
+    schema = pa.schema([("node", pa.int64()), ("hashes", pa.binary()), ("weights", pa.binary())])
     for b in batches:
         for lo in range(0, b.num_rows, 400):
             part = b.slice(lo, 400)
@@ -176,21 +180,50 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("similarity", pa.float64())])
+    """Similarities of pairs of texts; pairs of one leader ``a`` come one after another, so its set is made once."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    hashes, leader, of_leader = Hashes(), None, None
     for b in batches:
         found = []
-        for ha, wa, hb, wb in zip(*(b.column(k) for k in range(2, 6))):
-            read = lambda x, kind: np.frombuffer(x.as_buffer(), kind)
-            found.append(similarity(read(ha, "<u8"), read(wa, "<i4"), read(hb, "<u8"), read(wb, "<i4")))
+        for a, ta, tb in zip(b.column(0).to_pylist(), b.column(2), b.column(3)):
+            if len(hashes) > CACHE_WORDS:
+                hashes.clear()
+            if of_leader is None or a != leader:
+                leader, of_leader = a, shingles(split_words(ta.as_py().encode()), hashes)
+            found.append(similarity(*of_leader, *shingles(split_words(tb.as_py().encode()), hashes)))
         yield batch(schema, (b.column(0), b.column(1), found))
 
 
-def compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The exact similarity of each pair (a, b) of nodes."""
-    left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("weights").alias("wa"))
-    right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("weights").alias("wb"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ha", "wa", "hb", "wb")
-    return joined.mapInArrow(_compare, "a binary, b binary, similarity double")
+def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The exact similarity of each pair (a, b) of nodes. Texts are sent, which take a third of their shingles' bytes."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    return joined.mapInArrow(_compare, "a long, b long, similarity double")
+
+
+def marked_rows(rows: DataFrame) -> np.ndarray:
+    """A bitmap of FILTER_BITS bits with the hash bits of all ``row`` values set; its size does not grow."""
+    place = F.pmod(F.xxhash64("row"), F.lit(1 << FILTER_BITS))
+    words = rows.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(row), {1 << FILTER_BITS}) & 63 as int))")).alias("bits"))
+    got = words.toArrow()
+    out = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of the ``wanted`` rows (row, node). Most other texts are sorted out before anything is shuffled."""
+    sent = source.sparkSession.sparkContext.broadcast(marked_rows(wanted))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place = ints(b.column(1))
+            keep = sent.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep.astype(bool))) for k in (0, 2)], names=["row", "text"])
+
+    placed = source.select("row", F.pmod(F.xxhash64("row"), F.lit(1 << FILTER_BITS)).alias("place"), "text")
+    return placed.mapInArrow(some, "row long, text string").join(wanted, "row").select("node", "text")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -208,7 +241,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
+        superseded, edges = edges, cut_lineage(small.select("e.a", "e.b").where("a <> b").distinct())
+        drop_staged(links.sparkSession, superseded)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -251,8 +285,10 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     sent = spark.sparkContext.broadcast(counts)
+    named = sets.schema["node"].dataType
+    kind = pa.binary() if named.simpleString() == "binary" else pa.int64()
     schema = pa.schema(
-        [("element", pa.int64()), ("node", pa.binary()), ("label", pa.binary()), ("total", pa.int64()), ("rest", pa.int64())]
+        [("element", pa.int64()), ("node", kind), ("label", kind), ("total", pa.int64()), ("rest", pa.int64())]
         + [(f"p{k}", pa.int64()) for k in range(PARITY_WORDS)]
     )
     parities = [f"p{k}" for k in range(PARITY_WORDS)]
@@ -274,7 +310,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
                 ))
 
     joined = sets.join(labels, "node").select("node", "label", "hashes", "weights")
-    postings = cut_lineage(joined.mapInArrow(prefixes, "element long, node binary, label binary, total long, rest long, " + ", ".join(f"{p} long" for p in parities)))
+    postings = cut_lineage(joined.mapInArrow(prefixes, f"element long, node {named.simpleString()}, label {named.simpleString()}, total long, rest long, " + ", ".join(f"{p} long" for p in parities)))
     by_label = postings.groupBy("element", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
     posted = postings.join(mixed.select("element", "major"), "element")
@@ -310,30 +346,28 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     )
     ddl = "row long, doc_id long, node binary, total long, bands array<long>"
     rows = cut_lineage(source.mapInArrow(_sketch, ddl))
+    # a node is a text, known by the smallest row that holds it
     nodes = cut_lineage(
-        rows.where("total > 0").groupBy("node").agg(F.min("row").alias("row"), F.max("total").alias("total"), F.first("bands", ignorenulls=True).alias("bands"))
+        rows.groupBy("node").agg(F.min("row").alias("row"), F.max("total").alias("total"), F.first("bands", ignorenulls=True).alias("bands"))
     )
-    members = nodes.select("node", "total", F.posexplode("bands").alias("band", "key"))
-    buckets = cut_lineage(
+    members = nodes.select(F.col("row").alias("node"), "total", F.posexplode("bands").alias("band", "key"))
+    buckets = (
         members.groupBy("band", "key")
         .agg(F.count("*").alias("n"), F.min(F.struct("node", "total")).alias("leader"))
         .where("n > 1")
         .select("band", "key", "n", F.col("leader.node").alias("leader"), F.col("leader.total").alias("leader_total"))
     )
+    shared = cut_lineage(members.join(buckets, ["band", "key"]))  # members of buckets that hold two nodes or more
     ratio = F.least("total", "leader_total") >= F.lit(least - 1e-9) * F.greatest("total", "leader_total")
     led = cut_lineage(
-        members.join(buckets, ["band", "key"])
-        .where((F.col("node") != F.col("leader")) & ratio)
+        shared.where((F.col("node") != F.col("leader")) & ratio)
         .groupBy(F.col("leader").alias("a"), F.col("node").alias("b"))
         .agg(F.count("*").alias("shared"))
     )
-    involved = buckets.select("band", "key").join(members, ["band", "key"]).select("node").distinct()
-    wanted = nodes.join(involved, "node", "left_semi").select("row", "node")
-    sets = cut_lineage(
-        source.select("row", "text").join(wanted, "row").select("node", "text").mapInArrow(_shingle_rows, "node binary, hashes binary, weights binary")
-    )
+    involved = shared.select("node").distinct()
+    texts = cut_lineage(texts_of(source, involved.select(F.col("node").alias("row"), "node")))
     first = led.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
-    compared = cut_lineage(compare(first, sets))
+    compared = cut_lineage(compare(first, texts))
     similar = F.col("similarity") >= least
     labels = cut_lineage(components(compared.where(similar)))
 
@@ -349,22 +383,29 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
             .select("a", "b")
         )
 
-    more = cut_lineage(compare(apart(led), sets))
+    more = cut_lineage(compare(apart(led), texts))
     compared = compared.union(more)
     labels = merged(labels, more.where(similar))
     mixed = (
-        _labelled(members.join(buckets.where("n > 2"), ["band", "key"]), labels)
+        _labelled(shared.where("n > 2"), labels)
         .groupBy("band", "key")
         .agg(F.min("label").alias("low"), F.max("label").alias("high"))
         .where("low <> high")
         .select("band", "key")
     )
-    open_nodes = cut_lineage(members.join(mixed, ["band", "key"], "left_semi").select("node").distinct())
-    open_sets = sets.join(open_nodes, "node", "left_semi")
+    open_nodes = cut_lineage(shared.join(mixed, ["band", "key"], "left_semi").select("node").distinct())
+    open_sets = cut_lineage(
+        texts.join(open_nodes, "node", "left_semi").mapInArrow(_shingle_rows, "node long, hashes binary, weights binary")
+    )
     rest = cut_lineage(apart(prefix_pairs(open_sets, _labelled(open_nodes, labels), least)))
-    labels = merged(labels, cut_lineage(compare(rest, sets)).where(similar))
+    labels = merged(labels, cut_lineage(compare(rest, texts)).where(similar))
 
-    labelled = cut_lineage(_labelled(rows.select("row", "doc_id", "node"), labels).select("row", "doc_id", "label"))
+    held = rows.select(F.col("row").alias("of"), "doc_id", "node").join(nodes.select("node", "row"), "node")
+    labelled = cut_lineage(
+        _labelled(held.select("of", "doc_id", F.col("row").alias("node")), labels).select(F.col("of").alias("row"), "doc_id", "label")
+    )
+    for done in (rows, nodes, shared, led, texts, open_nodes, open_sets):
+        drop_staged(docs.sparkSession, done)
     groups = labelled.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size")
     )
