@@ -45,8 +45,8 @@ _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 _UUIDS = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern}(?![A-Za-z0-9])")
 _SEGMENT = re.compile(r"[A-Za-z0-9]+")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
-# a stretch ends where words undo so much of its score; letters a token of a word; characters encoded at once
-DROP, WORD_RATIO, PIECE = 4.0, 3.0, 1000
+# a stretch ends where words undo so much of its score; letters a token of a word
+DROP, WORD_RATIO = 4.0, 3.0
 
 _OUT = pa.schema(
     [(n, pa.int64()) for n in ("doc_id", "n_assign", "n_access", "n_hex", "n_random")]
@@ -70,7 +70,7 @@ def is_known(run: str) -> bool:
 
 
 def n_tokens(run: str, encoding: tiktoken.Encoding) -> int:
-    return sum(len(encoding.encode_ordinary(run[k : k + PIECE])) for k in range(0, len(run), PIECE))
+    return len(encoding.encode_ordinary(run))
 
 
 def word_tokens(word: str, encoding: tiktoken.Encoding) -> int:
@@ -117,13 +117,24 @@ def stretches(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> list[t
         size = end - start
         return score == -math.inf or size >= 4 and run[start].isalpha() and size * max_ratio >= WORD_RATIO * (score + size)
 
+    # how far a stretch that begins or ends at a part is widened: over the parts of its segment that are no words
+    plain = [not is_word(p) for p in parts]
+    begin, finish = list(range(len(parts))), list(range(len(parts)))
+    for k in range(1, len(parts)):
+        if parts[k - 1][3] == parts[k][3] and plain[k - 1]:
+            begin[k] = begin[k - 1]
+    for k in range(len(parts) - 2, -1, -1):
+        if parts[k + 1][3] == parts[k][3] and plain[k + 1]:
+            finish[k] = finish[k + 1]
     found: list[tuple[int, int]] = []
+    judged: set[tuple[int, int]] = set()
 
     def emit(first: int, last: int) -> None:
-        while first and parts[first - 1][3] == parts[first][3] and not is_word(parts[first - 1]):
-            first -= 1
-        while last + 1 < len(parts) and parts[last + 1][3] == parts[last][3] and not is_word(parts[last + 1]):
-            last += 1
+        first, last = begin[first], finish[last]
+        # each widened stretch is encoded once, and none within what is reported already
+        if (first, last) in judged or found and parts[last][1] <= found[-1][1]:
+            return
+        judged.add((first, last))
         text = run[parts[first][0] : parts[last][1]]
         if len(text) < 16 or not any(map(str.isalpha, text)) or not is_random(text, encoding, max_ratio):
             return
@@ -137,7 +148,8 @@ def stretches(run: str, encoding: tiktoken.Encoding, max_ratio: float) -> list[t
         while end < len(run) and run[end] == "=":
             end += 1
         if found and start < found[-1][1]:
-            start = found.pop()[0]
+            before = found.pop()
+            start, end = before[0], max(end, before[1])
         found.append((start, end))
 
     first, last, total, best = -1, -1, 0.0, 0.0
