@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,10 +176,14 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             part = b.slice(lo, 400)
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
-            sets = [shingles(split_words(t), hashes) for t in utf8_texts(part.column(1))]
+            sets = [shingles(split_words(_unpack(t)), hashes) for t in part.column(1)]
             yield batch(schema, (part.column(0), [h.tobytes() for h, _ in sets], [w.astype("<i4").tobytes() for _, w in sets]))
 
 
+def _unpack(packed: pa.Scalar) -> bytes:
+    return zstandard.decompress(packed.as_buffer())
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Similarities of pairs of texts; pairs of one leader ``a`` come one after another, so its set is made once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
@@ -189,15 +194,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(hashes) > CACHE_WORDS:
                 hashes.clear()
             if of_leader is None or a != leader:
-                leader, of_leader = a, shingles(split_words(ta.as_py().encode()), hashes)
-            found.append(similarity(*of_leader, *shingles(split_words(tb.as_py().encode()), hashes)))
+                leader, of_leader = a, shingles(split_words(_unpack(ta)), hashes)
+            found.append(similarity(*of_leader, *shingles(split_words(_unpack(tb)), hashes)))
         yield batch(schema, (b.column(0), b.column(1), found))
 
 
 def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The exact similarity of each pair (a, b) of nodes. Texts are sent, which take a third of their shingles' bytes."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    """The exact similarity of each pair (a, b) of nodes. Packed texts are sent, a tenth of their shingles' bytes."""
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
     joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(_compare, "a long, b long, similarity double")
 
@@ -213,17 +218,24 @@ def marked_rows(rows: DataFrame) -> np.ndarray:
 
 
 def texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the ``wanted`` rows (row, node). Most other texts are sorted out before anything is shuffled."""
+    """(node, packed text) of the ``wanted`` rows, and of the few others whose hash bit is set too.
+
+    No join, so no text is shuffled for it; what is not wanted meets no pair.
+    """
     sent = source.sparkSession.sparkContext.broadcast(marked_rows(wanted))
+    schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             place = ints(b.column(1))
-            keep = sent.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1)
-            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep.astype(bool))) for k in (0, 2)], names=["row", "text"])
+            keep = np.flatnonzero(sent.value[place >> 6] >> (place & 63).astype(np.uint64) & np.uint64(1))
+            for low in range(0, len(keep), 1000):
+                at = pa.array(keep[low : low + 1000])
+                yield batch(schema, (b.column(0).take(at), [pack(t) for t in utf8_texts(b.column(2).take(at))]))
 
     placed = source.select("row", F.pmod(F.xxhash64("row"), F.lit(1 << FILTER_BITS)).alias("place"), "text")
-    return placed.mapInArrow(some, "row long, text string").join(wanted, "row").select("node", "text")
+    return placed.mapInArrow(some, "node long, packed binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -365,7 +377,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
         .agg(F.count("*").alias("shared"))
     )
     involved = shared.select("node").distinct()
-    texts = cut_lineage(texts_of(source, involved.select(F.col("node").alias("row"), "node")))
+    texts = cut_lineage(texts_of(source, involved.select(F.col("node").alias("row"))))
     first = led.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b")
     compared = cut_lineage(compare(first, texts))
     similar = F.col("similarity") >= least
