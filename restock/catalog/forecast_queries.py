@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from restock.catalog.feature_queries import H_NAMES, SNAP, SNAP_TABLES, n1, n1_body, n16, n16_sql
@@ -55,6 +56,22 @@ def _(core):
     return scores.select(F.inline(rows))
 
 
+@query("M1_fit_metrics")
+def _(core):
+    """R² and mean squared error of each horizon on training and validation rows."""
+    scored = fitted(core).predict(matrix(core))
+    metrics = forecast.evaluate(scored, H_NAMES, ["is_valid"])
+    rows = [F.struct(F.lit(h).alias("horizon"), r6(F.col(f"{t}_r2")).alias("r2"), r6(F.col(f"{t}_l2")).alias("l2")) for h, t in enumerate(H_NAMES, 1)]
+    return metrics.select("is_valid", F.inline(F.array(*rows)))
+
+
+@query("M2_predictions")
+def _(core):
+    """The predictions of all horizons for the validation rows."""
+    scored = fitted(core).predict(train_valid(core)[1])
+    return scored.select("product_id", "store_id", "c_date", *(r6(F.col(f"pred_{t}")).alias(f"pred_{t}") for t in H_NAMES))
+
+
 @query(
     "M2_predict_columns",
     sql(SNAP_TABLES, f"""select product_id, store_id, c_date, cast(7 as int) n_predictions
@@ -67,6 +84,19 @@ def _(core):
     return scored.select("product_id", "store_id", "c_date", known.alias("n_predictions"))
 
 
+@query("M3_importance_rows")
+def _(core):
+    """The importance of each feature by horizon."""
+    importances = fitted(core).feature_importances(core.spark)
+    return importances.select("feature_name", *(r6(F.col(t)).alias(t) for t in H_NAMES))
+
+
+@query("O5_importance_ranking")
+def _(core):
+    """Features from the highest mean importance on."""
+    return forecast.ranked_importances(fitted(core).feature_importances(core.spark))
+
+
 @query(
     "M3_feature_importances",
     sql(
@@ -100,10 +130,14 @@ def _(core):
 def _(core):
     """The ranking falls, and it holds every feature once."""
     importances = fitted(core).feature_importances(core.spark)
-    ranked = [r.importance for r in forecast.ranked_importances(importances).collect()]  # one row a feature
-    complete = len(ranked) == importances.select("feature_name").distinct().count()
-    falling = all(a >= b for a, b in zip(ranked, ranked[1:]))
-    return core.spark.createDataFrame([(falling, complete)], "falling BOOLEAN, complete BOOLEAN")
+    ranked = forecast.ranked_importances(importances).select("feature_name", "importance")
+    place = Window.partitionBy(F.lit(1)).orderBy(F.monotonically_increasing_id())  # one row a feature: as many as columns
+    judged = ranked.withColumn("before", F.lag("importance").over(place))
+    total = importances.agg(F.count_distinct("feature_name")).scalar()
+    return judged.agg(
+        F.bool_and(F.coalesce(F.col("before") >= F.col("importance"), F.lit(True))).alias("falling"),
+        (F.count_distinct("feature_name") == F.max(total)).alias("complete"),
+    )
 
 
 CATEGORICAL = ["product_id", "store_id", "product_group"]
@@ -179,6 +213,18 @@ def trials(core):
     return core.spark.read.parquet(_once(core, "trials", build))
 
 
+@query("M6_trial_rows")
+def _(core):
+    """The trials: parameters, scores of each horizon, loss."""
+    return trials(core)
+
+
+@query("M7_best_trial_row")
+def _(core):
+    """The trial with the highest validation score (O4)."""
+    return forecast.best_trial(trials(core))
+
+
 @query(
     "M6_search_trials",
     sql("sales", f"select cast(t as int) trial, true in_range, true scored from (select unnest(range(1, {TRIALS + 1})) t) where (select count(*) from sales) > 0"),
@@ -259,6 +305,12 @@ def _(core):
     return joined.select(*key, (F.col("again") == F.col("pred_h7_log_units_sold")).alias("same"))
 
 
+@query("M10_day_predictions")
+def _(core):
+    """Whole units predicted for the seven days after the planning day."""
+    return forecast.score_day(fitted(core), matrix(core), AS_OF)
+
+
 @query(
     "M10_score_day",
     sql("sales", f"""select sa_p_id dp_p_id, sa_s_id dp_s_id, date '{AS_OF}' + cast(h as int) dp_date, true non_negative
@@ -317,6 +369,17 @@ def _(core):
     )
 
 
+@query("M12_residual_rows")
+def _(core):
+    """Number, mean, spread and quartiles of the fitted model's residuals by horizon."""
+    residuals = forecast.residual_table(fitted(core).predict(train_valid(core)[1]), H_NAMES)
+    quartile = lambda q: r6(F.percentile("residual", F.lit(q)))
+    return residuals.groupBy("horizon").agg(
+        F.count("*").alias("n"), r6(F.avg("residual")).alias("mean"), r6(F.stddev_samp("residual")).alias("std"),
+        *(quartile(q).alias(name) for name, q in (("low", 0.0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1.0))),
+    )
+
+
 query("M12_naive_residual_summary", DESCRIBE_SQL)(_described)
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from restock.catalog.registry import query, sql
-from restock.operators import network
+from restock.operators import facilities, network
 from restock.operators.auction import auction_assignment
-from restock.session import cut_lineage
+from restock.session import cut_lineage, staged_once
 
 # --- L8 ----------------------------------------------------------------------------------------
 
@@ -109,6 +111,12 @@ def regional_costs(core):
     return cells.agg(cents.alias("cents"), F.count("*").alias("k")).select("task", "worker", F.expr("cents div k").alias("cost"))
 
 
+@query("L9_greedy_pairs")
+def _(core):
+    """The assignment of the sequential greedy."""
+    return network.greedy_assignment(part_supplier_costs(core))
+
+
 @query("L9_auction_assignment")
 def _(core):
     """Each supplier gets a part, at a total within 1 % of the least possible."""
@@ -198,8 +206,19 @@ def heavy_conflicts(core):
     ),
 )
 def _(core):
-    conflicts = heavy_conflicts(core)
-    return network.grouping_audit(conflicts, network.conflict_free_groups(conflicts))
+    return network.grouping_audit(heavy_conflicts(core), grouped(core))
+
+
+@query("L11_groups")
+def _(core):
+    """The group of each node."""
+    return grouped(core)
+
+
+def grouped(core):
+    """Conflict-free groups, staged once per application and data folder."""
+    build = lambda path: network.conflict_free_groups(heavy_conflicts(core)).write.parquet(path)
+    return core.spark.read.parquet(staged_once(core.spark, f"{zlib.crc32(core.folder.encode()):08x}-groups", build))
 
 
 SESSIONS_SQL = """select c_nationkey as "class", n_regionkey teacher, l_suppkey room, cast(l_shipdate as date) - date '1995-01-01' as period
@@ -240,20 +259,31 @@ def _(core):
     return network.timetable_audit(wanted, sessions, 2000)
 
 
-@query(
-    "L12_place_sessions",
-    """select unnest(['requirement_met', 'class_clash', 'teacher_clash', 'room_clash', 'period_range']) as "check",
- cast(0 as bigint) violations from (select count(*) n from supplier) where n > 0""",
-)
-def _(core):
-    """Placed sessions break no rule: a supplier visits its nation's office, the offices of a region share rooms."""
-    wanted = core.raw("supplier").join(core.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(
+def office_visits(core):
+    """A supplier visits its nation's office, the offices of a region share rooms."""
+    return core.raw("supplier").join(core.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(
         F.col("s_suppkey").alias("class"),
         F.col("n_regionkey").alias("subject"),
         F.col("s_nationkey").alias("teacher"),
         (F.col("n_regionkey") * 10 + F.col("s_suppkey") % 10).alias("room"),
         (1 + F.col("s_suppkey") % 2).alias("times"),
     )
+
+
+@query("L12_placed_sessions")
+def _(core):
+    """The sessions and their periods."""
+    return network.place_sessions(office_visits(core)).select("class", "subject", "teacher", "room", "nth", "period")
+
+
+@query(
+    "L12_place_sessions",
+    """select unnest(['requirement_met', 'class_clash', 'teacher_clash', 'room_clash', 'period_range']) as "check",
+ cast(0 as bigint) violations from (select count(*) n from supplier) where n > 0""",
+)
+def _(core):
+    """Property check: placed sessions break no rule."""
+    wanted = office_visits(core)
     placed = cut_lineage(network.place_sessions(wanted))
     # no resource can do with fewer periods than it has sessions; greedy rounds need at most twice as many and a few
     busiest = wanted.groupBy("teacher").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0] or 0
@@ -281,6 +311,62 @@ def allocation_inputs(core):
     return demands, warehouses, costs
 
 
+def opening(core) -> tuple[tuple, dict]:
+    """The inputs and the staged plan with opened depots, made once per application and data folder."""
+    inputs = tuple(cut_lineage(x) for x in allocation_inputs(core))
+
+    def build(path: str) -> None:
+        plan = facilities.open_and_allocate(*inputs)
+        plan.depots.write.parquet(f"{path}/depots")
+        plan.shipped.write.parquet(f"{path}/shipped")
+        sums = {"sending_cost": plan.sending, "opening_cost": plan.opening, "unserved_cost": plan.unserved, "total_cost": plan.cost, "lower_bound": plan.bound}
+        core.spark.range(1).select(*(F.lit(float(v)).alias(k) for k, v in sums.items())).write.parquet(f"{path}/sums")
+
+    path = staged_once(core.spark, f"{zlib.crc32(core.folder.encode()):08x}-opening", build)
+    return inputs, {name: core.spark.read.parquet(f"{path}/{name}") for name in ("depots", "shipped", "sums")}
+
+
+@query("L13_opened_depots")
+def _(core):
+    """The depots that open, and what is used of them."""
+    (_, warehouses, _), plan = opening(core)
+    return plan["depots"].join(warehouses, "warehouse_id").select("warehouse_id", "capacity", "used", "opening_cost")
+
+
+@query("L13_planned_shipments")
+def _(core):
+    """What each customer gets from each depot."""
+    return opening(core)[1]["shipped"].select("customer_id", "warehouse_id", "amount")
+
+
+@query("L13_opening_bound")
+def _(core):
+    """Cost by part, the lower bound on the cost of any plan, and the gap."""
+    gap = F.try_divide(F.col("total_cost") - F.col("lower_bound"), F.col("total_cost"))
+    return opening(core)[1]["sums"].withColumn("gap", gap)
+
+
+@query(
+    "L13_opening_rules",
+    sql(
+        "",
+        """select count(distinct o_custkey) customers, cast(sum(l_quantity) as bigint) demand, cast(0 as bigint) over_served, cast(0 as bigint) over_capacity,
+ cast(0 as bigint) not_linked, cast(0 as bigint) bound_above_cost from lineitem join orders on o_orderkey = l_orderkey join supplier on s_suppkey = l_suppkey""",
+    ),
+)
+def _(core):
+    """Property check: all demand is met within capacity over given links, at no less than the bound."""
+    (demands, warehouses, costs), plan = opening(core)
+    got = plan["shipped"].groupBy("customer_id").agg(F.sum("amount").alias("got"))
+    met = demands.join(got, "customer_id", "left").agg(
+        F.count("*").alias("customers"), F.sum("got").alias("demand"), F.count_if(F.col("got") > F.col("demand")).alias("over_served")
+    )
+    over = plan["depots"].join(warehouses, "warehouse_id", "left").agg(F.count_if(F.col("used") > F.coalesce("capacity", F.lit(0))))
+    unlinked = plan["shipped"].join(costs, ["customer_id", "warehouse_id"], "left_anti").agg(F.count("*"))
+    wrong = plan["sums"].agg(F.count_if(F.col("lower_bound") > F.col("total_cost") + 1e-3))
+    return met.withColumns({"over_capacity": over.scalar(), "not_linked": unlinked.scalar(), "bound_above_cost": wrong.scalar()})
+
+
 @query(
     "L13_allocation_rules",
     sql(

@@ -34,6 +34,8 @@ def rolling_columns(
     """Mean, median, spread, extremes, mean step and max/mean ratio for each window length."""
     value = F.col(target)
     columns: dict[str, Column] = {}
+    # the longest window's values in day order; those of a shorter one are its last ones
+    recent = over_days(f"collect_list({target})", 1 - max(windows), 0, keys, day)
     for days in windows:
         def stat(call: str, first: int = 1 - days) -> Column:
             return over_days(call, first, 0, keys, day)
@@ -41,7 +43,9 @@ def rolling_columns(
         n, mean, top = stat(f"count({target})"), stat(f"avg({target})"), stat(f"max({target})")
         tag = f"{days}d_{target}"
         columns[f"mean_{tag}"] = mean
-        columns[f"median_{tag}"] = stat(f"percentile({target}, 0.5)")
+        ordered = F.sort_array(F.slice(recent, F.size(recent) - n.cast("int") + 1, n.cast("int")))
+        middle = [F.get(ordered, F.floor((n + k) / 2).cast("int")) for k in (-1, 0)]
+        columns[f"median_{tag}"] = (middle[0] + middle[1]) / 2
         columns[f"std_{tag}"] = stat(f"stddev_samp({target})")
         columns[f"min_{tag}"] = stat(f"min({target})")
         columns[f"max_{tag}"] = top
