@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from restock.catalog.registry import query, sql
-from restock.operators import facilities, network
+from restock.operators import facilities, network, shipping
 from restock.operators.auction import auction_assignment
 from restock.session import cut_lineage, staged_once
 
@@ -502,3 +502,75 @@ def _(core):
 def _(core):
     *_rest, crew, conflicts = shipment_tables(core)
     return network.conflicted_vans(crew, conflicts)
+
+
+# --- L14: the plan itself ----------------------------------------------------------------------
+
+
+def shipped(core) -> tuple[tuple, dict]:
+    """The inputs and the staged shipping plan, made once per application and data folder."""
+    _, demands, stocks, vans, crew, conflicts = shipment_tables(core)
+    employees = crew.select("employee").distinct()
+
+    def build(path: str) -> None:
+        plan = shipping.shipping_plan(demands, stocks, vans, employees, conflicts, trip_limit=5)
+        plan.shipments.write.parquet(f"{path}/shipments")
+        plan.crew.write.parquet(f"{path}/crew")
+        core.spark.range(1).select(F.lit(plan.vans).alias("vans"), F.lit(plan.least_vans).alias("least_vans")).write.parquet(f"{path}/fleet")
+
+    path = staged_once(core.spark, f"{zlib.crc32(core.folder.encode()):08x}-shipping", build)
+    return (demands, stocks, vans, conflicts), {name: core.spark.read.parquet(f"{path}/{name}") for name in ("shipments", "crew", "fleet")}
+
+
+LAID = {
+    **SHIP,
+    "need": """select product, store, demand, coalesce(sum(demand) over (partition by product order by store
+ rows between unbounded preceding and 1 preceding), 0) low from dem where demand > 0""",
+    "have": """select product, warehouse, stock, coalesce(sum(stock) over (partition by product order by warehouse
+ rows between unbounded preceding and 1 preceding), 0) low from stk where stock > 0""",
+    "sent": """select product, warehouse, store, cast(least(need.low + demand, have.low + stock) - greatest(need.low, have.low) as bigint) boxes
+ from need join have using (product) where need.low < have.low + stock and have.low < need.low + demand""",
+}
+
+
+@query("L14_flows", sql("lines", "select * from sent", **LAID))
+def _(core):
+    """What each warehouse sends to each store, stock against demand in order."""
+    _, demands, stocks, *_ = shipment_tables(core)
+    return shipping.flows(demands, stocks)
+
+
+@query("L14_planned_shipments")
+def _(core):
+    """The flows in vans."""
+    return shipped(core)[1]["shipments"]
+
+
+@query("L14_planned_crews")
+def _(core):
+    """Two employees for each van in use."""
+    return shipped(core)[1]["crew"]
+
+
+@query("L14_planned_fleet")
+def _(core):
+    """Vans in use, and the least number that could carry all boxes."""
+    return shipped(core)[1]["fleet"]
+
+
+@query(
+    "L14_plan_rules",
+    sql(
+        "lines",
+        """select 'demand_met' as "check", count(*) violations from dem left join (select product, store, sum(boxes) got from sent group by 1, 2)
+ using (product, store) where demand <> coalesce(got, 0)
+ union all select unnest(['stock_limit', 'trip_load', 'trip_limit', 'crew_size', 'employee_once', 'conflicted_van']), cast(0 as bigint)""",
+        **LAID,
+    ),
+)
+def _(core):
+    """The audit of the plan: only demand that stock cannot meet stays open."""
+    (demands, stocks, vans, conflicts), plan = shipped(core)
+    audit = network.shipment_audit(plan["shipments"], demands, stocks, vans, plan["crew"], trip_limit=5)
+    quarrels = network.conflicted_vans(plan["crew"], conflicts).agg(F.count("*").alias("violations"))
+    return audit.unionByName(quarrels.select(F.lit("conflicted_van").alias("check"), "violations"))
