@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -29,11 +30,23 @@ def once_per_process(kind: str, version: str, make: Callable[[], object]) -> obj
     store = sys.modules.setdefault("_restock_llm_store", types.ModuleType("_restock_llm_store")).__dict__
     held = store.get("held")
     if held is None or held[0] != (kind, version):
-        store["held"] = None
+        release()
         held = store["held"] = ((kind, version), make())
     return held[1]
 
 
+def release() -> None:
+    """Give up what tasks of an earlier stage cached in this worker, and hand freed memory back."""
+    store = sys.modules.get("_restock_llm_store")
+    if store is not None:
+        store.__dict__["held"] = None
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
 def utf8_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
     """The UTF-8 bytes of each text; null counts as empty. No Python string is made."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import batch, ints, ragged, utf8_texts, with_rows
+from restock.llm.common import batch, ints, ragged, release, utf8_texts, with_rows
 from restock.llm.decontaminate import split_words
 from restock.session import cut_lineage, drop_staged
 
@@ -145,6 +145,7 @@ def _node(text: bytes | None, row: int, words: list[bytes]) -> bytes:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
     hashes, seen = Hashes(), set()
     for b in batches:
         for lo in range(0, b.num_rows, 400):
@@ -187,6 +188,7 @@ def _unpack(packed: pa.Scalar) -> bytes:
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Similarities of pairs of texts; pairs of one leader ``a`` come one after another, so its set is made once."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    release()
     hashes, leader, of_leader = Hashes(), None, None
     for b in batches:
         found = []
@@ -203,7 +205,7 @@ def compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The exact similarity of each pair (a, b) of nodes. Packed texts are sent, a tenth of their shingles' bytes."""
     left = texts.select(F.col("node").alias("a"), F.col("packed").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("packed").alias("tb"))
-    joined = pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
+    joined = pairs.select("a", "b").join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "ta", "tb")
     return joined.mapInArrow(_compare, "a long, b long, similarity double")
 
 
@@ -226,6 +228,7 @@ def texts_of(source: DataFrame, wanted: DataFrame) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("packed", pa.binary())])
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         pack = zstandard.ZstdCompressor(level=1).compress
         for b in batches:
             place = ints(b.column(1))
@@ -325,7 +328,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     postings = cut_lineage(joined.mapInArrow(prefixes, f"element long, node {named.simpleString()}, label {named.simpleString()}, total long, rest long, " + ", ".join(f"{p} long" for p in parities)))
     by_label = postings.groupBy("element", "label").agg(F.count("*").alias("n"))
     mixed = by_label.groupBy("element").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
-    posted = postings.join(mixed.select("element", "major"), "element")
+    posted = postings.join(mixed.select("element", "major").hint("merge"), "element")
     # a large class meets the others of its element; its own members do not meet each other
     minor = posted.where("label <> major").select(
         "element",
@@ -339,7 +342,7 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     most = F.lit((1 - least) / (1 + least)) * (F.col("total") + F.col("o_total")) + 1e-6
     overlap = F.lit(least / (1 + least)) * (F.col("total") + F.col("o_total")) - 1e-6
     return (
-        posted.join(minor, "element")
+        posted.join(minor.hint("merge"), "element")
         .where((F.col("label") != F.col("o_label")) & ((F.col("label") == F.col("major")) | (F.col("node") < F.col("o_node"))))
         .where((F.least("rest", "o_rest") >= overlap) & (differing <= most))
         .select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
@@ -348,7 +351,11 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
 
 
 def _labelled(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    return nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return nodes.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+# Joins of tables that grow with the documents are sort-merge joins at every size (hint "merge"): plans do not change with
+# the data, and the shuffle grows in proportion.
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -369,7 +376,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
         .where("n > 1")
         .select("band", "key", "n", F.col("leader.node").alias("leader"), F.col("leader.total").alias("leader_total"))
     )
-    shared = cut_lineage(members.join(buckets, ["band", "key"]))  # members of buckets that hold two nodes or more
+    shared = cut_lineage(members.join(buckets.hint("merge"), ["band", "key"]))  # members of buckets that hold two nodes or more
     ratio = F.least("total", "leader_total") >= F.lit(least - 1e-9) * F.greatest("total", "leader_total")
     led = cut_lineage(
         shared.where((F.col("node") != F.col("leader")) & ratio)
@@ -412,7 +419,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     rest = cut_lineage(apart(prefix_pairs(open_sets, _labelled(open_nodes, labels), least)))
     labels = merged(labels, cut_lineage(compare(rest, texts)).where(similar))
 
-    held = rows.select(F.col("row").alias("of"), "doc_id", "node").join(nodes.select("node", "row"), "node")
+    held = rows.select(F.col("row").alias("of"), "doc_id", "node").join(nodes.select("node", "row").hint("merge"), "node")
     labelled = cut_lineage(
         _labelled(held.select("of", "doc_id", F.col("row").alias("node")), labels).select(F.col("of").alias("row"), "doc_id", "label")
     )
@@ -421,7 +428,7 @@ def classes(docs: DataFrame, least: float = SIMILARITY, id_col: str = "doc_id",
     groups = labelled.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row")).alias("first"), F.count("*").alias("class_size")
     )
-    return labelled.join(groups, "label").select(
+    return labelled.join(groups.hint("merge"), "label").select(
         "row", "doc_id", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")
     )
 

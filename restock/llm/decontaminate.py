@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from restock.llm.common import ragged, utf8_texts, with_rows
+from restock.llm.common import ragged, release, utf8_texts, with_rows
 from restock.session import cut_lineage
 
 SHARD_WORDS = 1_500_000
@@ -273,6 +273,7 @@ def find_hits(
         sent = spark.sparkContext.broadcast(windows.plain())
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             for rows, ids, documents, numbers in _shards(batches):
                 spans, items = _search(documents, numbers, Windows(*sent.value), max(depth, window))
                 columns = (rows, ids, [len(d) for d in documents], [[{"s": s, "e": e} for s, e in x] for x in spans], [sorted(x) for x in items])
