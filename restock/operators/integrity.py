@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -164,6 +164,52 @@ class CoreStore:
         numbered.select(*spec.columns).write.mode("append").option("compression", "zstd").parquet(path)
         return LoadResult(True, ids=self.table(name).filter(F.col(spec.id_col) > last).select(spec.id_col))
 
+    def append_once(self, name: str, batch: Callable[[], DataFrame], run: str) -> LoadResult:
+        """:meth:`append` for a run that may be started again: what it finished is not loaded twice.
+
+        A mark with the largest stored id is written before the rows, another one after them. If a run stopped in
+        between, rows beyond that id are taken back first. ``batch`` is only made if it is still to be loaded.
+        """
+        id_col = CORE_TABLES[name].id_col
+        marks = self._marks(name, run)
+        if "done" in marks:
+            return LoadResult(True)
+        started = [int(m.split("-")[1]) for m in marks if m.startswith("started-")]
+        if started:
+            self._take_back(name, started[0])
+        else:
+            last = self.table(name).agg(F.max(id_col)).first()[0] or 0
+            self._mark(name, run, f"started-{last}")
+        result = self.append(name, batch())
+        if result.written:
+            self._mark(name, run, "done")
+        return result
+
+    def _files(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _marks(self, name: str, run: str) -> list[str]:
+        folder, files = self._files(f"{self.root}/_runs/{run}/{name}")
+        return [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+
+    def _mark(self, name: str, run: str, mark: str) -> None:
+        path, files = self._files(f"{self.root}/_runs/{run}/{name}/{mark}")
+        files.create(path).close()
+
+    def _take_back(self, name: str, last: int) -> None:
+        """Leave the rows up to the id ``last``: in a new version, or none of a table's first, unfinished version."""
+        version = self._version(name)
+        if version is None:
+            folder, files = self._files(self._path(name, 0))
+            files.delete(folder, True)
+            return
+        stored = self.table(name)
+        id_col = F.col(CORE_TABLES[name].id_col)
+        if not stored.where(id_col > last).isEmpty():
+            kept = stored.where(id_col <= last)
+            kept.write.option("compression", "zstd").parquet(self._path(name, version + 1))
+
     def patch(self, name: str, changes: DataFrame) -> DataFrame:
         """Apply partial updates by id, all or nothing; returns the ids that do not exist.
 

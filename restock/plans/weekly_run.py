@@ -1,10 +1,10 @@
 """The weekly run: landing batch → core tables → snapshot → features → model → predictions → plan
-→ dashboard table. Stages hand over parquet. A failed run is started again with a fresh ``root``: core tables
-refuse rows they already hold."""
+→ dashboard table. Stages hand over parquet. A failed run is started again on the same ``root``: tables that it has
+loaded are left alone, a table that it was loading is taken back first, later stages overwrite their files."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +47,8 @@ class WeeklyParams:
     limits: planning.PlanLimits = planning.PlanLimits()
 
 
-def _append(store: integrity.CoreStore, name: str, batch: DataFrame) -> None:
-    result = store.append(name, batch)
+def _append(store: integrity.CoreStore, name: str, batch: Callable[[], DataFrame], run: str) -> None:
+    result = store.append_once(name, batch, run)
     if not result.written:
         raise ValueError(f"{name}: {result.violations.first().asDict()}")
 
@@ -60,10 +60,14 @@ def load_batch(store: integrity.CoreStore, landing: str, timestamp: str) -> list
         batch = integrity.batch_or_none(tables.read_landing(store.spark, landing, timestamp, name))
         if batch is None:
             continue
-        names = DEPENDENT.get(name, {})
-        mappers = {c: (store.table(d), n, i) for c, (d, n, i, _) in names.items()}
-        renames = {c: target for c, (_, _, _, target) in names.items()}
-        _append(store, name, integrity.map_batch(batch, mappers, renames))
+
+        def mapped(name=name, batch=batch) -> DataFrame:
+            names = DEPENDENT.get(name, {})
+            mappers = {c: (store.table(d), n, i) for c, (d, n, i, _) in names.items()}
+            renames = {c: target for c, (_, _, _, target) in names.items()}
+            return integrity.map_batch(batch, mappers, renames)
+
+        _append(store, name, mapped, timestamp)
         loaded.append(name)
     return loaded
 
@@ -131,10 +135,10 @@ def plan_week(store: integrity.CoreStore, params: WeeklyParams) -> DataFrame:
     planned = priced_plan(inputs, window, params.limits)
     orders, cells = planned.orders, planned.cells
     calendar = planning_calendar(store.spark, day, window)
-    _append(store, "demandfulfillments", planning.fulfilment_rows(cells, calendar))
+    _append(store, "demandfulfillments", lambda: planning.fulfilment_rows(cells, calendar), day)
     plan = integrity.batch_or_none(planning.procurement_rows(orders, calendar))
     if plan is not None:
-        _append(store, "procurementplans", plan)
+        _append(store, "procurementplans", lambda: plan, day)
     return planning.audit_plan(cells, orders, inputs, params.limits)
 
 
@@ -149,7 +153,7 @@ def run_week(
     model = learn(matrix, folder, params)
     predictions = integrity.batch_or_none(forecast.score_day(model, matrix, params.timestamp))
     if predictions is not None:  # a day without sales has none
-        _append(store, "demandpredictions", predictions)
+        _append(store, "demandpredictions", lambda: predictions, params.timestamp)
     audit = plan_week(store, params)
     products, stores = store.table("products"), store.table("stores")
     evolution = reports.demand_evolution(
