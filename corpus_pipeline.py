@@ -12,6 +12,8 @@ packing      the texts as token windows
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,22 @@ from restock.llm import dart_minhash, decontaminate, language_id, packing, secre
 from restock.llm.common import fold, table, with_rows
 from restock.session import cut_lineage
 
+#: documents that a worker is sent at once: whole texts may be long
+BATCH_DOCUMENTS = 2_000
+
+
+def small_batches(stage):
+    """``stage`` with at most BATCH_DOCUMENTS rows in an Arrow batch, which bounds the memory of executors and workers."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_DOCUMENTS))
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     models = language_id.learn(docs, fold(F.col("doc_id"), 5) != 0)
     if not models.languages:
@@ -30,14 +47,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return numbered.join(cut_lineage(judged), row, "left_anti").drop(row)
 
 
+@small_batches
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return dart_minhash.deduplicate(docs)
 
 
+@small_batches
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.remove_affected(docs, table(spark, sf_dir, "benchmark"))
 
 
+@small_batches
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -48,6 +68,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return clean
 
 
+@small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
