@@ -285,7 +285,7 @@ def _(core):
     """Property check: placed sessions break no rule."""
     wanted = office_visits(core)
     placed = cut_lineage(network.place_sessions(wanted))
-    # no resource can do with fewer periods than it has sessions; greedy rounds need at most twice as many and a few
+    # no resource can do with fewer periods than it has sessions; a session meets at most this many others
     busiest = wanted.groupBy("teacher").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0] or 0
     by_room = wanted.groupBy("room").agg(F.sum("times").alias("n")).agg(F.max("n")).first()[0] or 0
     return network.timetable_audit(wanted, placed, busiest + by_room + 2)

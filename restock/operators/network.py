@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from restock.operators.running import bucketed_running_total
 from restock.session import cut_lineage, drop_staged
 
 RANGES = 64
+DRAWS = 4
 
 
 # --- budget-limited shortest path --------------------------------------------------------------
@@ -217,21 +218,45 @@ def grouping_audit(conflicts: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def place_sessions(requirements: DataFrame) -> DataFrame:
-    """(class, teacher, room, period) with every resource used at most once per period.
+    """(class, teacher, room, period) with every resource used at most once per period; a null is a resource like any other.
 
-    Each round fills one period with the sessions that come first for their class, teacher and room.
-    The number of rounds is the number of periods used; it is valid but not minimal.
+    Each round every open session draws periods by hash and bids for the first in which its class, teacher and room are
+    all free; of the bids for a resource and period the smallest hash wins. A round draws DRAWS periods for each session
+    of the input, shared among the open ones, and all periods once they are that few, so rounds grow with the logarithm
+    of the sessions. Periods start at the largest number of sessions of a resource, which no timetable can do without,
+    and a few are added each round, up to as many as always leave one free. Valid, not minimal.
     """
-    key = ["class", "subject", "teacher", "room", "nth"]
+    resources, key = ["class", "teacher", "room"], ["class", "subject", "teacher", "room", "nth"]
     wanted = requirements.groupBy(*key[:-1]).agg(F.sum("times").alias("times"))
     one_by_one = wanted.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     rest = cut_lineage(one_by_one.select(*key, F.xxhash64(*key).alias("turn")))
+    n = left = rest.count()
+    loads = [rest.groupBy(r).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0 for r in resources]
     placed: list[DataFrame] = []
-    while not rest.isEmpty():
-        now = cut_lineage(mutual_minima(rest, ["class", "teacher", "room"], ["turn", *key]))
-        placed.append(now.select(*key, F.lit(len(placed)).alias("period")))
-        rest = cut_lineage(rest.join(now.select(*key), key, "left_anti"))
-    return reduce(DataFrame.unionByName, placed)
+    draws, turn_of = DRAWS * n, F.struct("turn", *key)
+    while left:
+        periods = min(sum(loads) - 2, max(loads) + len(placed) * (1 + max(loads) // 50))
+        each = min(periods, max(DRAWS, draws // left))
+        draw = F.xxhash64("turn", *key, F.lit(len(placed)), "draw")
+        period = F.col("draw") if each == periods else F.pmod(draw, F.lit(periods)).cast("int")
+        tries = rest.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumns({"place": draw, "period": period})
+        free = F.lit(True)
+        for r in resources if placed else []:
+            used = reduce(DataFrame.unionByName, placed).select(F.col(r).alias("_r"), F.col("period").alias("_p"), F.lit(True).alias(f"_{r}"))
+            tries = tries.join(used, F.col(r).eqNullSafe(F.col("_r")) & (F.col("period") == F.col("_p")), "left").drop("_r", "_p")
+            free &= F.col(f"_{r}").isNull()
+        first = F.min(F.when(free, F.struct("place", "period")))
+        bids = cut_lineage(tries.groupBy(*key, "turn").agg(first["period"].alias("period")))
+        won = reduce(Column.__and__, [F.min(turn_of).over(Window.partitionBy(r, "period")) == turn_of for r in resources])
+        judged = cut_lineage(bids.where("period is not null").withColumn("won", won))
+        drop_staged(rest.sparkSession, rest)
+        placed.append(judged.where("won").select(*key, "period"))
+        rest = cut_lineage(judged.where("not won").drop("won", "period").unionByName(bids.where("period is null").drop("period")))
+        before, left = left, rest.count()
+        if left == before:
+            draws *= 2
+        drop_staged(rest.sparkSession, bids)
+    return reduce(DataFrame.unionByName, placed) if placed else rest.select(*key, F.lit(0).alias("period"))
 
 
 def timetable_audit(requirements: DataFrame, sessions: DataFrame, periods: int) -> DataFrame:

@@ -107,6 +107,30 @@ def test_sessions_never_clash(spark):
     assert late["period_range"] > 0
 
 
+def test_sessions_of_a_busy_teacher_are_placed_in_few_rounds(spark, monkeypatch):
+    """One round a period before: 120 staged tables and more for the sessions of one teacher."""
+    staged = []
+    cut = network.cut_lineage
+    monkeypatch.setattr(network, "cut_lineage", lambda df: staged.append(1) or cut(df))
+    rows = [(c, c % 3, 0, c % 7, 1 + c % 2) for c in range(40)]
+    req = spark.createDataFrame(rows, "class LONG, subject LONG, teacher LONG, room LONG, times LONG")
+    sessions = network.place_sessions(req)
+    assert len(staged) < 60
+    assert all(r.violations == 0 for r in network.timetable_audit(req, sessions, 60 + 10).collect())
+    assert network.place_sessions(req.where("false")).count() == 0
+
+
+def test_sessions_without_a_room_are_placed(spark):
+    """They were never placed before, and the rounds never ended."""
+    req = spark.createDataFrame(
+        [(c, 0, c % 2, None if c < 3 else c % 2, 1) for c in range(6)], "class LONG, subject LONG, teacher LONG, room LONG, times LONG"
+    )
+    sessions = network.place_sessions(req).collect()
+    assert len({r["class"] for r in sessions}) == len(sessions) == 6
+    for name in ("teacher", "room"):
+        assert len({(r[name], r.period) for r in sessions}) == 6
+
+
 def test_allocation_meets_demand_within_capacity(spark):
     rng = random.Random(6)
     demands = spark.createDataFrame([(c, rng.randrange(1, 40)) for c in range(40)], "customer_id LONG, demand LONG")
