@@ -295,10 +295,10 @@ def _(core):
 
 
 def allocation_inputs(core):
-    """Customers' ordered units, supplier nations as warehouses, mean line price as unit cost."""
-    cells = (
+    """Customers' ordered units, supplier nations as warehouses, mean line price as unit cost; the lines are joined once."""
+    cells = cut_lineage(
         core.raw("lineitem")
-        .join(core.raw("orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+        .join(core.raw("orders").hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"))
         .join(core.raw("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
         .groupBy(F.col("o_custkey").alias("customer_id"), F.col("s_nationkey").alias("warehouse_id"))
         .agg(F.sum("l_quantity").cast("long").alias("units"), F.sum("l_extendedprice").alias("price"))

@@ -11,6 +11,7 @@ Who is left over opens further depots, and a depot whose customers other depots
 opening cost closes, the one that saves most first.
 
 A depot's order is cut into STEPS price steps, so that one with most customers is spread over tasks. Rounds are staged.
+Joins by customer shuffle at every size (``by_customer``): broadcasts of every round would add up in the driver.
 """
 
 from __future__ import annotations
@@ -43,11 +44,16 @@ class Opening:
         return self.sending + self.opening + self.unserved
 
 
+def by_customer(df: DataFrame) -> DataFrame:
+    """``df``, with a few rows of each customer, as the side of a join that is hashed after the shuffle."""
+    return df.hint("shuffle_hash")
+
+
 def _served(links: DataFrame, prices: DataFrame, unserved_cost: float) -> DataFrame:
     """What each depot would send to whom at the customers' prices: customer_id, warehouse_id, margin, amount, ..."""
     margin = F.col("pay") - F.col("unit_cost")
     ready = (
-        links.join(prices.select("customer_id", "pay"), "customer_id")
+        links.join(by_customer(prices.select("customer_id", "pay")), "customer_id")
         .withColumn("margin", margin)
         .where("margin > 0")
         .withColumns({"turn": -F.col("margin"), "step": F.floor(F.col("margin") * F.lit(-STEPS / unserved_cost))})
@@ -79,7 +85,7 @@ def customer_prices(links: DataFrame, unserved_cost: float, rounds: int) -> tupl
         )
         missing = (F.col("demand") - F.coalesce("got", F.lit(0))).cast("double")
         drift = missing if turn == 0 else 0.7 * missing + 0.3 * F.col("drift")
-        now = cut_lineage(prices.join(given, "customer_id", "left").select("customer_id", "demand", "pay", drift.alias("drift")))
+        now = cut_lineage(prices.join(by_customer(given), "customer_id", "left").select("customer_id", "demand", "pay", drift.alias("drift")))
         gains = depots.where("gain > 0").agg(F.coalesce(F.sum("gain"), F.lit(0.0)))
         held = (F.col("pay") >= unserved_cost) & (F.col("drift") > 0)
         at = now.agg(
@@ -104,7 +110,7 @@ def customer_prices(links: DataFrame, unserved_cost: float, rounds: int) -> tupl
 def _rest(demands: DataFrame, shipped: DataFrame) -> DataFrame:
     got = shipped.groupBy("customer_id").agg(F.sum("amount").alias("got"))
     left = F.col("demand") - F.coalesce("got", F.lit(0))
-    return demands.join(got, "customer_id", "left").select("customer_id", left.alias("demand")).where("demand > 0")
+    return demands.join(by_customer(got), "customer_id", "left").select("customer_id", left.alias("demand")).where("demand > 0")
 
 
 def _free(depots: DataFrame, shipped: DataFrame) -> DataFrame:
@@ -120,15 +126,15 @@ def _close_one(shipped: DataFrame, depots: DataFrame, costs: DataFrame) -> DataF
     free = cut_lineage(_free(depots, shipped))
     spare = free.where("used > 0 and capacity > 0").select(F.col("warehouse_id").alias("other"), "capacity")
     ways = costs.select("customer_id", F.col("warehouse_id").alias("other"), F.col("unit_cost").alias("other_cost")).join(spare, "other")
-    here = shipped.join(costs, ["customer_id", "warehouse_id"])
+    here = by_customer(shipped).join(costs, ["customer_id", "warehouse_id"])
     cheapest = (
-        here.join(ways, "customer_id", "left")
+        here.join(ways.hint("merge"), "customer_id", "left")
         .where(F.col("other").isNull() | (F.col("other") != F.col("warehouse_id")))
         .groupBy("customer_id", "warehouse_id", "amount", "unit_cost")
         .agg(F.min("other_cost").alias("other_cost"))
     )
     # at least what closing costs: every unit goes to the cheapest other depot with room
-    moved = here.join(cheapest.select("customer_id", "warehouse_id", "other_cost"), ["customer_id", "warehouse_id"], "left")
+    moved = here.join(by_customer(cheapest.select("customer_id", "warehouse_id", "other_cost")), ["customer_id", "warehouse_id"], "left")
     worth = (
         moved.groupBy("warehouse_id")
         .agg(F.bool_or(F.col("other_cost").isNull()).alias("stuck"), F.sum(F.col("amount") * (F.col("other_cost") - F.col("unit_cost"))).alias("extra"))
@@ -143,7 +149,7 @@ def _close_one(shipped: DataFrame, depots: DataFrame, costs: DataFrame) -> DataF
         room = free.where((F.col("used") > 0) & (F.col("warehouse_id") != row.warehouse_id)).withColumn("opening_cost", F.lit(0.0))
         orders = mine.groupBy("customer_id").agg(F.sum("amount").alias("demand"))
         again = cut_lineage(allocate_demand(orders, room.select("warehouse_id", "capacity", "opening_cost"), costs))
-        sent = lambda df: df.join(costs, ["customer_id", "warehouse_id"]).agg(F.sum("amount"), F.sum(F.col("amount") * F.col("unit_cost"))).first()
+        sent = lambda df: by_customer(df).join(costs, ["customer_id", "warehouse_id"]).agg(F.sum("amount"), F.sum(F.col("amount") * F.col("unit_cost"))).first()
         (units, before), (moved_units, after) = sent(mine), sent(again)
         fee = free.where(F.col("warehouse_id") == row.warehouse_id).first().opening_cost
         if units == moved_units and after - before < fee - 1e-9:
@@ -163,11 +169,11 @@ def open_and_allocate(
         .where("capacity > 0")
     )
     costs = cut_lineage(costs.select("customer_id", "warehouse_id", F.col("unit_cost").cast("double").alias("unit_cost")))
-    links = cut_lineage(costs.join(demands, "customer_id").join(depots, "warehouse_id"))
+    links = cut_lineage(costs.join(by_customer(demands), "customer_id").join(depots, "warehouse_id"))
     if unserved_cost is None:
         unserved_cost = 2 * (links.agg(F.max(F.col("unit_cost") + F.col("opening_cost") / F.col("capacity"))).first()[0] or 0.0) + 1
     reachable = links.select("customer_id").distinct()
-    lost = demands.join(reachable, "customer_id", "left_anti").agg(F.coalesce(F.sum("demand"), F.lit(0))).first()[0]
+    lost = demands.join(by_customer(reachable), "customer_id", "left_anti").agg(F.coalesce(F.sum("demand"), F.lit(0))).first()[0]
     gains, bound = customer_prices(links, float(unserved_cost), rounds)
     charged = cut_lineage(
         depots.join(gains, "warehouse_id", "left").select(
@@ -185,7 +191,7 @@ def open_and_allocate(
     while (fewer := _close_one(shipped, depots, costs)) is not None:
         shipped = fewer
     used = shipped.groupBy("warehouse_id").agg(F.sum("amount").alias("used"))
-    sending = shipped.join(costs, ["customer_id", "warehouse_id"]).agg(F.coalesce(F.sum(F.col("amount") * F.col("unit_cost")), F.lit(0.0))).first()[0]
+    sending = by_customer(shipped).join(costs, ["customer_id", "warehouse_id"]).agg(F.coalesce(F.sum(F.col("amount") * F.col("unit_cost")), F.lit(0.0))).first()[0]
     opening = depots.join(used, "warehouse_id").agg(F.coalesce(F.sum("opening_cost"), F.lit(0.0))).first()[0]
     open_units = _rest(demands, shipped).agg(F.coalesce(F.sum("demand"), F.lit(0))).first()[0]
     return Opening(used, shipped, sending, opening, float(open_units * unserved_cost), bound + float(lost * unserved_cost))

@@ -295,7 +295,8 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
     ``costs``: customer_id, warehouse_id, unit_cost. Each round every customer with open demand asks
     its cheapest warehouse that has capacity left (unit cost plus opening cost per unit of
     capacity); a warehouse serves its cheapest requests first, ties by customer. Not optimal. In each round a warehouse
-    fills up or every request is met, so there are at most as many rounds as warehouses.
+    fills up or every request is met, so there are at most as many rounds as warehouses. Joins by customer shuffle
+    at every size: a broadcast in each round would go through the driver.
     """
     depots = cut_lineage(warehouses.select("warehouse_id", F.col("capacity").cast("long"), "opening_cost"))
     open_links = costs.join(depots.filter("capacity > 0"), "warehouse_id").select(
@@ -311,7 +312,7 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
     while True:
         asked = (
             links.join(free.select("warehouse_id"), "warehouse_id", "left_semi")
-            .join(rest, "customer_id")
+            .join(rest.hint("shuffle_hash"), "customer_id")
             .groupBy("customer_id", "rest")
             .agg(F.min(F.struct("score", "warehouse_id")).alias("pick"))
             .select("customer_id", "rest", F.col("pick.score").alias("score"), F.col("pick.warehouse_id").alias("warehouse_id"))
@@ -338,7 +339,7 @@ def allocate_demand(demands: DataFrame, warehouses: DataFrame, costs: DataFrame)
 def _less(left: DataFrame, column: str, shipped: DataFrame, key: str) -> DataFrame:
     """``left`` with the shipped amounts taken off; rows with nothing left go."""
     taken = shipped.groupBy(key).agg(F.sum("amount").alias("_taken"))
-    return left.join(taken, key, "left").select(
+    return left.join(taken.hint("shuffle_hash"), key, "left").select(
         key, (F.col(column) - F.coalesce("_taken", F.lit(0))).alias(column)
     ).filter(F.col(column) > 0)
 

@@ -4,9 +4,10 @@ import random
 from functools import lru_cache
 
 import pytest
+from pyspark.sql import functions as F
 
 from restock.operators import network
-from restock.operators.facilities import open_and_allocate
+from restock.operators.facilities import _served, open_and_allocate
 
 
 def best_cost(demands, depots, costs, unserved):
@@ -82,3 +83,25 @@ def test_nobody_to_serve_and_nobody_who_serves(spark):
     assert plan.shipped.count() == 0 and plan.cost == 0
     plan = open_and_allocate(demands, depots.limit(0), costs, unserved_cost=9.0, rounds=2)
     assert plan.shipped.count() == 0 and plan.cost == plan.bound == 18.0
+
+
+def test_rounds_send_nothing_of_the_customers_through_the_driver(spark):
+    """Customers, shipments and offsets were broadcast in every round before."""
+    links = spark.range(200).selectExpr(
+        "id % 50 customer_id", "id % 4 warehouse_id", "double(id % 7) unit_cost", "3L demand", "90L capacity", "double(5) opening_cost"
+    )
+    prices = links.groupBy("customer_id").agg(F.max("demand").alias("demand"), F.lit(9.0).alias("pay"))
+    served = _served(links, prices, 20.0)
+    rest = network._less(prices.select("customer_id", "demand"), "demand", links.selectExpr("customer_id", "2 amount"), "customer_id")
+    for df, joins in ((served, 2), (rest, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" not in plan and plan.count("ShuffledHashJoin") >= joins
+
+
+def test_lines_are_joined_once_for_the_allocation(spark):
+    """Customers, depots and costs each read and joined the lines again before."""
+    from restock.catalog.network_queries import allocation_inputs
+    from restock.sources.star_schema import StarSchema
+
+    for part in allocation_inputs(StarSchema(spark, "/root/testdata/sf0.001")):
+        assert not any("lineitem" in name for name in part.inputFiles())
