@@ -57,11 +57,16 @@ def _(core):
 # --- L9, L10 -----------------------------------------------------------------------------------
 
 
+def part_supplier_lines(core):
+    """Line prices of parts and suppliers, in cents; pairs repeat."""
+    return core.raw("lineitem").select(
+        F.col("l_partkey").alias("task"), F.col("l_suppkey").alias("worker"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cost")
+    )
+
+
 def part_supplier_costs(core):
     """Cheapest line price of each part and supplier, in cents."""
-    return core.raw("lineitem").groupBy(
-        F.col("l_partkey").alias("task"), F.col("l_suppkey").alias("worker")
-    ).agg(F.min(F.round(F.col("l_extendedprice") * 100)).cast("long").alias("cost"))
+    return part_supplier_lines(core).groupBy("task", "worker").agg(F.min("cost").alias("cost"))
 
 
 COSTS_SQL = """select l_partkey task, l_suppkey worker, cast(min(round(l_extendedprice * 100)) as bigint) cost
@@ -120,7 +125,7 @@ def _(core):
 @query("L9_auction_assignment")
 def _(core):
     """Each supplier gets a part, at a total within 1 % of the least possible."""
-    return auction_assignment(part_supplier_costs(core)).assigned
+    return auction_assignment(part_supplier_lines(core)).assigned
 
 
 @query(
@@ -129,7 +134,7 @@ def _(core):
 )
 def _(core):
     """Property check: nothing is used twice, the bound is one, and the gap is at most bidders x epsilon."""
-    costs = part_supplier_costs(core)
+    costs = part_supplier_lines(core)
     result = auction_assignment(costs)
     audit = network.assignment_audit(costs, result.assigned)
     return audit.agg(

@@ -7,12 +7,14 @@ epsilon of its best choice, so cost and dual bound differ by at most bidders x e
 as bidders epsilon starts large and shrinks from phase to phase, each from the prices of the last one, which ends price
 wars early; otherwise prices start at zero, because an object that nobody takes must end with price zero.
 
-A round is two staged tables; per-object and per-bidder choices are combined before the shuffle.
+A round is two staged tables; per-object and per-bidder choices are combined before the shuffle. Tables of pairs are
+dealt to as many tasks as they have ROWS_IN_TASK rows, so a task's hash tables and sorts do not grow with the input.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,14 @@ from pyspark.sql import functions as F
 from restock.session import cut_lineage, drop_staged
 
 SHRINK = 5.0
+ROWS_IN_TASK = 1_000_000
+
+
+def _dealt(df: DataFrame, rows: float, *keys: str) -> DataFrame:
+    """``df`` of about so many rows, at most about ROWS_IN_TASK of them in a task; small tables stay as they are."""
+    if rows <= ROWS_IN_TASK:
+        return df
+    return df.repartition(max(ceil(rows / ROWS_IN_TASK), df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 @dataclass(frozen=True)
@@ -33,15 +43,14 @@ class Auction:
     bidders: int
 
 
-def _bids(costs: DataFrame, objects: DataFrame, bidders: DataFrame, open_cost: float, epsilon: float) -> DataFrame:
-    """Best object, its cost with price, and the bid of each given bidder; no object: it stays open."""
+def _bids(costs: DataFrame, objects: DataFrame, bidders: DataFrame, open_cost: float, epsilon: float, rows: float = 0) -> DataFrame:
+    """Best object, its cost with price, and the bid of each given bidder, who have about ``rows`` pairs; no object: it stays open."""
     value = F.col("cost") + F.coalesce("price", F.lit(0.0))
     turn = F.xxhash64("bidder", "object")
     by_value = Window.partitionBy("bidder").orderBy("value", "turn", "object")
+    priced = _dealt(costs.join(bidders, "bidder", "left_semi"), rows, "object").join(objects.select("object", "price"), "object", "left")
     best_two = (
-        costs.join(bidders, "bidder", "left_semi")
-        .join(objects.select("object", "price"), "object", "left")
-        .select("bidder", "object", "cost", value.alias("value"), turn.alias("turn"))
+        _dealt(priced.select("bidder", "object", "cost", value.alias("value"), turn.alias("turn")), rows, "bidder")
         .withColumn("place", F.row_number().over(by_value))
         .where("place <= 2")
         .groupBy("bidder")
@@ -58,19 +67,21 @@ def _bids(costs: DataFrame, objects: DataFrame, bidders: DataFrame, open_cost: f
     )
 
 
-def _phase(costs: DataFrame, everyone: DataFrame, prices: DataFrame, open_cost: float, epsilon: float) -> DataFrame:
-    """(object, price, holder) when no bidder wants to bid any more."""
+def _phase(costs: DataFrame, everyone: DataFrame, prices: DataFrame, open_cost: float, epsilon: float, rows: int, n: int) -> DataFrame:
+    """(object, price, holder) when none of the ``n`` bidders, who have ``rows`` pairs, wants to bid any more."""
     spark = costs.sparkSession
     objects = cut_lineage(prices.select("object", "price", F.lit(None).cast("long").alias("holder")))
     staying: DataFrame | None = None
+    left = n  # at most as many bid as in the round before: who lost and who was outbid
     while True:
         waiting = everyone.join(objects.select(F.col("holder").alias("bidder")), "bidder", "left_anti")
         if staying is not None:
             waiting = waiting.join(staying, "bidder", "left_anti")
-        bids = cut_lineage(_bids(costs, objects, waiting, open_cost, epsilon))
+        bids = cut_lineage(_bids(costs, objects, waiting, open_cost, epsilon, rows * left / max(n, 1)))
         counted = bids.agg(F.count("*").alias("n"), F.count_if(F.col("object").isNull()).alias("stay")).first()
         if not counted.n:
             return objects
+        left = counted.n
         if counted.stay:
             more = bids.where("object is null").select("bidder")
             staying = cut_lineage(more if staying is None else staying.union(more))
@@ -85,9 +96,9 @@ def _phase(costs: DataFrame, everyone: DataFrame, prices: DataFrame, open_cost:
         drop_staged(spark, bids)
 
 
-def _bound(costs: DataFrame, objects: DataFrame, open_cost: float) -> float:
+def _bound(costs: DataFrame, objects: DataFrame, open_cost: float, rows: int) -> float:
     cheapest = (
-        costs.join(objects, "object", "left")
+        _dealt(costs, rows, "object").join(objects, "object", "left")
         .groupBy("bidder")
         .agg(F.least(F.min(F.col("cost") + F.coalesce("price", F.lit(0.0))), F.lit(open_cost)).alias("c"))
     )
@@ -105,15 +116,14 @@ def auction_assignment(
     result costs at most 1 + ``gap`` times the least possible. Whole costs and epsilon below 1 / bidders give an optimum.
     Repeated pairs count once, with their least cost; costs are 0 or more.
     """
-    sides = costs.agg(
-        F.count_distinct("task").alias("tasks"), F.count_distinct("worker").alias("workers"), F.max("cost").cast("double").alias("top")
+    lines = costs.select(F.col("task").cast("long").alias("task"), F.col("worker").cast("long").alias("worker"), "cost")
+    least = F.min("cost").cast("double").alias("cost")
+    each = cut_lineage(_dealt(lines, lines.count(), "task", "worker").groupBy("task", "worker").agg(least))
+    sides = each.agg(
+        F.count_distinct("task").alias("tasks"), F.count_distinct("worker").alias("workers"), F.max("cost").alias("top"), F.count("*").alias("rows")
     ).first()
     bidder, other = ("task", "worker") if sides.tasks <= sides.workers else ("worker", "task")
-    pairs = cut_lineage(
-        costs.groupBy(F.col(bidder).cast("long").alias("bidder"), F.col(other).cast("long").alias("object")).agg(
-            F.min("cost").cast("double").alias("cost")
-        )
-    )
+    pairs = each.select(F.col(bidder).alias("bidder"), F.col(other).alias("object"), "cost")
     n = min(sides.tasks, sides.workers)
     open_cost = float(open_cost if open_cost is not None else (sides.top or 0) + 1)
     cheapest = cut_lineage(pairs.groupBy("bidder").agg(F.min("cost").alias("c")))
@@ -127,11 +137,11 @@ def auction_assignment(
             steps.insert(0, steps[0] * SHRINK)
     prices = zero
     for step in steps:
-        prices = _phase(pairs, everyone, prices, open_cost, step)
+        prices = _phase(pairs, everyone, prices, open_cost, step, sides.rows, n)
     if len(steps) > 1 and not prices.where("holder is null and price > 0").isEmpty():
-        prices = _phase(pairs, everyone, zero, open_cost, epsilon)  # an object that nobody takes kept a price
+        prices = _phase(pairs, everyone, zero, open_cost, epsilon, sides.rows, n)  # an object that nobody takes kept a price
     held = prices.where("holder is not null").select("object", F.col("holder").alias("bidder"))
-    chosen = pairs.join(held, ["bidder", "object"])
+    chosen = _dealt(pairs, sides.rows, "bidder", "object").join(held, ["bidder", "object"])
     total = chosen.agg(F.count("*").alias("n"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("c")).first()
     kind = costs.schema["cost"].dataType
     assigned = chosen.select(
@@ -140,4 +150,4 @@ def auction_assignment(
         F.col("cost").cast(kind).alias("cost"),
     ).select("task", "worker", "cost")
     cost = total.c + open_cost * (n - total.n)
-    return Auction(assigned, cost, _bound(pairs, prices.select("object", "price"), open_cost), epsilon, n)
+    return Auction(assigned, cost, _bound(pairs, prices.select("object", "price"), open_cost, sides.rows), epsilon, n)

@@ -5,6 +5,7 @@ from itertools import permutations
 
 import pytest
 
+from restock.operators import auction
 from restock.operators.auction import auction_assignment
 
 
@@ -56,3 +57,16 @@ def test_dear_pairs_stay_open(spark):
 def test_nothing_to_assign(spark):
     result = auction_assignment(spark.createDataFrame([], "task int, worker int, cost int"))
     assert result.assigned.count() == 0 and result.cost == result.bound == 0
+
+
+def test_large_tables_of_pairs_are_dealt_to_more_tasks(spark, monkeypatch):
+    """As many tasks as spark.sql.shuffle.partitions says before, however many pairs there are."""
+    pairs = spark.range(400).selectExpr("id % 20 bidder", "id div 20 object", "double(1 + id * 37 % 101) cost")
+    costs = pairs.selectExpr("bidder task", "object worker", "cost")
+    whole = auction_assignment(costs)
+    monkeypatch.setattr(auction, "ROWS_IN_TASK", 25)
+    dealt = auction_assignment(costs)
+    assert sorted(dealt.assigned.collect()) == sorted(whole.assigned.collect()) and dealt.bound == pytest.approx(whole.bound)
+    prices = pairs.selectExpr("object", "0.0D price").distinct()
+    plan = auction._bids(pairs, prices, pairs.select("bidder").distinct(), 200.0, 0.1, 400)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(bidder" in plan and ", 16), REPARTITION_BY_NUM" in plan
