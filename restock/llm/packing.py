@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from restock.llm.common import batch, utf8_texts
-from restock.llm.word_ids import word_ids
+from restock.llm.word_ids import STEP_TEXTS, word_ids
 
 CAPACITY = 4096
 GROUP_WINDOWS = 128
@@ -153,8 +153,8 @@ def pack_documents(
 
         for b in batches:
             texts = list(utf8_texts(b.column(1)))
-            for lo in range(0, len(texts), 1000):
-                for doc_id, ids in zip(b.column(0)[lo : lo + 1000].to_pylist(), to_ids(texts[lo : lo + 1000])):
+            for lo in range(0, len(texts), STEP_TEXTS):
+                for doc_id, ids in zip(b.column(0)[lo : lo + STEP_TEXTS].to_pylist(), to_ids(texts[lo : lo + STEP_TEXTS])):
                     doc_ids.append(doc_id)
                     held.append(np.append(ids, end_id).astype("<u4"))
                     size += len(held[-1])

@@ -18,7 +18,9 @@ import numpy as np
 
 from restock.llm.common import once_per_process
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 500_000
+CACHE_IDS = 8 * CACHE_CHUNKS  # of all cached chunks together, as chunks may be long
+STEP_TEXTS = 500  # callers pass so many texts at once: their chunks are held beside the cache
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: as the vocabulary's pattern for ASCII; runs of bytes from 0x80 are taken as letters and checked
 _PIECES = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\xff]+|[0-9]|[^a-z0-9\x80-\xff]+")
@@ -36,6 +38,15 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 
 
+def _put(array: np.ndarray, at: int, values: np.ndarray) -> np.ndarray:
+    """``array`` with ``values`` from ``at`` on; it grows by a quarter or more if they do not fit."""
+    end = at + len(values)
+    if end > len(array):
+        array = np.concatenate([array[:at], np.zeros(end + end // 4 - at, array.dtype)])
+    array[at:end] = values
+    return array
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,21 +58,25 @@ class WordIds:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}  # the number of a chunk or piece
+        # these have room behind the values of the known ones, so that new chunks do not move all
         self.ids = np.zeros(0, np.int32)  # ids of all of them, end to end
+        self.n_ids = 0
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.uses = np.zeros(0, np.int64)
 
     def _thin_out(self) -> None:
-        """Keep what was looked up more than once; all, or most of it, is forgotten if that is too much."""
-        kept = np.flatnonzero(self.uses > 1)
-        if len(kept) > CACHE_CHUNKS // 2:
+        """Keep what was looked up more than once, or of that what was looked up most if it is too much."""
+        kept = np.flatnonzero(self.uses[: len(self.known)] > 1)
+        if len(kept) > CACHE_CHUNKS // 2 or self.sizes[kept].sum() > CACHE_IDS // 2:
             kept = kept[np.argsort(-self.uses[kept], kind="stable")[: CACHE_CHUNKS // 2]]
+            kept = kept[np.cumsum(self.sizes[kept]) <= CACHE_IDS // 2]
             kept.sort()
         names = list(self.known)  # in the order of their numbers
+        names = [names[k] for k in kept.tolist()]
         ids, sizes = self._gather(kept), self.sizes[kept]
         self._forget()
-        self._add([names[k] for k in kept.tolist()], ids, sizes)
+        self._add(names, ids, sizes)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each UTF-8 text, without special tokens, as 32-bit integers."""
@@ -75,7 +90,7 @@ class WordIds:
             else:
                 split.append(text.translate(_LOWER).split())
                 where.append(k)
-        if len(self.known) > CACHE_CHUNKS:
+        if len(self.known) > CACHE_CHUNKS or self.n_ids > CACHE_IDS:
             self._thin_out()
         chunks = list(chain.from_iterable(split))
         numbers = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
@@ -84,7 +99,7 @@ class WordIds:
             fresh = [chunks[k] for k in missing.tolist()]
             self._learn(set(fresh))
             numbers[missing] = np.fromiter(map(self.known.__getitem__, fresh), np.int64, len(fresh))
-        self.uses += np.bincount(numbers, minlength=len(self.uses))
+        np.add.at(self.uses, numbers, 1)
         ids = self._gather(numbers)
         ends = np.concatenate([[0], np.cumsum(self.sizes[numbers])])
         bounds = ends[np.cumsum([0, *map(len, split)])]
@@ -97,12 +112,13 @@ class WordIds:
         return self.ids[np.repeat(self.starts[numbers] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
 
     def _add(self, names: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        first = len(self.starts)
+        first = len(self.known)
         self.known.update(zip(names, range(first, first + len(names))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.uses = np.concatenate([self.uses, np.zeros(len(names), np.int64)])
-        self.ids = np.concatenate([self.ids, ids])
+        self.starts = _put(self.starts, first, self.n_ids + np.cumsum(sizes) - sizes)
+        self.sizes = _put(self.sizes, first, sizes)
+        self.uses = _put(self.uses, first, np.zeros(len(names), np.int64))
+        self.ids = _put(self.ids, self.n_ids, ids)
+        self.n_ids += len(ids)
 
     def _learn(self, chunks: set[bytes]) -> None:
         """Put the ids of new chunks into the cache."""

@@ -9,8 +9,9 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
-from restock.llm import id_files, packing, token_counts
+from restock.llm import id_files, packing, token_counts, word_ids
 from restock.llm.word_ids import WordIds
 from restock.session import staging_path
 
@@ -171,3 +172,21 @@ def test_crossing_tokens_follow_the_rule(rule):
             want[{"majority": best, "start": held[0], "end": held[-1]}[rule]] += 1
         got = counter.sections(text, rule)[2]
         assert {k: int(v) for k, v in enumerate(got) if v} == dict(want)
+
+
+def test_the_chunk_cache_is_bounded(monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    encoder = word_ids.WordIds(WORDS)
+    letters = [bytes([97 + k % 26, 97 + k // 26 % 26, 97 + k // 676 % 26, 97 + k // 17576]) for k in range(600_000 // 2)]
+    for ending in (b"", b"x"):
+        for lo in range(0, len(letters), 50_000):
+            encoder.encode([b" ".join(w + ending for w in letters[lo : lo + 50_000])])
+    assert len(encoder.known) <= 550_000  # 600,000 words, a step of 50,000 beyond the limit at most
+    # long chunks count by their ids; what is used again and again stays right
+    monkeypatch.setattr(word_ids, "CACHE_IDS", 4_000, raising=False)
+    encoder = word_ids.WordIds(WORDS)
+    for k in range(60):
+        texts = [f"again {k}{'abc0' * 100} {w}" for w in ("again", "many-words", "café")]
+        got = encoder.encode([x.encode() for x in texts])
+        assert [x.tolist() for x in got] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert sum(encoder.sizes[: len(encoder.known)]) <= 4_000 + 2_000
