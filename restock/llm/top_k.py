@@ -4,8 +4,8 @@ Vectors are integers, their components play the part of terms. A shard holds doc
 (ranges of the table in an order that puts vectors with the same strongest components side by
 side) with each block's component maxima and minima and a forward index, that is its vectors row
 by row. A query orders a shard's blocks by the sum of its component bounds and scores whole
-blocks until the next bound falls below its k-th score. Every query block meets every shard
-through an equi-join on a slot number; nothing is collected or broadcast.
+blocks until the next bound falls below its k-th score. Every query block goes to every slot, and a
+task reads a slot's shards and then its query blocks; nothing is joined, collected or broadcast.
 
 Nulls: a null vector, or one with a null or non-finite component, takes no part, as query or as
 candidate; neither does a row without id. An empty vector scores 0 with everything. A shorter
@@ -32,10 +32,10 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 256
 
 _VECTORS = pa.schema([("place", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("vector", pa.binary())])
-_SHARDS = pa.schema(
+#: Shards, and query blocks without bounds.
+_PARTS = pa.schema(
     [("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("matrix", pa.binary()), ("high", pa.binary()), ("low", pa.binary())]
 )
-_QUERIES = pa.schema([("q_n", pa.int32()), ("q_dim", pa.int32()), ("q_ids", pa.binary()), ("q_matrix", pa.binary())])
 _HITS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -93,7 +93,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values = ([len(rows)], [dim], [np.array(ids, "<i8").tobytes()], [m.tobytes()], [high.tobytes()], [low.tobytes()])
         ids.clear()
         rows.clear()
-        return batch(_SHARDS, values)
+        return batch(_PARTS, values)
 
     for b in batches:
         for i, v in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
@@ -112,7 +112,7 @@ def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             dim = max(part.column(2).to_pylist(), default=0)
             m = _matrix(part.column(3).to_pylist(), dim)
             ids = np.array(part.column(1).to_pylist(), "<i8")
-            yield batch(_QUERIES, ([len(ids)], [dim], [ids.tobytes()], [m.tobytes()]))
+            yield batch(_PARTS, ([len(ids)], [dim], [ids.tobytes()], [m.tobytes()], [None], [None]))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> type:
@@ -170,35 +170,40 @@ def top_k(
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for row in b.to_pylist():
-                dim, n = row["dim"], row["n"]
-                read = lambda name, d: np.frombuffer(row[name], "<i8").reshape(-1, d) if d else np.zeros((0, 0))  # noqa: B023, E731
-                m = read("matrix", dim) if dim else np.zeros((n, 0), "<i8")
-                blocks = -(-n // BLOCK_ROWS)
-                high, low = (read(x, dim) if dim else np.zeros((blocks, 0), "<i8") for x in ("high", "low"))
-                q = read("q_matrix", row["q_dim"]) if row["q_dim"] else np.zeros((row["q_n"], 0), "<i8")
-                ids = np.frombuffer(row["ids"], "<i8")
-                yield batch(_HITS, search_shard(np.frombuffer(row["q_ids"], "<i8"), q, ids, m, high, low, k))
+        slot, shards = None, []
+        for row in (b.slice(i, 1).to_pylist()[0] for b in batches for i in range(b.num_rows)):
+            if row["slot"] != slot:
+                slot, shards = row["slot"], []
+            dim, n = row["dim"], row["n"]
+            read = lambda name, rows: np.frombuffer(row[name], "<i8").reshape(rows, dim)  # noqa: B023, E731
+            ids, m = np.frombuffer(row["ids"], "<i8"), read("matrix", n)
+            if row["high"] is not None:
+                shards.append((ids, m, *(read(x, -(-n // BLOCK_ROWS)) for x in ("high", "low"))))
+                continue
+            for shard in shards:
+                yield batch(_HITS, search_shard(ids, m, *shard, k))
 
     vectors = cut_lineage(integer_vectors(df, id_col, vector_col, scale))
     n = vectors.count()
     slots = max(1, -(-n // SHARD_ROWS))
     # the id spreads vectors with the same place (equal ones, too) over neighbouring ranges
     ordered = vectors.repartitionByRange(slots, "place", "id").sortWithinPartitions("place", "id")
-    shards = cut_lineage(
-        ordered.mapInArrow(_shards, _ddl(_SHARDS)).withColumn("slot", F.pmod(F.xxhash64("ids"), F.lit(slots)))
-    )
+    # the first shard of a range has a slot of its own, more of them (of equal rows, too) go to the next slots
+    row = F.monotonically_increasing_id()
+    slot = F.pmod(F.shiftright(row, 33) + F.pmod(row, F.lit(1 << 33)), F.lit(slots))
+    shards = cut_lineage(ordered.mapInArrow(_shards, _ddl(_PARTS)).withColumn("slot", slot))
     wanted = df.select(F.col(id_col).cast("long").alias("id")).where(is_query).distinct()
     queries = vectors.join(wanted, "id", "left_semi").groupBy("id").agg(F.min(F.struct("vector", "dim")).alias("v"))
     n_queries = queries.count()
     blocks = (
         queries.select(F.lit(0).cast("long").alias("place"), "id", "v.dim", "v.vector")
         .repartition(max(1, -(-n_queries // QUERY_ROWS)), "id")
-        .mapInArrow(_query_blocks, _ddl(_QUERIES))
+        .mapInArrow(_query_blocks, _ddl(_PARTS))
         .withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
     )
-    hits = blocks.join(shards, "slot").drop("slot").mapInArrow(find, _ddl(_HITS))
+    # not a join: its size is guessed without the explode, so all copies of the blocks were broadcast
+    parts = shards.unionByName(blocks).repartitionById(slots, F.col("slot").cast("int")).sortWithinPartitions("slot", F.col("high").isNull())
+    hits = parts.mapInArrow(find, _ddl(_HITS))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(best))

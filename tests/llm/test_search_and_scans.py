@@ -46,6 +46,21 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert top_k.top_k(few, F.col("vec_id") == 0).count() == 3
 
 
+def test_top_k_does_not_broadcast_the_copies_of_its_queries(spark, monkeypatch):
+    """The copies of the query blocks, one for each slot, were broadcast before: their size was guessed without them."""
+    monkeypatch.setattr(top_k, "SHARD_ROWS", 20)
+    monkeypatch.setattr(top_k, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(top_k, "QUERY_ROWS", 5)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(400)]
+    rows += [(5, rows[5][1])] * 100  # shards of equal rows
+    found = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 5 == 0, 5)
+    assert sorted(map(tuple, found.collect())) == brute_top_k(rows, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    searched = plan[: plan.index("Generate explode")]
+    assert "Join" not in searched and "Broadcast" not in searched
+
+
 KEY = "q7Xz9Lm2Vt4Rb8Wc1Ns6Kd3Fh5Jg0Pyq"
 
 
