@@ -141,10 +141,11 @@ def _close_one(shipped: DataFrame, depots: DataFrame, costs: DataFrame) -> DataF
         .where("not stuck")
         .join(free, "warehouse_id")
         .withColumn("saving", F.col("opening_cost") - F.col("extra"))
-        .where("saving > 0")
-        .orderBy(F.desc("saving"), "warehouse_id")
+        .where((F.col("saving") > 0) & (F.col("used") <= spare.agg(F.sum("capacity")).scalar() - F.col("capacity")))
     )
-    for row in worth.select("warehouse_id", "used").limit(3).collect():
+    # all that can save anything are tried, in turn
+    tries = cut_lineage(worth.select("warehouse_id", "saving")).orderBy(F.desc("saving"), "warehouse_id")
+    for row in tries.toLocalIterator():
         mine = cut_lineage(shipped.where(F.col("warehouse_id") == row.warehouse_id))
         room = free.where((F.col("used") > 0) & (F.col("warehouse_id") != row.warehouse_id)).withColumn("opening_cost", F.lit(0.0))
         orders = mine.groupBy("customer_id").agg(F.sum("amount").alias("demand"))
@@ -155,6 +156,8 @@ def _close_one(shipped: DataFrame, depots: DataFrame, costs: DataFrame) -> DataF
         if units == moved_units and after - before < fee - 1e-9:
             both = shipped.where(F.col("warehouse_id") != row.warehouse_id).unionByName(again)
             return cut_lineage(both.groupBy("customer_id", "warehouse_id").agg(F.sum("amount").alias("amount")))
+        drop_staged(shipped.sparkSession, mine)
+        drop_staged(shipped.sparkSession, again)
     return None
 
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from restock.operators import network
-from restock.operators.facilities import _served, open_and_allocate
+from restock.operators.facilities import _close_one, _served, open_and_allocate
 
 
 def best_cost(demands, depots, costs, unserved):
@@ -65,6 +65,20 @@ def test_a_dear_depot_closes_and_its_customers_move(spark):
     assert plan.cost == 4 * 6 + 5 and plan.unserved == 0
 
 
+def test_a_depot_closes_after_any_number_that_seemed_to_save_more_cannot(spark):
+    """Only the three that seemed to save most were tried before."""
+    names = [1, 2, 3]  # each looks at the last unit of room in depot 9 and cannot reach the room of depot 8
+    demands = {**{w: 5 for w in names}, 4: 1, 9: 5, 8: 1}
+    depots = {**{w: (5, 100.0) for w in names}, 4: (1, 10.0), 9: (6, 0.0), 8: (100, 0.0)}
+    costs = {**{(w, w): 1.0 for w in demands}, **{(w, 9): 2.0 for w in [*names, 4]}}
+    _, warehouses, links = frames(spark, demands, depots, costs)
+    shipped = spark.createDataFrame([(w, w, d) for w, d in demands.items()], "customer_id int, warehouse_id int, amount long")
+    after = _close_one(shipped, warehouses, links)
+    assert after is not None
+    assert {tuple(r) for r in after.collect()} == {(w, 9 if w == 4 else w, d) for w, d in demands.items()}
+    assert _close_one(after, warehouses, links) is None
+
+
 def test_cost_is_below_the_cheapest_first_allocation(spark):
     rng = random.Random(4)
     demands = {c: rng.randint(1, 40) for c in range(80)}
